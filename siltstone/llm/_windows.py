@@ -1,0 +1,336 @@
+"""Repeated windows over all documents, found through difference-cover samples.
+
+The engine below serves word windows and byte windows alike. For windows of L
+units and a period v, a difference cover D of v has, for any two positions i
+and j, a shift d < v that puts both i + d and j + d on the cover. So two equal
+windows share an equal sample of L - v + 1 units at the same shift.
+
+1. Samples: the fingerprint of each sample at a cover position goes to the
+   bucket of its hash. A block of documents sends each distinct fingerprint
+   once, so a passage that a third of all documents hold reaches a bucket once
+   for each block, not once for each document; what repeats within the block is
+   known to repeat already.
+2. Suspects: texts with repeated samples, one text for each group of equal
+   texts (its earliest row), are written to the shared folder.
+3. Windows: around repeated samples every window's fingerprint goes to its
+   bucket, again once for each block, with its place. Sorted by fingerprint and
+   place, all but the first of a run start later than an equal window.
+4. The later windows come back to their text and their union is removed.
+
+Buckets are chosen so that one holds a bounded number of entries. Fingerprints
+have 64 bits, and the bucket comes from a second, independent hash.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from siltstone.llm._store import discard, release, settle, small_batches
+from siltstone.llm._text import Chunk, Words, chunks, combine, prefix_hash, span_hash, word_hashes
+
+BLOCK_ENTRIES, BUCKET_ENTRIES = 1_500_000, 600_000
+FIRST = -(1 << 63)  # stands for a null doc_id: before all others
+ROW = "bucket int, known boolean, w binary, doc binary, pos binary, rid binary, k binary"
+NAMES = [x.split()[0] for x in ROW.split(", ")]
+
+
+class WordUnits:
+    """Words of a chunk as units."""
+
+    def __init__(self, chunk: Chunk):
+        self.words = Words(chunk)
+        self.bounds = self.words.bounds
+        self.hash = word_hashes(chunk.data, self.words)
+
+    def names(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return combine(self.hash, size)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+
+    def second(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return combine(self.hash, size, 0x1F83D9AB)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+
+
+class ByteUnits:
+    """Bytes of a chunk as units."""
+
+    def __init__(self, chunk: Chunk):
+        self.data, self.bounds = chunk.data, chunk.offsets
+        self.running = prefix_hash(chunk.data)
+
+    def names(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return span_hash(self.running, starts, starts + size)
+
+    def second(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return span_hash(prefix_hash(self.data, 1), starts, starts + size)
+
+
+@dataclass(frozen=True)
+class Plan:
+    units: Callable
+    length: int
+    period: int
+    cover: tuple[int, ...]
+    slices: int
+    bytes_per_unit: int
+
+    @property
+    def sample(self) -> int:
+        return self.length - self.period + 1
+
+
+def sample_starts(bounds: np.ndarray, plan: Plan) -> np.ndarray:
+    """Cover positions with a full sample, in documents that have a window at all."""
+    sizes = np.diff(bounds)
+    usable = np.where(sizes >= plan.length, sizes - plan.sample + 1, 0)
+    first = np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(usable)[:-1])), usable)
+    starts = np.arange(len(first)) + first
+    place = starts - np.repeat(bounds[:-1], usable)
+    on_cover = np.zeros(plan.period, dtype=bool)
+    on_cover[list(plan.cover)] = True
+    return starts[on_cover[place % plan.period]]
+
+
+class Block:
+    """Entries of many documents, sent to their buckets as a few binary rows."""
+
+    def __init__(self, buckets: int, places: bool):
+        self.buckets, self.places = buckets, places
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list[tuple] = []
+        self.size = 0
+        self.rid: list[int] = []
+        self.k: list[int] = []
+
+    def add(self, w, bucket, doc, pos, rid: list[int], k: list[int]) -> None:
+        self.parts.append((w, bucket, doc + len(self.rid), pos))
+        self.rid += rid
+        self.k += k
+        self.size += len(w)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            self.clear()
+            return
+        w, bucket, doc, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        rid, k = np.array(self.rid, dtype=np.int64), np.array(self.k, dtype=np.int32)
+        self.clear()
+        rank = np.empty(len(rid), dtype=np.int64)
+        rank[np.lexsort((k, rid))] = np.arange(len(rid))
+        order = np.lexsort((pos, rank[doc], w)) if self.places else np.argsort(w, kind="stable")
+        w, bucket, doc, pos = w[order], bucket[order], doc[order], pos[order]
+        same = w[1:] == w[:-1]
+        later = np.concatenate(([False], same))
+        if self.places:
+            known = later
+        else:
+            known = later.copy()
+            known[:-1] |= same
+        out = []
+        for flag, chosen in ((False, np.flatnonzero(~later)), (True, np.flatnonzero(known))):
+            chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
+            cut = np.flatnonzero(np.diff(bucket[chosen])) + 1
+            for part in np.split(chosen, cut) if len(chosen) else []:
+                docs, index = np.unique(doc[part], return_inverse=True)
+                out.append((int(bucket[part[0]]), flag, w[part].tobytes(), index.astype(np.uint32).tobytes(), pos[part].astype(np.uint32).tobytes() if self.places else b"", rid[docs].tobytes(), k[docs].tobytes()))
+        kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=NAMES)
+
+
+def _entries(table: pa.Table, known: bool, places: bool):
+    """w, rid, k, pos of a bucket's rows."""
+    ws, rids, ks, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+    for row in table.filter(table.column("known") if known else pc.invert(table.column("known"))).to_pylist():
+        doc = np.frombuffer(row["doc"], dtype=np.uint32)
+        ws.append(np.frombuffer(row["w"], dtype=np.uint64))
+        rids.append(np.frombuffer(row["rid"], dtype=np.int64)[doc])
+        ks.append(np.frombuffer(row["k"], dtype=np.int32)[doc])
+        ps.append(np.frombuffer(row["pos"], dtype=np.uint32) if places else np.zeros(len(doc), np.uint32))
+    return tuple(np.concatenate(x) for x in (ws, rids, ks, ps))
+
+
+def _per_text(rid, k, values) -> pa.Table:
+    """One row for each text, its values packed."""
+    order = np.lexsort((values, k, rid))
+    rid, k, values = rid[order], k[order], values[order]
+    cut = np.flatnonzero((np.diff(rid) != 0) | (np.diff(k) != 0)) + 1
+    starts = np.concatenate(([0], cut)) if len(rid) else cut
+    packed = [x.tobytes() for x in np.split(values, cut)] if len(rid) else []
+    return pa.table({"rid": pa.array(rid[starts], pa.int64()), "k": pa.array(k[starts], pa.int32()), "found": pa.array(packed, pa.binary())})
+
+
+def _samples(plan: Plan, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(buckets, False)
+        for batch in batches:
+            rid = batch.column("rid").to_pylist()
+            for chunk in chunks(batch.column("text")):
+                units = plan.units(chunk)
+                starts = sample_starts(units.bounds, plan)
+                name = units.names(starts, plan.sample)
+                doc = np.searchsorted(units.bounds, starts, side="right") - 1
+                block.add(name, (name % np.uint64(buckets)).astype(np.int32), doc, np.zeros(len(name), np.uint32), rid[chunk.lo : chunk.hi], [0] * len(chunk))
+                if block.size >= BLOCK_ENTRIES:
+                    yield from block.rows()
+        yield from block.rows()
+
+    return run
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    w, rid, _, _ = _entries(table, False, False)
+    order = np.argsort(w, kind="stable")
+    same = w[order][1:] == w[order][:-1]
+    twice = np.zeros(len(w), dtype=bool)
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    known, known_rid, _, _ = _entries(table, True, False)
+    out = _per_text(np.concatenate((rid[twice], known_rid)), np.zeros(int(twice.sum()) + len(known), np.int32), np.concatenate((w[twice], known)))
+    return out.select(["rid", "found"])
+
+
+def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return sorted_values[at] == x
+
+
+def suspect_starts(units, found: list, plan: Plan) -> np.ndarray:
+    """Starts of the windows that cover a repeated sample within reach."""
+    starts = sample_starts(units.bounds, plan)
+    name = units.names(starts, plan.sample)
+    cut = np.searchsorted(starts, units.bounds)
+    hit = np.zeros(len(starts), dtype=bool)
+    for i, values in enumerate(found):
+        if values and cut[i] < cut[i + 1]:
+            hit[cut[i] : cut[i + 1]] = _member(np.unique(np.frombuffer(b"".join(values), dtype=np.uint64)), name[cut[i] : cut[i + 1]])
+    starts = starts[hit]
+    doc = np.searchsorted(units.bounds, starts, side="right") - 1
+    low = np.maximum(units.bounds[doc], starts - plan.period + 1)
+    high = np.minimum(starts, units.bounds[doc + 1] - plan.length)
+    ok = high >= low
+    delta = np.zeros(int(units.bounds[-1]) + 2, dtype=np.int32)
+    np.add.at(delta, low[ok], 1)
+    np.add.at(delta, high[ok] + 1, -1)
+    return np.flatnonzero(np.cumsum(delta) > 0)
+
+
+def _windows(plan: Plan, buckets: int, part: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(buckets, True)
+        for batch in batches:
+            rid, k, found = (batch.column(c).to_pylist() for c in ("rid", "k", "found"))
+            for chunk in chunks(batch.column("text")):
+                units = plan.units(chunk)
+                starts = suspect_starts(units, found[chunk.lo : chunk.hi], plan)
+                second = units.second(starts, plan.length)
+                mine = second % np.uint64(plan.slices) == part
+                starts, second = starts[mine], second[mine]
+                name = units.names(starts, plan.length)
+                doc = np.searchsorted(units.bounds, starts, side="right") - 1
+                bucket = (second // np.uint64(plan.slices) % np.uint64(buckets)).astype(np.int32)
+                block.add(name, bucket, doc, (starts - units.bounds[doc]).astype(np.uint32), rid[chunk.lo : chunk.hi], k[chunk.lo : chunk.hi])
+                if block.size >= BLOCK_ENTRIES:
+                    yield from block.rows()
+        yield from block.rows()
+
+    return run
+
+
+def _later(table: pa.Table) -> pa.Table:
+    w, rid, k, pos = _entries(table, False, True)
+    order = np.lexsort((pos, k, rid, w))
+    w, rid, k, pos = w[order], rid[order], k[order], pos[order]
+    new = np.concatenate(([True], w[1:] != w[:-1]))[: len(w)]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0)) if len(w) else np.zeros(0, np.int64)
+    later = (rid != rid[head]) | (k != k[head]) | (pos != pos[head])
+    _, known_rid, known_k, known_pos = _entries(table, True, True)
+    return _per_text(np.concatenate((rid[later], known_rid)), np.concatenate((k[later], known_k)), np.concatenate((pos[later], known_pos)))
+
+
+def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
+    delta = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(delta, starts, 1)
+    np.add.at(delta, np.minimum(starts + length, n), -1)
+    return np.cumsum(delta[:-1]) > 0
+
+
+def _digest(plan: Plan, keep: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for fp, text, found in zip(*(batch.column(c) for c in ("fp", "text", "found")), strict=True):
+                starts = np.frombuffer(b"".join(found.as_py()), dtype=np.uint32).astype(np.int64)
+                rows.append((fp.as_py(), *keep((text.as_py() or "").encode(), starts, plan.length)))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["fp", "n_removed", "n_spans", "kept_sha256"])
+
+    return run
+
+
+def mask_digest(mask: np.ndarray, kept: bytes) -> tuple[int, int, str]:
+    return int(mask.sum()), int((np.diff(np.concatenate(([0], mask.astype(np.int8)))) == 1).sum()), hashlib.sha256(kept).hexdigest()
+
+
+def later_windows(docs: DataFrame, plan: Plan, base: DataFrame, keep: Callable) -> DataFrame:
+    """For each row of base: n_removed, n_spans and kept_sha256.
+
+    docs has rid (never null), fp (16 bytes that stand for the text) and text;
+    base has the same rows without text, with n (units) and sha256 (of what is
+    kept if nothing is removed).
+    """
+    spark = docs.sparkSession
+    total = base.agg(F.sum("n")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = lambda entries: max(partitions, -(-entries // BUCKET_ENTRIES))
+
+    reps = base.groupBy("fp").agg(F.min("rid").alias("rid"))
+    reps = reps.withColumn("k", (F.row_number().over(Window.partitionBy("rid").orderBy("fp")) - 1).cast("int"))
+
+    samples = buckets(total * len(plan.cover) // plan.period)
+    sampled = small_batches(docs.select("rid", "text")).mapInArrow(_samples(plan, samples), ROW)
+    repeated = settle(sampled.groupBy("bucket").applyInArrow(_repeated, "rid long, found binary"), "samples")
+    repeated_of = repeated.groupBy("rid").agg(F.collect_list("found").alias("found"))
+    wanted = reps.join(repeated_of, "rid")
+    suspects = settle(docs.join(wanted, ["rid", "fp"]).select("rid", "k", "fp", "text", "found"), "suspects")
+    discard(repeated)
+
+    later = None
+    for part in range(plan.slices):
+        windows = small_batches(suspects).mapInArrow(_windows(plan, buckets(total // plan.slices // 4), part), ROW)
+        found = settle(windows.groupBy("bucket").applyInArrow(_later, "rid long, k int, found binary"), f"later-{part}")
+        later = found if later is None else later.unionByName(found)
+    removed = later.groupBy("rid", "k").agg(F.collect_list("found").alias("found"))
+    texts = suspects.select("rid", "k", "fp", "text").join(removed, ["rid", "k"])
+    digests = settle(small_batches(texts).mapInArrow(_digest(plan, keep), "fp binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["fp"]), "digests")
+    discard(suspects)
+    release(spark)
+
+    firsts = reps.select("fp", F.col("rid").alias("first")).join(digests, "fp", "left")
+    copy = F.col("rid") != F.col("first")
+    whole = copy & (F.col("n") >= plan.length)
+    empty = hashlib.sha256(b"").hexdigest()
+    return base.join(firsts, "fp").select(
+        "doc_id", "n",
+        F.when(whole, F.col("n")).when(copy, F.lit(0)).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(1)).when(copy, F.lit(0)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(empty)).when(copy, F.col("sha256")).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+    )
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, fp and text of each row; a null text is empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.col("doc_id").cast("long")
+    return docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(FIRST)).alias("rid"), F.unhex(F.md5(text.cast("binary"))).alias("fp"), text.alias("text"))

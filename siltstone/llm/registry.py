@@ -7,11 +7,13 @@ from siltstone.llm.packing import op4_best_fit_packing
 from siltstone.llm.quality_classifier import op3_quality_classifier
 from siltstone.llm.quality_rules import op8_quality_rules
 from siltstone.llm.secret_scan import op2_secret_scans
+from siltstone.llm.substring_dedup import op5_substring_dedup
+from siltstone.llm.suffix_array import op10_suffix_array
 from siltstone.llm.token_output import op7_token_output
 
 
 def queries() -> dict:
-    found = [op2_secret_scans, op3_quality_classifier, op4_best_fit_packing, op7_token_output, op8_quality_rules, op9_decontamination]
+    found = [op2_secret_scans, op3_quality_classifier, op4_best_fit_packing, op5_substring_dedup, op7_token_output, op8_quality_rules, op9_decontamination, op10_suffix_array]
     return {f.__name__: f for f in found}
 
 
