@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siltstone.llm.decontamination import op9_decontamination
 from siltstone.llm.jaccard_join import op6_ngram_jaccard_join
+from siltstone.llm.lm_scoring import op1_lm_scoring
 from siltstone.llm.packing import op4_best_fit_packing
 from siltstone.llm.quality_classifier import op3_quality_classifier
 from siltstone.llm.quality_rules import op8_quality_rules
@@ -14,7 +15,7 @@ from siltstone.llm.token_output import op7_token_output
 
 
 def queries() -> dict:
-    found = [op2_secret_scans, op3_quality_classifier, op4_best_fit_packing, op5_substring_dedup, op6_ngram_jaccard_join, op7_token_output, op8_quality_rules, op9_decontamination, op10_suffix_array]
+    found = [op1_lm_scoring, op2_secret_scans, op3_quality_classifier, op4_best_fit_packing, op5_substring_dedup, op6_ngram_jaccard_join, op7_token_output, op8_quality_rules, op9_decontamination, op10_suffix_array]
     return {f.__name__: f for f in found}
 
 
