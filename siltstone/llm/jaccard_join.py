@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.llm._components import components
 from siltstone.llm._store import discard, read_table, settle, small_batches
@@ -302,10 +303,21 @@ def near_copies(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id; all columns are carried."""
+    """One document of each component stays, the one with the least doc_id; all columns are carried.
+
+    Of several rows with one doc_id the one with the least md5 of its text stays.
+    """
     ids = near_copies(docs.select("doc_id", "text"), size, num, den)
-    gone = ids.filter("rid <> component").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    ids = settle(ids.select("rid", "component"), "near-copies")
+    gone = ids.filter("rid <> component").select("rid").distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
+    kept = docs.withColumn("_rid", key).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left_anti")
+    again = settle(ids.groupBy("rid").count().filter("count > 1").select(F.col("rid").alias("_rid")), "again")
+    if not again.isEmpty():
+        first = Window.partitionBy("_rid").orderBy(F.md5(F.col("text").cast("binary")))
+        one = kept.join(again, "_rid").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+        kept = kept.join(again, "_rid", "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
