@@ -52,27 +52,32 @@ def bracket_matches(content: Column) -> dict[str, list[tuple]]:
 
 
 def _infer(framework: str, brackets: list[tuple]) -> Column:
-    none = F.array().cast("array<string>")
-    best, label, low, high, signals = F.lit(0.0), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), none
-    rows = []
-    for (_, name, least, most, boost, _), found in brackets:
-        score = F.when(F.size(found) > 0, F.least(F.lit(G.MOST), F.lit(G.BASE + boost) + (F.size(found) - 1) * F.lit(G.STEP))).otherwise(F.lit(0.0))
-        rows.append(F.struct(score.alias("score"), F.lit(name).alias("label"), F.lit(least).cast("string").alias("min_version"), F.lit(most).cast("string").alias("max_version"), found.alias("signals")))
-    start = F.struct(best.alias("score"), label.alias("label"), low.alias("min_version"), high.alias("max_version"), signals.alias("signals"))
+    null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    rows = F.array(*[
+        F.struct(F.lit(G.BASE + boost).alias("base"), F.lit(name).alias("label"), F.lit(least).cast("string").alias("min_version"), F.lit(most).cast("string").alias("max_version"), found.alias("signals"))
+        for (_, name, least, most, boost, _), found in brackets
+    ])
+    start = F.struct(F.lit(0.0).alias("score"), null.alias("label"), null.alias("min_version"), null.alias("max_version"), none.alias("signals"))
 
     def take(acc: Column, x: Column) -> Column:
-        better = x["score"] > acc["score"]
+        score = F.when(F.size(x["signals"]) > 0, F.least(F.lit(G.MOST), x["base"] + (F.size(x["signals"]) - 1) * F.lit(G.STEP))).otherwise(F.lit(0.0))
+        better = score > acc["score"]
         pick = lambda c: F.when(better, x[c]).otherwise(acc[c]).alias(c)
-        return F.struct(pick("score"), pick("label"), pick("min_version"), pick("max_version"), F.when(better, F.concat(acc["signals"], x["signals"])).otherwise(acc["signals"]).alias("signals"))
+        return F.struct(F.when(better, score).otherwise(acc["score"]).alias("score"), pick("label"), pick("min_version"), pick("max_version"), F.when(better, F.concat(acc["signals"], x["signals"])).otherwise(acc["signals"]).alias("signals"))
 
-    done = F.aggregate(F.array(*rows), start, take)
-    open_end = F.lit(f"{framework} (version undetermined from code)")
-    return F.struct(done["min_version"].alias("min_version"), done["max_version"].alias("max_version"), F.coalesce(done["label"], open_end).alias("label"), F.when(done["label"].isNull(), F.lit(G.UNDETERMINED)).otherwise(done["score"]).alias("confidence"), done["signals"].alias("signals"))
+    def finish(done: Column) -> Column:
+        open_end = F.lit(f"{framework} (version undetermined from code)")
+        return F.struct(
+            done["min_version"].alias("min_version"), done["max_version"].alias("max_version"), F.coalesce(done["label"], open_end).alias("label"),
+            F.when(done["label"].isNull(), F.lit(G.UNDETERMINED)).otherwise(done["score"]).alias("confidence"), done["signals"].alias("signals"),
+        )
+
+    return F.aggregate(rows, start, take, finish)
 
 
 def inferences(content: Column) -> Column:
-    """G2 for every registered framework: struct with one field for each."""
-    return F.struct(*[_infer(f, rows).alias(f) for f, rows in bracket_matches(content).items()])
+    """G2 for every registered framework: array of struct(framework, inference)."""
+    return F.array(*[F.struct(F.lit(f).alias("framework"), _infer(f, rows).alias("inference")) for f, rows in bracket_matches(content).items()])
 
 
 def unknown_version(framework: Column) -> Column:
@@ -153,18 +158,19 @@ def ground(df: DataFrame, content: str = "content") -> DataFrame:
     text = F.coalesce(F.col(content), F.lit(""))
     df = df.withColumns({"_names": frameworks_to_ground(F.col("framework.name"), F.col("dependencies")), "_inferred": inferences(text), "_apis": api_matches(text)})
 
-    def one(name: Column) -> Column:
-        inference = None
-        for f in G.FRAMEWORKS:
-            inference = F.when(name == f, F.col("_inferred")[f]) if inference is None else inference.when(name == f, F.col("_inferred")[f])
-        inference = inference.otherwise(unknown_version(name))
-        label, confidence = inference["label"], inference["confidence"]
+    def inferred(name: Column) -> Column:
+        own = F.get(F.filter("_inferred", lambda x: x["framework"] == name), F.lit(0))["inference"]
+        return F.struct(name.alias("framework"), F.coalesce(own, unknown_version(name)).alias("inference"))
+
+    def one(x: Column) -> Column:
+        name, inference = x["framework"], x["inference"]
         return F.struct(
             name.alias("framework"), inference.alias("inference"), match_apis(name, F.col("_apis")).alias("apis"),
-            grounding_sources(name, label).alias("sources"), version_question(name, confidence, label).alias("question"),
+            grounding_sources(name, inference["label"]).alias("sources"), version_question(name, inference["confidence"], inference["label"]).alias("question"),
         )
 
-    df = df.withColumn("groundings", F.transform("_names", one)).drop("_inferred", "_apis")
+    # two passes, so that what follows from an inference reads it instead of repeating its expression
+    df = df.withColumn("groundings", F.transform(F.transform("_names", inferred), one)).drop("_inferred", "_apis")
     each = lambda f: F.transform("groundings", f)
     apis = F.flatten(each(lambda g: g["apis"]))
     keys = F.transform(apis, lambda a: F.concat(a["framework"], F.lit("::"), a["api"]))

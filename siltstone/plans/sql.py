@@ -130,7 +130,7 @@ a0 AS (SELECT *, substring(content, 1, 3000) AS s3, {', '.join(f"{language_case(
 a1 AS (SELECT *, {fw}, {rt}, {', '.join(art)} FROM a0),
 a2 AS (SELECT *, greatest({', '.join(f'fw{i}' for i in range(len(W.RULES)))}) AS fw_conf, greatest({', '.join(f'rt{i}' for i in range(len(T.RULES)))}) AS rt_conf, greatest({', '.join(f'art{i}' for i in range(len(A.RULES)))}) AS art_best FROM a1),
 a3 AS (SELECT snippet_id, filename, content, lang_name, lang_conf, lang_via, fw_conf, {fw_name} AS fw_name, {fw_signals} AS fw_signals, rt_conf, {rt_name} AS rt_type, {rt_signals} AS rt_signals,
-  CASE {' '.join(art_names)} END AS art_type, least({num(A.FINAL_CAP)}, art_best) AS art_conf, {listed(signals)} AS signals, list_filter(list_transform({' || '.join(deps)}, lambda d: {trimmed('d')}), lambda d: d <> '') AS found FROM a2),
+  CASE {' '.join(art_names)} END AS art_type, CASE WHEN art_best IS NOT NULL THEN least({num(A.FINAL_CAP)}, art_best) END AS art_conf, {listed(signals)} AS signals, list_filter(list_transform({' || '.join(deps)}, lambda d: {trimmed('d')}), lambda d: d <> '') AS found FROM a2),
 a4 AS (SELECT * EXCLUDE (found), list_filter(found, lambda x, i: list_position(found, x) = i) AS deps, {weights} AS raw FROM a3),
 a5 AS (SELECT *, least(1.0, (((raw * '1152921504606846976'::DOUBLE)::BIGINT::HUGEINT * 1000 + 576460752303423488) // 1152921504606846976)::DOUBLE / 1000) AS overall, raw < {num(Q.CLARIFY_BELOW)} AS clarify FROM a4),
 u AS (SELECT *, CASE WHEN clarify THEN list_slice({questions}, 1, {Q.MOST}) ELSE [] END AS questions,
