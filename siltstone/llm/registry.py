@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siltstone.llm import sql
 from siltstone.llm.decontamination import op9_decontamination
 from siltstone.llm.jaccard_join import op6_ngram_jaccard_join
 from siltstone.llm.lm_scoring import op1_lm_scoring
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": sql.SUBSTRING_DEDUP, "op6_ngram_jaccard_join": sql.JACCARD_JOIN, "op10_suffix_array": sql.SUFFIX_ARRAY}
