@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +40,10 @@ from siltstone.llm._text import Chunk, Words, chunks, combine, prefix_hash, span
 
 BLOCK_ENTRIES, BUCKET_ENTRIES = 1_500_000, 600_000
 FIRST = -(1 << 63)  # stands for a null doc_id: before all others
-ROW = "bucket int, known boolean, w binary, doc binary, pos binary, rid binary, k binary"
+ROW = "bucket int, known boolean, w binary, pos binary, rid binary, k binary, size binary"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
+#: In a bucket of bounded size half a fingerprint tells samples apart; a wrong match only adds a suspect.
+SHORT = np.uint64(32)
 
 
 class WordUnits:
@@ -98,8 +101,33 @@ def sample_starts(bounds: np.ndarray, plan: Plan) -> np.ndarray:
     return starts[on_cover[place % plan.period]]
 
 
+def _shrink(values: np.ndarray) -> bytes:
+    """Non-negative whole numbers, in as few bytes each as they take, compressed."""
+    width = "<u2" if not len(values) or values.max() < 1 << 16 else "<u4"
+    return width[-1].encode() + zstandard.ZstdCompressor(level=1).compress(values.astype(width).tobytes())
+
+
+def _grow(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), dtype=f"<u{packed[:1].decode()}").astype(np.int64)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal entries starts."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 class Block:
-    """Entries of many documents, sent to their buckets as a few binary rows."""
+    """Entries of many documents, sent to their buckets as a few binary rows.
+
+    Of equal fingerprints one goes to its bucket: with places the earliest,
+    which makes the others known to be later. Without places every entry whose
+    fingerprint occurs twice here is known to repeat. What is known needs no
+    comparison and travels by document.
+    """
 
     def __init__(self, buckets: int, places: bool):
         self.buckets, self.places = buckets, places
@@ -110,6 +138,7 @@ class Block:
         self.size = 0
         self.rid: list[int] = []
         self.k: list[int] = []
+        self.texts: dict[bytes, int] = {}
 
     def add(self, w, bucket, doc, pos, rid: list[int], k: list[int]) -> None:
         self.parts.append((w, bucket, doc + len(self.rid), pos))
@@ -122,62 +151,81 @@ class Block:
             self.clear()
             return
         w, bucket, doc, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        rid, k = np.array(self.rid, dtype=np.int64), np.array(self.k, dtype=np.int32)
+        rid, k = np.array(self.rid, dtype=np.int64), np.array(self.k, dtype=np.int64)
         self.clear()
-        rank = np.empty(len(rid), dtype=np.int64)
-        rank[np.lexsort((k, rid))] = np.arange(len(rid))
-        order = np.lexsort((pos, rank[doc], w)) if self.places else np.argsort(w, kind="stable")
-        w, bucket, doc, pos = w[order], bucket[order], doc[order], pos[order]
-        same = w[1:] == w[:-1]
-        later = np.concatenate(([False], same))
+        order = np.argsort(w, kind="stable")
+        start = _changes(w[order])
+        size = np.diff(np.append(start, len(w)))
+        first = np.zeros(len(w), dtype=bool)
         if self.places:
-            known = later
+            rank = np.empty(len(rid), dtype=np.int64)
+            rank[np.lexsort((k, rid))] = np.arange(len(rid))
+            place = (rank[doc] << 32) | pos
+            first[order] = place[order] == np.repeat(np.minimum.reduceat(place[order], start), size)
+            known = ~first
         else:
-            known = later.copy()
-            known[:-1] |= same
+            first[order[start]] = True
+            known = np.empty(len(w), dtype=bool)
+            known[order] = np.repeat(size > 1, size)
         out = []
-        for flag, chosen in ((False, np.flatnonzero(~later)), (True, np.flatnonzero(known))):
-            chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
-            cut = np.flatnonzero(np.diff(bucket[chosen])) + 1
-            for part in np.split(chosen, cut) if len(chosen) else []:
-                docs, index = np.unique(doc[part], return_inverse=True)
-                out.append((int(bucket[part[0]]), flag, w[part].tobytes(), index.astype(np.uint32).tobytes(), pos[part].astype(np.uint32).tobytes() if self.places else b"", rid[docs].tobytes(), k[docs].tobytes()))
+        for flag, chosen in ((False, first), (True, known)):
+            i = np.flatnonzero(chosen)
+            to = (doc[i] % self.buckets if flag else bucket[i]).astype(np.uint16 if self.buckets < 1 << 16 else np.int32)
+            order = np.argsort(to, kind="stable")
+            i, to = i[order], to[order]
+            docs = _changes(to, doc[i])
+            step = pos[i].astype(np.int64)
+            step[1:] -= step[:-1].copy()
+            step[docs] = pos[i][docs]
+            counts, name = np.diff(np.append(docs, len(i))), w[i]
+            cut = _changes(to[docs])
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(docs)], strict=True):
+                lo, hi = docs[a], docs[b] if b < len(docs) else len(i)
+                of = doc[i[docs[a:b]]]
+                names = name[lo:hi] if self.places else (name[lo:hi] >> SHORT).astype("<u4")
+                out.append((int(to[lo]), flag, names.tobytes(), _shrink(step[lo:hi]) if self.places else b"", zstandard.ZstdCompressor(level=1).compress(np.diff(rid[of], prepend=0).tobytes()), _shrink(k[of]), _shrink(counts[a:b])))
         kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=NAMES)
 
 
 def _entries(table: pa.Table, known: bool, places: bool):
     """w, rid, k, pos of a bucket's rows."""
-    ws, rids, ks, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+    ws, rids, ks, ps = [np.zeros(0, np.uint64 if places else np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row in table.filter(table.column("known") if known else pc.invert(table.column("known"))).to_pylist():
-        doc = np.frombuffer(row["doc"], dtype=np.uint32)
-        ws.append(np.frombuffer(row["w"], dtype=np.uint64))
-        rids.append(np.frombuffer(row["rid"], dtype=np.int64)[doc])
-        ks.append(np.frombuffer(row["k"], dtype=np.int32)[doc])
-        ps.append(np.frombuffer(row["pos"], dtype=np.uint32) if places else np.zeros(len(doc), np.uint32))
+        size = _grow(row["size"])
+        ws.append(np.frombuffer(row["w"], dtype=ws[0].dtype))
+        rid = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["rid"]), dtype=np.int64))
+        rids.append(np.repeat(rid, size))
+        ks.append(np.repeat(_grow(row["k"]), size))
+        if places:
+            step = _grow(row["pos"])
+            total, start = np.cumsum(step), np.cumsum(size) - size
+            ps.append(total - np.repeat(total[start] - step[start], size))
     return tuple(np.concatenate(x) for x in (ws, rids, ks, ps))
 
 
 def _per_text(rid, k, values) -> pa.Table:
     """One row for each text, its values packed."""
-    order = np.lexsort((values, k, rid))
+    order = np.lexsort((k, rid))
     rid, k, values = rid[order], k[order], values[order]
-    cut = np.flatnonzero((np.diff(rid) != 0) | (np.diff(k) != 0)) + 1
-    starts = np.concatenate(([0], cut)) if len(rid) else cut
-    packed = [x.tobytes() for x in np.split(values, cut)] if len(rid) else []
-    return pa.table({"rid": pa.array(rid[starts], pa.int64()), "k": pa.array(k[starts], pa.int32()), "found": pa.array(packed, pa.binary())})
+    starts = _changes(rid, k)
+    packed = [x.tobytes() for x in np.split(values, starts[1:])] if len(rid) else []
+    return pa.table({"rid": pa.array(rid[starts], pa.int64()), "k": pa.array(k[starts].astype(np.int32), pa.int32()), "found": pa.array(packed, pa.binary())})
 
 
 def _samples(plan: Plan, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(buckets, False)
         for batch in batches:
-            rid = batch.column("rid").to_pylist()
+            rid, fp = batch.column("rid").to_pylist(), batch.column("fp").to_pylist()
             for chunk in chunks(batch.column("text")):
                 units = plan.units(chunk)
                 starts = sample_starts(units.bounds, plan)
-                name = units.names(starts, plan.sample)
                 doc = np.searchsorted(units.bounds, starts, side="right") - 1
+                # a copy of an earlier row of the block stands for nothing of its own
+                own = np.array([block.texts.setdefault(f, r) >= r for f, r in zip(fp[chunk.lo : chunk.hi], rid[chunk.lo : chunk.hi], strict=True)], dtype=bool)
+                starts, doc = starts[own[doc]], doc[own[doc]]
+                name = units.names(starts, plan.sample)
                 block.add(name, (name % np.uint64(buckets)).astype(np.int32), doc, np.zeros(len(name), np.uint32), rid[chunk.lo : chunk.hi], [0] * len(chunk))
                 if block.size >= BLOCK_ENTRIES:
                     yield from block.rows()
@@ -189,12 +237,12 @@ def _samples(plan: Plan, buckets: int):
 def _repeated(table: pa.Table) -> pa.Table:
     w, rid, _, _ = _entries(table, False, False)
     order = np.argsort(w, kind="stable")
-    same = w[order][1:] == w[order][:-1]
-    twice = np.zeros(len(w), dtype=bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
+    start = _changes(w[order])
+    size = np.diff(np.append(start, len(w)))
+    twice = np.empty(len(w), dtype=bool)
+    twice[order] = np.repeat(size > 1, size)
     known, known_rid, _, _ = _entries(table, True, False)
-    out = _per_text(np.concatenate((rid[twice], known_rid)), np.zeros(int(twice.sum()) + len(known), np.int32), np.concatenate((w[twice], known)))
+    out = _per_text(np.concatenate((rid[twice], known_rid)), np.zeros(int(twice.sum()) + len(known), np.int64), np.concatenate((w[twice], known)))
     return out.select(["rid", "found"])
 
 
@@ -208,12 +256,12 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 def suspect_starts(units, found: list, plan: Plan) -> np.ndarray:
     """Starts of the windows that cover a repeated sample within reach."""
     starts = sample_starts(units.bounds, plan)
-    name = units.names(starts, plan.sample)
+    short = (units.names(starts, plan.sample) >> SHORT).astype(np.uint32)
     cut = np.searchsorted(starts, units.bounds)
     hit = np.zeros(len(starts), dtype=bool)
     for i, values in enumerate(found):
         if values and cut[i] < cut[i + 1]:
-            hit[cut[i] : cut[i + 1]] = _member(np.unique(np.frombuffer(b"".join(values), dtype=np.uint64)), name[cut[i] : cut[i + 1]])
+            hit[cut[i] : cut[i + 1]] = _member(np.unique(np.frombuffer(b"".join(values), dtype=np.uint32)), short[cut[i] : cut[i + 1]])
     starts = starts[hit]
     doc = np.searchsorted(units.bounds, starts, side="right") - 1
     low = np.maximum(units.bounds[doc], starts - plan.period + 1)
@@ -249,13 +297,24 @@ def _windows(plan: Plan, buckets: int, part: int):
 
 def _later(table: pa.Table) -> pa.Table:
     w, rid, k, pos = _entries(table, False, True)
-    order = np.lexsort((pos, k, rid, w))
-    w, rid, k, pos = w[order], rid[order], k[order], pos[order]
-    new = np.concatenate(([True], w[1:] != w[:-1]))[: len(w)]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0)) if len(w) else np.zeros(0, np.int64)
-    later = (rid != rid[head]) | (k != k[head]) | (pos != pos[head])
+    order = np.argsort(w, kind="stable")
+    start = _changes(w[order])
+    size = np.diff(np.append(start, len(w)))
+    again = np.empty(len(w), dtype=bool)
+    again[order] = np.repeat(size > 1, size)
+    w, rid, k, pos = w[again], rid[again], k[again], pos[again]
+    by_text = np.lexsort((k, rid))
+    new, rank = np.zeros(len(w), dtype=np.int64), np.empty(len(w), dtype=np.int64)
+    new[_changes(rid[by_text], k[by_text])] = 1
+    rank[by_text] = np.cumsum(new)
+    place = (rank << 32) | pos
+    order = np.argsort(w, kind="stable")
+    start = _changes(w[order])
+    later = np.zeros(len(w), dtype=bool)
+    if len(w):
+        later[order] = place[order] != np.repeat(np.minimum.reduceat(place[order], start), np.diff(np.append(start, len(w))))
     _, known_rid, known_k, known_pos = _entries(table, True, True)
-    return _per_text(np.concatenate((rid[later], known_rid)), np.concatenate((k[later], known_k)), np.concatenate((pos[later], known_pos)))
+    return _per_text(np.concatenate((rid[later], known_rid)), np.concatenate((k[later], known_k)), np.concatenate((pos[later], known_pos)).astype(np.uint32))
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -299,7 +358,7 @@ def later_windows(docs: DataFrame, plan: Plan, base: DataFrame, keep: Callable)
     reps = reps.withColumn("k", (F.row_number().over(Window.partitionBy("rid").orderBy("fp")) - 1).cast("int"))
 
     samples = buckets(total * len(plan.cover) // plan.period)
-    sampled = small_batches(docs.select("rid", "text")).mapInArrow(_samples(plan, samples), ROW)
+    sampled = small_batches(docs.select("rid", "fp", "text")).mapInArrow(_samples(plan, samples), ROW)
     repeated = settle(sampled.groupBy("bucket").applyInArrow(_repeated, "rid long, found binary"), "samples")
     repeated_of = repeated.groupBy("rid").agg(F.collect_list("found").alias("found"))
     wanted = reps.join(repeated_of, "rid")
