@@ -255,11 +255,9 @@ def _verify(size: int, num: int, den: int):
 def _links(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The candidate pairs that link, each verified once on whole texts."""
     ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    texts = settle(docs.select("rid", "text").join(ids, "rid"), "candidate-texts")
+    texts = docs.select("rid", "text").join(ids, "rid", "left_semi")  # dealt by rid once, for both sides
     both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    out = settle(small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_verify(size, num, den), "a long, b long"), "links")
-    discard(texts)
-    return out
+    return settle(small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_verify(size, num, den), "a long, b long"), "links")
 
 
 def near_copies(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
