@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm._store import discard, release, settle, small_batches
-from siltstone.llm._text import Chunk, Words, chunks, combine, prefix_hash, span_hash, word_hashes
+from siltstone.llm._text import Chunk, Words, chunks, combine, mix, prefix_hash, span_hash, word_hashes
 
 BLOCK_ENTRIES, BUCKET_ENTRIES = 1_500_000, 600_000
 FIRST = -(1 << 63)  # stands for a null doc_id: before all others
@@ -204,13 +204,43 @@ def _entries(table: pa.Table, known: bool, places: bool):
     return tuple(np.concatenate(x) for x in (ws, rids, ks, ps))
 
 
-def _per_text(rid, k, values) -> pa.Table:
-    """One row for each text, its values packed."""
-    order = np.lexsort((k, rid))
-    rid, k, values = rid[order], k[order], values[order]
-    starts = _changes(rid, k)
-    packed = [x.tobytes() for x in np.split(values, starts[1:])] if len(rid) else []
-    return pa.table({"rid": pa.array(rid[starts], pa.int64()), "k": pa.array(k[starts].astype(np.int32), pa.int32()), "found": pa.array(packed, pa.binary())})
+FOUND = "part int, rid binary, k binary, size binary, found binary"
+
+
+def _ordered(rid, k, values, part):
+    """Sorted by part and text, with the place where each text starts."""
+    order = np.lexsort((k, rid, part))
+    rid, k, values, part = rid[order], k[order], values[order], part[order]
+    return rid, k, values, part, _changes(part, rid, k)
+
+
+def _to_texts(rid, k, values, parts: int) -> pa.Table:
+    """What a bucket found, packed by the part to which its texts belong: a row for each part, not for each text."""
+    part = (mix(rid.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    rid, k, values, part, text = _ordered(rid, k, values, part)
+    size, cut, out = np.diff(np.append(text, len(rid))), _changes(part[text]), []
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(text)], strict=True):
+        lo, hi = text[a], text[b] if b < len(text) else len(rid)
+        out.append((int(part[lo]), rid[text[a:b]].tobytes(), _shrink(k[text[a:b]]), _shrink(size[a:b]), values[lo:hi].tobytes()))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["part", "rid", "k", "size", "found"])
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """One row for each text of a part, all that was found for it packed."""
+    rids, ks, values = [], [], []
+    for row in table.to_pylist():
+        size = _grow(row["size"])
+        rids.append(np.repeat(np.frombuffer(row["rid"], dtype=np.int64), size))
+        ks.append(np.repeat(_grow(row["k"]), size))
+        values.append(np.frombuffer(row["found"], dtype=np.uint32))
+    rid, k, found = (np.concatenate(x) for x in (rids, ks, values))
+    rid, k, found, _, text = _ordered(rid, k, found, np.zeros(len(rid), np.int32))
+    return pa.table({"rid": pa.array(rid[text]), "k": pa.array(k[text].astype(np.int32)), "found": pa.array([x.tobytes() for x in np.split(found, text[1:])], pa.binary())})
+
+
+def gathered(packed: DataFrame) -> DataFrame:
+    return packed.groupBy("part").applyInArrow(_by_text, "rid long, k int, found binary")
 
 
 def _samples(plan: Plan, buckets: int):
@@ -234,16 +264,18 @@ def _samples(plan: Plan, buckets: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    w, rid, _, _ = _entries(table, False, False)
-    order = np.argsort(w, kind="stable")
-    start = _changes(w[order])
-    size = np.diff(np.append(start, len(w)))
-    twice = np.empty(len(w), dtype=bool)
-    twice[order] = np.repeat(size > 1, size)
-    known, known_rid, _, _ = _entries(table, True, False)
-    out = _per_text(np.concatenate((rid[twice], known_rid)), np.zeros(int(twice.sum()) + len(known), np.int64), np.concatenate((w[twice], known)))
-    return out.select(["rid", "found"])
+def _repeated(parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        w, rid, _, _ = _entries(table, False, False)
+        order = np.argsort(w, kind="stable")
+        start = _changes(w[order])
+        size = np.diff(np.append(start, len(w)))
+        twice = np.empty(len(w), dtype=bool)
+        twice[order] = np.repeat(size > 1, size)
+        known, known_rid, _, _ = _entries(table, True, False)
+        return _to_texts(np.concatenate((rid[twice], known_rid)), np.zeros(int(twice.sum()) + len(known), np.int64), np.concatenate((w[twice], known)), parts)
+
+    return run
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -261,7 +293,7 @@ def suspect_starts(units, found: list, plan: Plan) -> np.ndarray:
     hit = np.zeros(len(starts), dtype=bool)
     for i, values in enumerate(found):
         if values and cut[i] < cut[i + 1]:
-            hit[cut[i] : cut[i + 1]] = _member(np.unique(np.frombuffer(b"".join(values), dtype=np.uint32)), short[cut[i] : cut[i + 1]])
+            hit[cut[i] : cut[i + 1]] = _member(np.unique(np.frombuffer(values, dtype=np.uint32)), short[cut[i] : cut[i + 1]])
     starts = starts[hit]
     doc = np.searchsorted(units.bounds, starts, side="right") - 1
     low = np.maximum(units.bounds[doc], starts - plan.period + 1)
@@ -295,26 +327,29 @@ def _windows(plan: Plan, buckets: int, part: int):
     return run
 
 
-def _later(table: pa.Table) -> pa.Table:
-    w, rid, k, pos = _entries(table, False, True)
-    order = np.argsort(w, kind="stable")
-    start = _changes(w[order])
-    size = np.diff(np.append(start, len(w)))
-    again = np.empty(len(w), dtype=bool)
-    again[order] = np.repeat(size > 1, size)
-    w, rid, k, pos = w[again], rid[again], k[again], pos[again]
-    by_text = np.lexsort((k, rid))
-    new, rank = np.zeros(len(w), dtype=np.int64), np.empty(len(w), dtype=np.int64)
-    new[_changes(rid[by_text], k[by_text])] = 1
-    rank[by_text] = np.cumsum(new)
-    place = (rank << 32) | pos
-    order = np.argsort(w, kind="stable")
-    start = _changes(w[order])
-    later = np.zeros(len(w), dtype=bool)
-    if len(w):
-        later[order] = place[order] != np.repeat(np.minimum.reduceat(place[order], start), np.diff(np.append(start, len(w))))
-    _, known_rid, known_k, known_pos = _entries(table, True, True)
-    return _per_text(np.concatenate((rid[later], known_rid)), np.concatenate((k[later], known_k)), np.concatenate((pos[later], known_pos)).astype(np.uint32))
+def _later(parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        w, rid, k, pos = _entries(table, False, True)
+        order = np.argsort(w, kind="stable")
+        start = _changes(w[order])
+        size = np.diff(np.append(start, len(w)))
+        again = np.empty(len(w), dtype=bool)
+        again[order] = np.repeat(size > 1, size)
+        w, rid, k, pos = w[again], rid[again], k[again], pos[again]
+        by_text = np.lexsort((k, rid))
+        new, rank = np.zeros(len(w), dtype=np.int64), np.empty(len(w), dtype=np.int64)
+        new[_changes(rid[by_text], k[by_text])] = 1
+        rank[by_text] = np.cumsum(new)
+        place = (rank << 32) | pos
+        order = np.argsort(w, kind="stable")
+        start = _changes(w[order])
+        later = np.zeros(len(w), dtype=bool)
+        if len(w):
+            later[order] = place[order] != np.repeat(np.minimum.reduceat(place[order], start), np.diff(np.append(start, len(w))))
+        _, known_rid, known_k, known_pos = _entries(table, True, True)
+        return _to_texts(np.concatenate((rid[later], known_rid)), np.concatenate((k[later], known_k)), np.concatenate((pos[later], known_pos)).astype(np.uint32), parts)
+
+    return run
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -329,7 +364,7 @@ def _digest(plan: Plan, keep: Callable):
         for batch in batches:
             rows = []
             for fp, text, found in zip(*(batch.column(c) for c in ("fp", "text", "found")), strict=True):
-                starts = np.frombuffer(b"".join(found.as_py()), dtype=np.uint32).astype(np.int64)
+                starts = np.frombuffer(found.as_py(), dtype=np.uint32).astype(np.int64)
                 rows.append((fp.as_py(), *keep((text.as_py() or "").encode(), starts, plan.length)))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
             if rows:
@@ -359,19 +394,17 @@ def later_windows(docs: DataFrame, plan: Plan, base: DataFrame, keep: Callable)
 
     samples = buckets(total * len(plan.cover) // plan.period)
     sampled = small_batches(docs.select("rid", "fp", "text")).mapInArrow(_samples(plan, samples), ROW)
-    repeated = settle(sampled.groupBy("bucket").applyInArrow(_repeated, "rid long, found binary"), "samples")
-    repeated_of = repeated.groupBy("rid").agg(F.collect_list("found").alias("found"))
-    wanted = reps.join(repeated_of, "rid")
+    repeated = settle(sampled.groupBy("bucket").applyInArrow(_repeated(samples), FOUND), "samples")
+    wanted = reps.join(gathered(repeated).select("rid", "found"), "rid")
     suspects = settle(docs.join(wanted, ["rid", "fp"]).select("rid", "k", "fp", "text", "found"), "suspects")
     discard(repeated)
 
     later = None
     for part in range(plan.slices):
         windows = small_batches(suspects).mapInArrow(_windows(plan, buckets(total // plan.slices // 4), part), ROW)
-        found = settle(windows.groupBy("bucket").applyInArrow(_later, "rid long, k int, found binary"), f"later-{part}")
+        found = settle(windows.groupBy("bucket").applyInArrow(_later(samples), FOUND), f"later-{part}")
         later = found if later is None else later.unionByName(found)
-    removed = later.groupBy("rid", "k").agg(F.collect_list("found").alias("found"))
-    texts = suspects.select("rid", "k", "fp", "text").join(removed, ["rid", "k"])
+    texts = suspects.select("rid", "k", "fp", "text").join(gathered(later), ["rid", "k"])
     digests = settle(small_batches(texts).mapInArrow(_digest(plan, keep), "fp binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["fp"]), "digests")
     discard(suspects)
     release(spark)
