@@ -178,8 +178,8 @@ class Block:
             step[1:] -= step[:-1].copy()
             step[docs] = pos[i][docs]
             counts, name = np.diff(np.append(docs, len(i))), w[i]
-            cut = _changes(to[docs])
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(docs)], strict=True):
+            cut = _changes(to[docs]).tolist()
+            for a, b in zip(cut, [*cut, len(docs)][1:], strict=True):
                 lo, hi = docs[a], docs[b] if b < len(docs) else len(i)
                 of = doc[i[docs[a:b]]]
                 names = name[lo:hi] if self.places else (name[lo:hi] >> SHORT).astype("<u4")
@@ -218,8 +218,8 @@ def _to_texts(rid, k, values, parts: int) -> pa.Table:
     """What a bucket found, packed by the part to which its texts belong: a row for each part, not for each text."""
     part = (mix(rid.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     rid, k, values, part, text = _ordered(rid, k, values, part)
-    size, cut, out = np.diff(np.append(text, len(rid))), _changes(part[text]), []
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(text)], strict=True):
+    size, cut, out = np.diff(np.append(text, len(rid))), _changes(part[text]).tolist(), []
+    for a, b in zip(cut, [*cut, len(text)][1:], strict=True):
         lo, hi = text[a], text[b] if b < len(text) else len(rid)
         out.append((int(part[lo]), rid[text[a:b]].tobytes(), _shrink(k[text[a:b]]), _shrink(size[a:b]), values[lo:hi].tobytes()))
     kinds = (pa.int32(), *[pa.binary()] * 4)
