@@ -72,11 +72,12 @@ def code_snippet(line: Column, evidence: Column, lines: Column) -> Column:
     """The line with its neighbours, else the evidence."""
     known = F.coalesce(line.between(1, F.size(lines)), F.lit(False))
     start = F.greatest(line - 1, F.lit(1)).cast("int")
-    around = F.transform(F.slice(lines, start, (F.least(line + 1, F.size(lines)) - start + 1).cast("int")), unescape_html)
+    around = F.transform(F.slice(lines, start, (F.least(line + 1, F.size(lines)) - start + 1).cast("int")), lambda x: unescape_html(x))
     return F.when(known, F.array_join(around, "\n")).otherwise(F.array_join(evidence, "\n"))
 
 
 def pins(findings: DataFrame, key: str = "artifact_id", line: str = "line") -> DataFrame:
-    """For each artifact a map from line to its last finding."""
-    rows = findings.filter(F.col(line).isNotNull() & (F.col(line) != 0)).groupBy(key, line).agg(F.max_by(F.struct("severity", F.concat(F.lit("f-"), F.col("idx").cast("string")).alias("id")), "idx").alias("pin"))
+    """For each artifact a map from line to its last finding; of two with one number, the later severity by name."""
+    last = F.struct("severity", F.concat(F.lit("f-"), F.col("idx").cast("string")).alias("id"))
+    rows = findings.filter(F.col(line).isNotNull() & (F.col(line) != 0)).groupBy(key, line).agg(F.max_by(last, F.struct("idx", "severity")).alias("pin"))
     return rows.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(line), F.col("pin"))))).alias("pins"))

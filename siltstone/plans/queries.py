@@ -361,7 +361,7 @@ def j1_j2_places(spark, sf_dir):
     return placed(spark, sf_dir).select("artifact_id", "idx", "line", J.code_snippet(F.col("line"), F.col("evidence"), F.col("lines")).alias("snippet"))
 
 
-@query(f"WITH {_PLACED} SELECT artifact_id, line, arg_max(severity, idx) AS severity, 'f-' || max(idx) AS id FROM e WHERE line IS NOT NULL AND line <> 0 GROUP BY ALL")
+@query(f"WITH {_PLACED} SELECT artifact_id, line, max({{'idx': idx, 'severity': severity}}).severity AS severity, 'f-' || max(idx) AS id FROM e WHERE line IS NOT NULL AND line <> 0 GROUP BY ALL")
 def a6_pins(spark, sf_dir):
     return J.pins(placed(spark, sf_dir)).select("artifact_id", F.explode("pins").alias("line", "pin")).select("artifact_id", "line", "pin.severity", "pin.id")
 
@@ -413,7 +413,7 @@ def m7_m8_prompt(spark, sf_dir):
     return M.prompt_parts(rows, task).select("artifact_id", "task_line", "fenced_source")
 
 
-@query(f"WITH {_PLACED} SELECT artifact_id, idx, 'f-' || idx AS id, severity, CASE WHEN line BETWEEN 1 AND len(lines) THEN array_to_string(list_transform(lines[greatest(line - 1, 1):line + 1], lambda x: {Q.unescaped('x')}), chr(10)) ELSE nullif(array_to_string(ev, chr(10)), '') END AS code_snippet FROM e")
+@query(f"WITH {_PLACED} SELECT artifact_id, idx, 'f-' || idx AS id, severity, nullif(CASE WHEN line BETWEEN 1 AND len(lines) THEN array_to_string(list_transform(lines[greatest(line - 1, 1):line + 1], lambda x: {Q.unescaped('x')}), chr(10)) ELSE array_to_string(ev, chr(10)) END, '') AS code_snippet FROM e")
 def m9_follow_up(spark, sf_dir):
     snippet = F.nullif(J.code_snippet(F.col("line"), F.col("evidence"), F.col("lines")), F.lit(""))
     return placed(spark, sf_dir).select("artifact_id", "idx", F.concat(F.lit("f-"), F.col("idx").cast("string")).alias("id"), F.coalesce("severity", F.lit("info")).alias("severity"), snippet.alias("code_snippet"))
@@ -429,7 +429,7 @@ def requests(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), at.alias("at_ms"), F.col("event_id").alias("request_id"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, epoch_ms(ts) AS at_ms, event_id AS request_id FROM events),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS at_ms, event_id AS request_id FROM events),
 w AS (SELECT key, min(at_ms) AS s FROM e GROUP BY key UNION ALL SELECT w.key, min(e.at_ms) AS s FROM w JOIN e ON e.key = w.key AND e.at_ms >= w.s + {_WINDOW} GROUP BY w.key, w.s),
 d AS (SELECT e.*, max(w.s) AS s FROM e JOIN w ON w.key = e.key AND w.s <= e.at_ms GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key, s ORDER BY at_ms, request_id) AS n FROM d)
 SELECT key, at_ms, request_id, n <= {_MOST} AS allowed, greatest({_MOST} - n, 0)::INT AS remaining, CASE WHEN n > {_MOST} THEN {_WINDOW} - (at_ms - s) ELSE 0 END AS retry_after_ms FROM r""")
