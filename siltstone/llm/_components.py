@@ -16,20 +16,20 @@ def components(edges: DataFrame) -> DataFrame:
     The number of nodes with edges falls by a constant factor a round, whatever
     the shape of the graph. Rounds are written down, so none is recomputed.
     """
-    edges = settle(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    edges = settle(edges.select("a", "b").filter("a <> b").distinct(), "edges", free=False)
     labels, turn = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("r"), F.col(c).alias("id"))  # noqa: B023, E731
-        moved = settle(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least("best", F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), F.col("a").alias("id")))["id"].alias("to")), "moved")
+        moved = settle(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least("best", F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), F.col("a").alias("id")))["id"].alias("to")), "moved", free=False)
         ends = edges.join(moved.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(moved.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        rest = settle(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        rest = settle(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", free=False)
         discard(edges)
         edges = rest
         if labels is None:
             labels = moved
         else:
-            new = settle(labels.join(moved.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "labels")
+            new = settle(labels.join(moved.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "labels", free=False)
             discard(labels)
             discard(moved)
             labels = new

@@ -19,19 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     The written table cuts lineage: a lost executor costs a re-read, not a
     recomputation. Shuffle files of the finished job are no longer needed, so
-    both garbage collectors get a hint to let Spark's cleaner drop them.
+    both garbage collectors get a hint to let Spark's cleaner drop them; free=False
+    leaves that out for small tables written in a loop.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    release(spark)
+    if free:
+        release(spark)
     out = spark.read.schema(schema).parquet(path)
     out._siltstone_path = path
     return out
