@@ -43,6 +43,8 @@ from siltstone.llm._windows import FIRST
 
 SKETCH_BITS, SKETCH_SLICES, SHORT_LIST = 20, 64, 24
 BLOCK_ENTRIES, BUCKET_ENTRIES = 1_000_000, 400_000
+#: Bits of the marks that keep texts without a candidate partner out of the shuffle.
+MARK_BITS = 25
 
 
 def shingle_sets(chunk: Chunk, size: int) -> list[np.ndarray]:
@@ -252,10 +254,22 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
+def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose rid may be in ids: none that is there is lost, few others come along while `MARK_BITS` is large.
+
+    The marks are at most 2 ** (MARK_BITS - 6) rows of two longs whatever the corpus, so broadcasting them is safe;
+    when they are all set this lets every row through.
+    """
+    slot = lambda: F.pmod(F.xxhash64("rid"), F.lit(1 << MARK_BITS))
+    word, bit = F.shiftright(slot(), 6).alias("_word"), slot().bitwiseAND(F.lit(63)).cast("int").alias("_bit")
+    marks = ids.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mark"))
+    return rows.select("*", word, bit).join(F.broadcast(marks), "_word").filter(F.getbit("_mark", "_bit") == 1).drop("_word", "_bit", "_mark")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The candidate pairs that link, each verified once on whole texts."""
     ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    texts = docs.select("rid", "text").join(ids, "rid", "left_semi")  # dealt by rid once, for both sides
+    texts = _maybe_in(docs.select("rid", "text"), ids)  # dealt by rid once, for both sides; the joins drop what came along
     both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
     return settle(small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_verify(size, num, den), "a long, b long"), "links")
 
