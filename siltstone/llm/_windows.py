@@ -11,7 +11,8 @@ windows share an equal sample of L - v + 1 units at the same shift.
    for each block, not once for each document; what repeats within the block is
    known to repeat already.
 2. Suspects: texts with repeated samples, one text for each group of equal
-   texts (its earliest row), are written to the shared folder.
+   texts (its earliest row, and of repeated rows one), are written to the
+   shared folder.
 3. Windows: around repeated samples every window's fingerprint goes to its
    bucket, again once for each block, with its place. Sorted by fingerprint and
    place, all but the first of a run start later than an equal window.
@@ -396,7 +397,8 @@ def later_windows(docs: DataFrame, plan: Plan, base: DataFrame, keep: Callable)
     sampled = small_batches(docs.select("rid", "fp", "text")).mapInArrow(_samples(plan, samples), ROW)
     repeated = settle(sampled.groupBy("bucket").applyInArrow(_repeated(samples), FOUND), "samples")
     wanted = reps.join(gathered(repeated).select("rid", "found"), "rid")
-    suspects = settle(docs.join(wanted, ["rid", "fp"]).select("rid", "k", "fp", "text", "found"), "suspects")
+    once = docs.dropDuplicates(["rid", "fp"])  # a repeated row is no later copy of itself
+    suspects = settle(once.join(wanted, ["rid", "fp"]).select("rid", "k", "fp", "text", "found"), "suspects")
     discard(repeated)
 
     later = None

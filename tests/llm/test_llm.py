@@ -213,3 +213,17 @@ def test_pipeline(spark, folder, nothing):
     assert "hunter2" not in clean.text and "AKIA" not in clean.text and clean.n_chars == len(clean.text)
     assert corpus_pipeline.run(spark, nothing).collect() == []
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name", ["op5_substring_dedup", "op10_suffix_array"])
+def test_repeated_rows_are_one_document(spark, tmp_path, name):
+    """Repeated rows, also with null ids, give the same as one of them, in one partition and in several."""
+    once = [(7, PASSAGE), (9, f"intro {PASSAGE} tail"), (None, PASSAGE.replace("word", "null")), (3, PASSAGE.replace("word", "own"))]
+    found = []
+    for part, rows in enumerate((once, [once[0], once[0], once[1], once[2], once[2], *once[2:], once[0]])):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 2 * part).write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        found.append({tuple(r) for r in QUERIES[name](spark, f"{tmp_path}/{part}").collect()})
+    assert found[0] == found[1]
+    assert {r[0]: r[2] > 0 for r in found[1]} == {7: False, 9: True, None: False, 3: False}
+    spark.createDataFrame([once[0]] * 2, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/two/documents.parquet")
+    assert [r.n_removed for r in QUERIES[name](spark, f"{tmp_path}/two").collect()] == [0, 0]
