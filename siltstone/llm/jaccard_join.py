@@ -18,11 +18,16 @@ one class and need no comparison. For the rest:
    components and pass the filters are then verified too, so no connection
    between different texts is lost.
 
+Texts are compared under a 64-bit hash of their own (rid), never under doc_id:
+rows of one doc_id, or of none, need not hold the same text.
+
 Defined cases: a null or empty text has no set and links with nothing; a text
-shorter than a shingle is one shingle; a null doc_id counts as one document
-before all others, whose component_id is null; rows with the same doc_id are
-one document; an empty table gives an empty result; other columns are ignored
-by the query and carried by `drop_near_copies`.
+shorter than a shingle is one shingle; an empty table gives an empty result.
+In the query, as in its SQL, a class of equal sets is named by its least
+doc_id and classes of one name are one node; a set that only rows with a null
+doc_id hold has no name, links with nothing and has a null component_id; other
+columns are ignored. `drop_near_copies` compares every row whatever its doc_id,
+and carries all columns.
 """
 
 from __future__ import annotations
@@ -34,12 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.llm._components import components
 from siltstone.llm._store import discard, read_table, settle, small_batches
 from siltstone.llm._text import LOWER, Chunk, Words, chunks, combine, runs, word_hashes
-from siltstone.llm._windows import FIRST
 
 SKETCH_BITS, SKETCH_SLICES, SHORT_LIST = 20, 64, 24
 BLOCK_ENTRIES, BUCKET_ENTRIES = 1_000_000, 400_000
@@ -74,7 +77,7 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
-FIRST_PASS = "rid long, doc_id long, n long, fp binary, slice int, counts binary"
+FIRST_PASS = "rid long, doc_id long, md5 binary, n long, fp binary, slice int, counts binary"
 
 
 def _sets(size: int):
@@ -88,9 +91,9 @@ def _sets(size: int):
                 fp += [hashlib.md5(s.tobytes()).digest() for s in sets]
                 if len(every := np.concatenate(sets)):
                     sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=[x.split()[0] for x in FIRST_PASS.split(", ")])
+            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), batch.column("md5"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=[x.split()[0] for x in FIRST_PASS.split(", ")])
         rows = np.split(sketch, SKETCH_SLICES)
-        yield pa.record_batch([*[pa.nulls(SKETCH_SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=[x.split()[0] for x in FIRST_PASS.split(", ")])
+        yield pa.record_batch([*[pa.nulls(SKETCH_SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())], pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=[x.split()[0] for x in FIRST_PASS.split(", ")])
 
     return run
 
@@ -269,33 +272,40 @@ def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The candidate pairs that link, each verified once on whole texts."""
     ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    texts = _maybe_in(docs.select("rid", "text"), ids)  # dealt by rid once, for both sides; the joins drop what came along
+    # dealt by rid once, for both sides, each text once; the joins drop what came along
+    texts = _maybe_in(docs.select("rid", "text"), ids).dropDuplicates(["rid"])
     both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
     return settle(small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_verify(size, num, den), "a long, b long"), "links")
 
 
-def near_copies(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, rid, n, component) for each row of docs (doc_id, text)."""
+def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, md5, n, fp) for each row of docs (doc_id, text), and (fp, id, component) for each class of equal sets.
+
+    id is the class's least doc_id. With `named`, only classes that have one
+    take part, and those of one id are one node.
+    """
     spark = docs.sparkSession
-    key = F.col("doc_id").cast("long")
-    rows = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(FIRST)).alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    first = settle(small_batches(rows).mapInArrow(_sets(size), FIRST_PASS), "sets")
-    base = first.filter(F.col("slice").isNull()).select("doc_id", "rid", "n", "fp")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
+    first = settle(small_batches(rows.withColumn("md5", F.unhex(F.md5(F.col("text").cast("binary"))))).mapInArrow(_sets(size), FIRST_PASS), "sets")
+    base = first.filter(F.col("slice").isNull()).select("doc_id", "rid", "md5", "n", "fp")
     sketch = spark.sparkContext.broadcast(_sketch(first))
     total = base.agg(F.sum("n")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-total * (den - num) // den // BUCKET_ENTRIES))
 
+    of = F.col("doc_id").isNotNull() if named else F.lit(True)
+    rows = rows.filter(of)
     posted = small_batches(rows.select("rid", "text")).mapInArrow(_postings(sketch, size, num, den, buckets), POSTED)
     found = settle(posted.groupBy("bucket").applyInArrow(_candidates(num, den), FOUND), "candidates")
     pairs = found.filter("b is not null").select("a", "b").distinct()
     links = _links(pairs, rows, size, num, den)
 
-    # rows of one doc_id with different texts are one document
-    several = base.filter("n > 0").groupBy("rid").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("rid")
-    reps = base.filter("n > 0").groupBy("fp").agg(F.min("rid").alias("rep"))
-    same = base.filter("n > 0").join(several, "rid").join(reps, "fp").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
-    edges = links.unionByName(same)
+    classes = settle(base.filter("n > 0").filter(of).groupBy("fp").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("id")), "classes")
+    edges = links
+    if named:
+        several = classes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
+        edges = edges.unionByName(classes.join(several, "id").select("a", F.col("rep").alias("b")))
     labels = settle(components(edges), "components")
 
     long = found.filter("b is null").select("token", F.col("a").alias("rid"), "n", "pos")
@@ -309,29 +319,38 @@ def near_copies(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         more = _links(rest, rows, size, num, den)
         labels = settle(components(edges.unionByName(more)), "components")
     discard(found)
-    out = base.join(reps, "fp", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("rid")).otherwise(F.coalesce("component", "rep"))
-    return out.select("doc_id", "rid", "n", component.alias("component"))
+    labels = labels.select(F.col("node").alias("rep"), "component")
+    return base, classes.join(labels, "rep", "left").select("fp", "id", F.coalesce("component", "rep").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id; all columns are carried.
+    """One row of each component stays, the one with the least doc_id (null before all others); all columns are carried.
 
-    Of several rows with one doc_id the one with the least md5 of its text stays.
+    Of several rows with one doc_id the one with the least md5 of its text
+    stays, and one of rows that repeat both. A row without a shingle stays.
     """
-    ids = near_copies(docs.select("doc_id", "text"), size, num, den)
-    ids = settle(ids.select("rid", "component"), "near-copies")
-    gone = ids.filter("rid <> component").select("rid").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
-    kept = docs.withColumn("_rid", key).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left_anti")
-    again = settle(ids.groupBy("rid").count().filter("count > 1").select(F.col("rid").alias("_rid")), "again")
+    base, classes = near_copies(docs.select("doc_id", "text"), size, num, den)
+    base = base.filter("n > 0")
+    place = F.struct("doc_id", "md5", "rid")  # a null is least
+    best = base.groupBy("fp").agg(F.min(place).alias("best"))
+    stays = classes.join(best, "fp").groupBy("component").agg(F.min("best").alias("best")).select("best.doc_id", "best.rid")
+    same = lambda a, b: a["rid"].eqNullSafe(b["rid"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    rows = settle(base.groupBy("doc_id", "rid").count().withColumnRenamed("count", "n"), "near-copies")
+    stays = settle(stays, "stays")
+    gone = rows.join(stays, same(rows, stays), "left_anti").select("doc_id", "rid")
+    key = lambda: docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_rid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    match = lambda a, b: a["_rid"].eqNullSafe(b["rid"]) & a["_id"].eqNullSafe(b["doc_id"])
+    every = key()
+    kept = every.join(gone, match(every, gone), "left_anti")
+    again = rows.filter("n > 1").select("doc_id", "rid")
     if not again.isEmpty():
-        first = Window.partitionBy("_rid").orderBy(F.md5(F.col("text").cast("binary")))
-        one = kept.join(again, "_rid").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-        kept = kept.join(again, "_rid", "left_anti").unionByName(one)
+        one = kept.join(again, match(kept, again), "left_semi").dropDuplicates(["_id", "_rid"])
+        kept = kept.join(again, match(kept, again), "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_copies(read_table(spark, sf_dir, "documents"), 4, 85, 100)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != FIRST, F.col("component")).alias("component_id"))
+    base, classes = near_copies(read_table(spark, sf_dir, "documents"), 4, 85, 100, named=True)
+    names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
+    of = classes.join(names, "component").select("fp", "component_id")
+    return base.join(of, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

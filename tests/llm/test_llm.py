@@ -227,3 +227,64 @@ def test_repeated_rows_are_one_document(spark, tmp_path, name):
     assert {r[0]: r[2] > 0 for r in found[1]} == {7: False, 9: True, None: False, 3: False}
     spark.createDataFrame([once[0]] * 2, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/two/documents.parquet")
     assert [r.n_removed for r in QUERIES[name](spark, f"{tmp_path}/two").collect()] == [0, 0]
+
+
+ODD_IDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_ids():
+    """Clean texts, near and exact copies and repeated rows under null and repeated ids."""
+    r = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{x}" for x in r.integers(0, 10**6, 60))
+    near = lambda t: t.replace(t.split()[59], "other")
+    clean = [text() for _ in range(24)]
+    rows = [((None, 5, 100 + i)[i % 3], t) for i, t in enumerate(clean)]
+    rows += [(200, near(clean[0])), (201, near(clean[3])), (202, near(clean[1])), (203, clean[2]), (None, clean[6]), (None, clean[6]), (5, clean[4]), (7, near(clean[5])), (7, near(clean[8])), (8, ""), (8, ""), (None, None), (None, "")]
+    return [(i, t, "en", f"s{n}", len(t or "")) for n, (i, t) in enumerate(rows)]
+
+
+def by_hand(rows, size, num, den, node=lambda n: n):
+    """The component of each row, every pair compared; rows whose node is None take no part."""
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if (w := (r[1] or "").lower().split()) else set() for r in rows]
+    name = {n: node(n) for n in range(len(rows)) if sets[n] and node(n) is not None}
+    label = {x: x for x in name.values()}
+    for a in name:
+        for b in name:
+            if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) and (old := label[name[a]]) != (new := label[name[b]]):
+                label = {k: min(old, new) if v in (old, new) else v for k, v in label.items()}
+    return {n: label[x] for n, x in name.items()}
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    from siltstone.llm.jaccard_join import drop_near_copies
+
+    rows = odd_ids()
+    groups = {}
+    for n, c in by_hand(rows, 5, 80, 100).items():
+        groups.setdefault(c, []).append(n)
+    place = lambda n: (rows[n][0] is not None, rows[n][0] or 0, hashlib.md5((rows[n][1] or "").encode()).hexdigest())
+    wanted = Counter(rows[min(g, key=place)][:2] for g in groups.values()) + Counter(r[:2] for r in rows if not r[1])
+    kept = drop_near_copies(spark.createDataFrame(rows, ODD_IDS).repartition(5)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == wanted
+    assert len({r.source for r in kept}) == len(kept) and {tuple(r) for r in kept} <= set(rows)
+
+
+def test_pipeline_against_brute_force_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = odd_ids()
+    spark.createDataFrame(rows, ODD_IDS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    groups = {c for n, c in by_hand(rows, 5, 80, 100).items()}
+    pieces = [r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.piece == 0]
+    assert len(pieces) == len(groups) == 24
+
+
+def test_join_with_null_and_repeated_ids_matches_sql(spark, tmp_path):
+    spark.createDataFrame(odd_ids(), ODD_IDS).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    import glob
+
+    (path,) = glob.glob(f"{tmp_path}/rows/*.parquet")
+    (tmp_path / "in").mkdir()
+    pq.write_table(pq.read_table(path), tmp_path / "in/documents.parquet")
+    same_rows(spark, QUERIES["op6_ngram_jaccard_join"], registry.oracle_sql()["op6_ngram_jaccard_join"], str(tmp_path / "in"))
