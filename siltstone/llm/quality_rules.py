@@ -8,10 +8,12 @@ a fixed limit for both histograms. Short texts are not judged on a histogram
 they are too short to fill: below `MIN_CHARS` code points or `MIN_WORDS` words
 the distance is reported but rejects nothing.
 
-References are computed over every document. A language with less than
-1/1000 of the corpus's words, and a null language, is compared with the
-reference of the whole corpus, which bounds the broadcast references at 1001
-entries whatever the data hold.
+References are computed over every document, one for each language that has
+`MIN_LANGUAGE_WORDS` words, whatever the size of the rest. Those of languages
+with at least 1/1000 of the corpus's words are broadcast, so at most 1000; the
+others are a table that is joined to their documents. A language with less
+text, and a null language, has no reference: the distances from the whole
+corpus are reported but reject nothing.
 
 Defined cases: null text = empty text (no words, base_failed, not kept);
 repeated rows each get their own equal verdict; an empty table gives an empty
@@ -34,6 +36,8 @@ from siltstone.llm._text import LOWER, SPACE, Words, chunks, combine, prefix_has
 MIN_CHARS, MIN_WORDS = 200, 50
 CHAR_LIMIT, WORD_LIMIT = 0.30, 0.40
 COMMON_SHARE, LANGUAGE_SHARE = 200, 1000
+#: With fewer words a common word would occur under ten times in the reference.
+MIN_LANGUAGE_WORDS = 10 * COMMON_SHARE
 FLUSH_WORDS = 2_000_000
 
 #: Character classes: lower, upper, digit, space, punctuation, emphasis, symbol, beyond ASCII; 8 = skipped.
@@ -96,8 +100,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def references(docs: DataFrame) -> dict:
-    """Language -> (class shares, sorted common word keys, their shares); None -> the whole corpus."""
+def _reference(pairs: list, by_class: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pairs.sort()
+    share = np.array([by_class.get(c, 0) for c in range(N_CLASSES)], dtype=float)
+    return share / max(share.sum(), 1), np.array([k for k, _ in pairs], dtype=np.int64), np.array([s for _, s in pairs], dtype=float)
+
+
+def references(docs: DataFrame) -> tuple[dict, DataFrame | None]:
+    """Language -> (class shares, sorted common word keys, their shares), None -> the whole corpus; and a table (_lang, _words, _classes) of the smaller languages, if there are any."""
     counted = (
         small_batches(docs).select("text", F.col("lang").cast("string").alias("lang"))
         .mapInArrow(_count, "lang string, is_class boolean, key long, n long")
@@ -106,7 +116,8 @@ def references(docs: DataFrame) -> dict:
     counted = settle(counted, "language-words")
     totals = counted.groupBy("lang", "is_class").agg(F.sum("n").alias("total"))
     words = totals.filter("not is_class").agg(F.sum("total")).first()[0] or 0
-    large = totals.filter(F.col("lang").isNotNull() & ~F.col("is_class") & (F.col("total") * LANGUAGE_SHARE >= words)).select("lang", "total")
+    own = totals.filter(F.col("lang").isNotNull() & ~F.col("is_class") & (F.col("total") >= MIN_LANGUAGE_WORDS)).select("lang", "total")
+    large, small = own.filter(F.col("total") * LANGUAGE_SHARE >= words), own.filter(F.col("total") * LANGUAGE_SHARE < words)
     pooled = counted.groupBy("is_class", "key").agg(F.sum("n").alias("n"))
     common = pooled.filter(~F.col("is_class") & (F.col("n") * COMMON_SHARE >= words)).select(F.lit(None).cast("string").alias("lang"), "key", "n", F.lit(words).cast("long").alias("total"))
     per_lang = counted.filter("not is_class").join(F.broadcast(large), "lang").filter(F.col("n") * COMMON_SHARE >= F.col("total")).select("lang", "key", "n", "total")
@@ -117,13 +128,13 @@ def references(docs: DataFrame) -> dict:
         counted.filter("is_class").join(F.broadcast(large), "lang").select("lang", "key", "n"))
     for lang, key, n in classes.collect():
         out.setdefault(lang, ([], [], {}))[2][key] = n
+    joined = None
+    if not small.isEmpty():
+        entry = F.struct("key", "n", "total")
+        mine = counted.join(small, "lang").filter(F.col("is_class") | (F.col("n") * COMMON_SHARE >= F.col("total")))
+        joined = settle(mine.groupBy(F.col("lang").alias("_lang")).agg(F.collect_list(F.when(~F.col("is_class"), entry)).alias("_words"), F.collect_list(F.when(F.col("is_class"), entry)).alias("_classes")), "small-languages")
     discard(counted)
-    done = {}
-    for lang, (_, pairs, by_class) in out.items():
-        pairs.sort()
-        share = np.array([by_class.get(c, 0) for c in range(N_CLASSES)], dtype=float)
-        done[lang] = (share / max(share.sum(), 1), np.array([k for k, _ in pairs], dtype=np.int64), np.array([s for _, s in pairs], dtype=float))
-    return done
+    return {lang: _reference(pairs, by_class) for lang, (_, pairs, by_class) in out.items()}, joined
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -175,7 +186,8 @@ def measures(chunk) -> dict[str, np.ndarray]:
     }
 
 
-def distances(chunk, words: Words, langs: np.ndarray, refs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distances(chunk, words: Words, langs: np.ndarray, refs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By class, by word, code points, and whether the language has a reference of its own."""
     counts = class_counts(chunk)
     n_chars = counts.sum(axis=1)
     shares = counts / np.maximum(n_chars, 1)[:, None]
@@ -198,26 +210,35 @@ def distances(chunk, words: Words, langs: np.ndarray, refs: dict) -> tuple[np.nd
         table = np.bincount(row[docs[here]] * width + slot, minlength=width * int(mine.sum())).reshape(-1, width)
         ref = np.append(common_ref, max(0.0, 1 - common_ref.sum()))
         by_word[mine] = js_distance(table / np.maximum(table.sum(axis=1, keepdims=True), 1), ref)
-    return by_class, by_word, n_chars
+    return by_class, by_word, n_chars, np.array([x is not None for x in own], dtype=bool)
 
 
 VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
+INTERNAL = ("_text", "_lang", "_words", "_classes")
+
+
 def _judge(refs, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = refs.value
         for batch in batches:
+            table = refs.value
             langs = np.array(batch.column("_lang").to_pylist(), dtype=object)
+            if "_words" in batch.schema.names:
+                table = dict(table)
+                for i, lang in enumerate(langs.tolist()):
+                    if lang not in table and batch.column("_classes")[i].is_valid:
+                        words, classes = (batch.column(c)[i].as_py() for c in ("_words", "_classes"))
+                        table[lang] = _reference([(x["key"], x["n"] / x["total"]) for x in words], {x["key"]: x["n"] for x in classes})
             for chunk in chunks(batch.column("_text")):
                 m = measures(chunk)
-                by_class, by_word, n_chars = distances(chunk, m["words"], langs[chunk.lo : chunk.hi], table)
+                by_class, by_word, n_chars, judged = distances(chunk, m["words"], langs[chunk.lo : chunk.hi], table)
                 failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-                odd = ((n_chars >= MIN_CHARS) & (by_class > CHAR_LIMIT)) | ((m["n_words"] >= MIN_WORDS) & (by_word > WORD_LIMIT))
+                odd = judged & (((n_chars >= MIN_CHARS) & (by_class > CHAR_LIMIT)) | ((m["n_words"] >= MIN_WORDS) & (by_word > WORD_LIMIT)))
                 kept = ~failed & ~odd
                 rows = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 if carry:
-                    yield rows.select([c for c in rows.schema.names if c not in ("_text", "_lang")]).filter(pa.array(kept))
+                    yield rows.select([c for c in rows.schema.names if c not in INTERNAL]).filter(pa.array(kept))
                 else:
                     columns = [m[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                     yield pa.record_batch([rows.column("doc_id"), *map(pa.array, [*columns, by_class, by_word, failed, kept])], names=[x.split()[0] for x in VERDICT.split(", ")])
@@ -225,18 +246,27 @@ def _judge(refs, carry: bool):
     return run
 
 
+def _judged(plain: DataFrame, docs: DataFrame, carry: bool, schema) -> DataFrame:
+    """plain (with _text and _lang) judged by the references of docs (text, lang)."""
+    large, small = references(docs)
+    judge = _judge(plain.sparkSession.sparkContext.broadcast(large), carry)
+    if small is None:
+        return small_batches(plain).mapInArrow(judge, schema)
+    at_hand = F.col("_lang").isNull() | F.col("_lang").isin([x for x in large if x is not None])
+    joined = plain.filter(~at_hand).join(small, "_lang", "left").select(*plain.columns, "_words", "_classes")
+    return small_batches(plain.filter(at_hand)).mapInArrow(judge, schema).unionByName(small_batches(joined).mapInArrow(judge, schema))
+
+
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that pass, with all their columns."""
     plain = docs.withColumn("_text", F.col(text).cast("string")).withColumn("_lang", F.col(lang).cast("string"))
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))))
-    return small_batches(plain).mapInArrow(_judge(refs, True), docs.schema)
+    return _judged(plain, docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), True, docs.schema)
 
 
 def quality_measures(docs: DataFrame) -> DataFrame:
     """One row for each document: measures, distances and verdict."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), F.col("lang").cast("string").alias("_lang"))
-    return small_batches(plain).mapInArrow(_judge(refs, False), VERDICT)
+    return _judged(plain, docs, False, VERDICT)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,3 +288,28 @@ def test_join_with_null_and_repeated_ids_matches_sql(spark, tmp_path):
     (tmp_path / "in").mkdir()
     pq.write_table(pq.read_table(path), tmp_path / "in/documents.parquet")
     same_rows(spark, QUERIES["op6_ngram_jaccard_join"], registry.oracle_sql()["op6_ngram_jaccard_join"], str(tmp_path / "in"))
+
+
+def test_quality_of_small_and_missing_languages(spark):
+    """A language's verdicts do not turn on the rest of the corpus; without a reference nothing is rejected for its distance."""
+    from siltstone.llm.quality_rules import LANGUAGE_SHARE, MIN_LANGUAGE_WORDS, quality_measures, quality_rules
+
+    r = np.random.default_rng(3)
+
+    def text(first, n=100):
+        return " ".join("".join(chr(first + int(c)) for c in r.integers(0, 20, 2)) for _ in range(n))
+
+    greek = [(i, text(0x3B1), "el") for i in range(40)]
+    odd = [(100, " ".join(f"{i}@{i}" for i in range(100)), "el"), (101, text(0x3B1), None), (102, text(0x3B1), "rare"), (103, text(0x61), None)]
+    rows = greek + odd + [(1000 + i, text(0x61, 10_000), "en") for i in range(450)]
+    assert MIN_LANGUAGE_WORDS <= 41 * 100 < 450 * 10_000 / LANGUAGE_SHARE
+    schema = "doc_id long, text string, lang string"
+    full = spark.createDataFrame(rows, schema).repartition(8)
+    with_rest = {x.doc_id: x for x in quality_measures(full).filter("doc_id < 1000").collect()}
+    alone = {x.doc_id: x for x in quality_measures(spark.createDataFrame(greek + odd, schema)).collect()}
+    assert {i for i, x in with_rest.items() if not x.kept} == {100} == {i for i, x in alone.items() if not x.kept}
+    same = lambda x: (x.kept, round(x.char_distance, 9), round(x.word_distance, 9))
+    assert all(same(with_rest[i]) == same(alone[i]) for i in [*range(40), 100])
+    assert with_rest[102].char_distance > 0.3
+    kept = quality_rules(full).filter("doc_id < 1000")
+    assert kept.columns == full.columns and {x.doc_id for x in kept.collect()} == set(with_rest) - {100}
