@@ -2,12 +2,15 @@
 
 Three patterns find assignments, access keys and long hexadecimal runs. On top
 of them, strings in a sensitive context (near words such as password, token or
-private key) are candidates for the novelty measure: each is compressed with a
-dictionary made of common identifiers and of the text around it, and its
-marginal cost is the compressed size beyond an empty frame. A candidate that
-mixes letters and digits and stays near its own length is reported as kind
-"novel"; one that repeats its surroundings or known identifiers costs a few
-bytes and is left alone.
+private key, before or after them) are candidates for the novelty measure: each
+is compressed with a dictionary made of common identifiers and of the text
+around it, and its marginal cost is the compressed size beyond an empty frame.
+Copies of the candidate are blanked out of that text, as a secret written twice
+is still one. A candidate that mixes letters and digits and stays near what
+random characters of its own alphabet take is reported as kind "novel", to its
+end however long it is; one made of its surroundings or of known identifiers
+costs a few bytes and is left alone. A PEM private key block is "novel" as a
+whole.
 
 Spans are kind:start:end in code points, end exclusive, of the whole match.
 
@@ -20,6 +23,7 @@ and carried by `redact_secrets`.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,10 +42,16 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-CONTEXT = re.compile(rb"passw|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization", re.IGNORECASE)
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-CONTEXT_REACH, SURROUNDINGS = 64, 512
-MIN_MARGINAL_SHARE = 0.7
+CONTEXT = re.compile(rb"passw|pwd|secret|token|api[ _-]?key|private[ _-]?key|access[ _-]?key|credential|bearer|authorization", re.IGNORECASE)
+#: A run; parts joined by dots, as in a JSON web token, are one.
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}+(?:\.[A-Za-z0-9+/_=-]{6,}+)*+")
+PEM = re.compile(rb"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s\\:,.\"'()@<>]|-(?!----))*+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)")
+#: A block without its end: the lines that follow.
+CUT_PEM = re.compile(rb"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++")
+CONTEXT_REACH, SURROUNDINGS, MIN_CANDIDATE = 64, 512, 16
+#: Of the bytes that as many random characters of the candidate's alphabet take.
+MIN_MARGINAL_SHARE = 0.94
+ALPHABETS = ((re.compile(rb"[g-z]"), rb"[a-f]", 26, 6), (re.compile(rb"[G-Z]"), rb"[A-F]", 26, 6))
 
 #: Identifiers that code and configuration repeat; part of every novelty dictionary.
 IDENTIFIERS = (
@@ -70,20 +80,63 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
+def random_bytes(candidate: bytes) -> float:
+    """What as many random characters of the candidate's alphabet take: classes of characters it draws on."""
+    size = 10
+    for beyond, within, all_, some in ALPHABETS:
+        size += all_ if beyond.search(candidate) else some if re.search(within, candidate) else 0
+    size += len(set(candidate) & set(b"+/_=-."))
+    return len(candidate) * math.log2(size) / 8
+
+
+def is_novel(raw: bytes, start: int, end: int) -> bool:
+    text = raw[start:end]
+    if end - start < MIN_CANDIDATE or not (re.search(rb"[0-9]", text) and re.search(rb"[A-Za-z]", text)):
+        return False
+    reach = SURROUNDINGS + len(text)
+    before, after = raw[max(0, start - reach) : start], raw[end : end + reach]
+    parts = {text, *(x for x in re.split(rb"[.=]+", text) if len(x) >= MIN_CANDIDATE)}
+    for part in sorted(parts, key=lambda x: (-len(x), x)):
+        before, after = (x.replace(part, b" " * len(part)) for x in (before, after))
+    return marginal_bytes(text, before[-SURROUNDINGS:] + after[:SURROUNDINGS]) >= MIN_MARGINAL_SHARE * random_bytes(text)
+
+
 def novel_spans(raw: bytes) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) in bytes of incompressible strings in a sensitive context."""
-    found, last = [], -1
-    for hint in CONTEXT.finditer(raw):
-        for m in CANDIDATE.finditer(raw, hint.end(), min(len(raw), hint.end() + CONTEXT_REACH + 512)):
-            if m.start() > hint.end() + CONTEXT_REACH:
-                break
-            if m.start() <= last:
-                continue
-            last, text = m.start(), m.group()
-            if re.search(rb"[0-9]", text) and re.search(rb"[A-Za-z]", text):
-                around = raw[max(0, m.start() - SURROUNDINGS) : m.start()] + raw[m.end() : m.end() + SURROUNDINGS]
-                if marginal_bytes(text, around) >= MIN_MARGINAL_SHARE * len(text):
-                    found.append((m.start(), 3, m.end()))
+    """(start, kind number, end) in bytes of incompressible strings in a sensitive context, and of private key blocks."""
+    hints = [m.span() for m in CONTEXT.finditer(raw)]
+    if not hints:
+        return []
+    blocks = {m.start(): m.end() for pattern in (CUT_PEM, PEM) for m in pattern.finditer(raw)}
+    found, past = [], 0
+    for start, end in sorted(blocks.items()):
+        if start >= past:
+            found.append((start, 3, end))
+            past = end
+    covered = iter([(s, e) for s, _, e in found])
+    block = next(covered, None)
+    first = 0
+    for m in CANDIDATE.finditer(raw):
+        start, end = m.span()
+        while block and block[1] <= start:
+            block = next(covered, None)
+        if block and start < block[1] and end > block[0]:
+            continue
+        while first < len(hints) and hints[first][1] + CONTEXT_REACH < start:
+            first += 1
+        inside, near, at = [], False, first
+        while at < len(hints) and hints[at][0] <= end + CONTEXT_REACH:
+            if hints[at][1] <= start or hints[at][0] >= end:
+                near = True
+            elif hints[at][1] < end:
+                inside.append(hints[at])
+            at += 1
+        if near and is_novel(raw, start, end):
+            found.append((start, 3, end))
+        elif inside and is_novel(raw, inside[0][1], end):
+            found.append((inside[0][1], 3, end))
+        else:  # between the words of context that the run itself holds
+            stops = [*[a for a, _ in inside[1:]], end]
+            found += [(a, 3, b) for (_, a), b in zip(inside, stops, strict=True) if is_novel(raw, a, b)] if inside else []
     return found
 
 

@@ -313,3 +313,29 @@ def test_quality_of_small_and_missing_languages(spark):
     assert with_rest[102].char_distance > 0.3
     kept = quality_rules(full).filter("doc_id < 1000")
     assert kept.columns == full.columns and {x.doc_id for x in kept.collect()} == set(with_rest) - {100}
+
+
+def test_novel_secrets_are_whole():
+    """Secrets written twice, long, in upper-case hexadecimal, before their context, in JSON web tokens and PEM blocks."""
+    from siltstone.llm.secret_scan import novel_spans, redacted
+
+    r = np.random.default_rng(17)
+    draw = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(list(of), n))
+    key = draw(40)
+    line = f"Authorization: Bearer {key}\n"
+    for text in (line * 2, line * 30, f"{line}api-key={key}\n", f"password file: x={key} and again bearer {key}"):
+        assert key not in redacted(text.encode()).decode(), text
+    for n in (600, 1500, 40_000):
+        assert redacted(f"bearer {draw(n)} end".encode()) == b"bearer [SECRET] end"
+    assert redacted(f"Authorization {draw(36)}.{draw(300)}.{draw(43)} end".encode()) == b"Authorization [SECRET] end"
+    for n in (64, 96, 128, 500):
+        assert redacted(f"credential {draw(n, '0123456789ABCDEF')} end".encode()) == b"credential [SECRET] end", n
+    assert redacted(f"{draw(40)} is the bearer value".encode()) == b"[SECRET] is the bearer value"
+    body = "\n".join(draw(64) for _ in range(26))
+    for kind in ("PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY"):
+        block = f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----"
+        assert redacted(f"a {block} b {block} c".encode()) == b"a [SECRET] b [SECRET] c"
+        assert redacted(f"a {block[:-30]}".encode()).count(b"[SECRET]") == 1
+    for text in ("token " + "0000000000000000a1" * 4, "the secret of word1word1word1word1word1word1word1", f"no context {draw(40)} here", "token abcdefghijklmnopqrstuvwxyz0123456789abcdef"):
+        assert novel_spans(text.encode()) == [], text
+    assert len(novel_spans(b"token" * 100_000)) == 0
