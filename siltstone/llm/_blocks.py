@@ -3,9 +3,12 @@
 A block of documents sends each distinct name once to the range that the name
 falls in, so a passage that a third of all documents hold reaches a range once
 for each block, not once for each document; what repeats within the block is
-known to repeat and travels by a hash of its text's id. Ranges are chosen so
-that one holds a bounded number of entries. What a range finds goes back packed
-by the part to which its texts belong.
+known to repeat and travels by a hash of its text. Ranges are chosen so that one
+holds a bounded number of entries.
+
+Entries of samples name their text by its number in the block; one row of each
+block carries the texts' ids, and what the ranges find goes back by block.
+Entries of a merge carry the order of their texts instead and go back by text.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,9 +28,9 @@ from pyspark.sql.window import Window
 from siltstone.llm._store import heavy_join, settle
 from siltstone.llm._text import mix
 
-BLOCK_ENTRIES, RANGE_ENTRIES = 1_500_000, 600_000
+BLOCK_ENTRIES, RANGE_ENTRIES = 1_500_000, 2_000_000
 FIRST = -(1 << 63)  # stands for a null doc_id: before all others
-ROW = "range int, known boolean, name binary, pos binary, rid binary, k binary, size binary"
+ROW = "range int, known boolean, block long, name binary, pos binary, doc binary, k binary, size binary, ids binary"
 COLUMNS = [x.split()[0] for x in ROW.split(", ")]
 #: In a range of bounded size half a fingerprint tells names apart; a wrong match only adds a suspect.
 SHORT = np.uint64(32)
@@ -81,20 +85,22 @@ def text_rank(rid: np.ndarray, k: np.ndarray) -> np.ndarray:
 class Block:
     """Collects entries (name, range, text, position) and packs them.
 
-    firsts: of equal names the earliest is sent and the others are known to be
-    later; their names stay here. Otherwise one of them is sent and every entry
-    whose name occurs twice is known to repeat. `names` is the width of a sent
-    name; `carry` sends the names of known entries too; `places` sends positions.
+    merge: texts are given as (rid, k); of equal names the earliest is sent and
+    the others are known to be later; their names stay here. Otherwise texts are
+    given by ids, one entry of each name is sent, and every entry whose name
+    occurs twice is known to repeat. `names` is the width of a sent name; `carry`
+    sends the names of known entries too; `places` sends positions.
     """
 
-    def __init__(self, count: int, firsts: bool, names: str = "<u4", carry: bool = True, places: bool = True):
-        self.count, self.firsts, self.names, self.carry, self.places = count, firsts, names, carry, places
+    def __init__(self, count: int, merge: bool, names: str = "<u4", carry: bool = True, places: bool = True):
+        self.count, self.merge, self.names, self.carry, self.places = count, merge, names, carry, places
+        self.number = TaskContext.get().partitionId() << 32
         self.clear()
 
     def clear(self) -> None:
         self.parts: list[tuple] = []
         self.size = 0
-        self.rid: list[int] = []
+        self.ids: list[int] = []
         self.k: list[int] = []
         self.texts: set[int] = set()
 
@@ -106,10 +112,10 @@ class Block:
             self.texts.add(x)
         return out
 
-    def add(self, name, to, doc, pos, rid: list[int], k: list[int]) -> None:
-        self.parts.append((name, to, doc + len(self.rid), pos))
-        self.rid += rid
-        self.k += k
+    def add(self, name, to, doc, pos, ids: list[int], k: list[int] | None = None) -> None:
+        self.parts.append((name, to, doc + len(self.ids), pos))
+        self.ids += ids
+        self.k += k or []
         self.size += len(name)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -117,21 +123,23 @@ class Block:
             self.clear()
             return
         name, to, doc, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        rid, k = np.array(self.rid, dtype=np.int64), np.array(self.k, dtype=np.int64)
+        ids, k = np.array(self.ids, dtype=np.int64), np.array(self.k, dtype=np.int64)
+        number = self.number
+        self.number += 1
         self.clear()
         order = np.argsort(name, kind="stable")
         start = changes(name[order])
         size = np.diff(np.append(start, len(name)))
         sent = np.zeros(len(name), dtype=bool)
-        if self.firsts:
-            place = (text_rank(rid, k)[doc] << 32) | pos
+        if self.merge:
+            place = (text_rank(ids, k)[doc] << 32) | pos
             sent[order] = place[order] == np.repeat(np.minimum.reduceat(place[order], start), size)
             known = ~sent
         else:
             sent[order[start]] = True
             known = np.empty(len(name), dtype=bool)
             known[order] = np.repeat(size > 1, size)
-        home = (mix(rid.view(np.uint64) + mix(k.view(np.uint64))) % np.uint64(self.count)).astype(np.int64)
+        home = (mix(ids.view(np.uint64)) % np.uint64(self.count)).astype(np.int64)
         out = []
         for flag, chosen in ((False, sent), (True, known)):
             i = np.flatnonzero(chosen)
@@ -148,36 +156,100 @@ class Block:
                 lo, hi = docs[a], docs[b] if b < len(docs) else len(i)
                 of = doc[i[docs[a:b]]]
                 shown = (chosen_names[lo:hi] >> (SHORT if self.names == "<u4" else np.uint64(0))).astype(self.names)
-                out.append((int(place[lo]), flag, shown.tobytes() if self.carry or not flag else b"", shrink(step[lo:hi]) if self.places else b"", _press(np.diff(rid[of], prepend=0)), shrink(k[of]), shrink(counts[a:b])))
-        kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+                text = (_press(np.diff(ids[of], prepend=0)), shrink(k[of])) if self.merge else (shrink(np.diff(of, prepend=0)), b"")
+                out.append((int(place[lo]), flag, number, shown.tobytes() if self.carry or not flag else b"", shrink(step[lo:hi]) if self.places else b"", *text, shrink(counts[a:b]), None))
+        if not self.merge:
+            out[0] = (*out[0][:-1], ids.tobytes())
+        kinds = (pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 6)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=COLUMNS)
 
 
-def entries(table: pa.Table, known: bool, names: str = "<u4"):
-    """name, rid, k, pos of a range's rows; empty where they were not sent."""
-    ns, rids, ks, ps = [np.zeros(0, names)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _listed(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+def _places(row: dict, size: np.ndarray) -> np.ndarray:
+    if not row["pos"]:
+        return np.zeros(int(size.sum()), np.int64)
+    step = grow(row["pos"])
+    total, start = np.cumsum(step), np.cumsum(size) - size
+    return total - np.repeat(total[start] - step[start], size)
+
+
+def samples(table: pa.Table, known: bool):
+    """name, block, number of the text in it and pos of a range's sample entries."""
+    parts = []
     for row in table.filter(table.column("known") if known else pc.invert(table.column("known"))).to_pylist():
         size = grow(row["size"])
-        ns.append(np.frombuffer(row["name"], dtype=names))
-        rid = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["rid"]), dtype=np.int64))
-        rids.append(np.repeat(rid, size))
-        ks.append(np.repeat(grow(row["k"]), size))
-        if row["pos"]:
-            step = grow(row["pos"])
-            total, start = np.cumsum(step), np.cumsum(size) - size
-            ps.append(total - np.repeat(total[start] - step[start], size))
-    return tuple(np.concatenate(x) for x in (ns, rids, ks, ps))
+        parts.append((np.frombuffer(row["name"], dtype="<u4"), np.full(int(size.sum()), row["block"], np.int64), np.repeat(np.cumsum(grow(row["doc"])), size), _places(row, size)))
+    return tuple(_listed([p[i] for p in parts], kind) for i, kind in enumerate(("<u4", np.int64, np.int64, np.int64)))
+
+
+#: What comes back to a block: its texts' numbers, how much each found, and what; or (doc null) the ids of its texts.
+FOUND = "block long, doc binary, size binary, found binary"
+
+
+def to_blocks(block, doc, values, table: pa.Table) -> pa.Table:
+    """What a range found, a row for each block, and the ids that came with the blocks' rows."""
+    order = np.lexsort((values, doc, block))
+    block, doc, values = block[order], doc[order], values[order]
+    text = changes(block, doc)
+    size, cut, out = np.diff(np.append(text, len(doc))), changes(block[text]).tolist(), []
+    for a, b in zip(cut, [*cut, len(text)][1:], strict=True):
+        lo, hi = text[a], text[b] if b < len(text) else len(doc)
+        out.append((int(block[lo]), shrink(np.diff(doc[text[a:b]], prepend=0)), shrink(size[a:b]), _press(values[lo:hi])))
+    named = table.filter(pc.is_valid(table.column("ids")))
+    out += [(x, None, None, y) for x, y in zip(named.column("block").to_pylist(), named.column("ids").to_pylist(), strict=True)]
+    kinds = (pa.int64(), *[pa.binary()] * 3)
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["block", "doc", "size", "found"])
+
+
+def _resolve(values: str):
+    def run(table: pa.Table) -> pa.Table:
+        ids, parts = np.zeros(0, np.int64), []
+        for row in table.to_pylist():
+            if row["doc"] is None:
+                ids = np.frombuffer(row["found"], dtype=np.int64)
+            else:
+                parts.append((np.repeat(np.cumsum(grow(row["doc"])), grow(row["size"])), np.frombuffer(zstandard.ZstdDecompressor().decompress(row["found"]), dtype=values)))
+        doc, value = _listed([p[0] for p in parts], np.int64), _listed([p[1] for p in parts], values)
+        order = np.lexsort((value, doc))
+        doc, value = doc[order], value[order]
+        text = changes(doc)
+        return pa.table({"id": pa.array(ids[doc[text]]), "found": pa.array([x.tobytes() for x in np.split(value, text[1:])] if len(text) else [], pa.binary())})
 
+    return run
+
+
+def by_id(packed: DataFrame, values: str) -> DataFrame:
+    """One row (id, found) for each text of a block of which something was found, its values in order."""
+    return packed.groupBy("block").applyInArrow(_resolve(values), "id long, found binary")
 
-def once(name, rid, k=None, pos=None):
-    """Entries of one text and place that several blocks sent, as copies of the text are in several, count once."""
-    pos = np.zeros(len(name), np.int64) if pos is None or not len(pos) else pos
-    order = np.lexsort((pos, rid, name))
-    order = order[changes(name[order], rid[order], pos[order])]
-    return name[order], rid[order], None, pos[order]
 
+LATER = "part int, rid binary, k binary, size binary, found binary"
 
-FOUND = "part int, rid binary, k binary, size binary, found binary"
+
+def later(parts: int) -> Callable:
+    """A merge: entries sorted by name and place; all but the first of equal names, and what was known, by the part of their text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        both = []
+        for known in (False, True):
+            found = []
+            for row in table.filter(table.column("known") if known else pc.invert(table.column("known"))).to_pylist():
+                size = grow(row["size"])
+                rid = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["doc"]), dtype=np.int64))
+                found.append((np.frombuffer(row["name"], dtype="<u8"), np.repeat(rid, size), np.repeat(grow(row["k"]), size), _places(row, size)))
+            both.append(tuple(_listed([p[i] for p in found], kind) for i, kind in enumerate(("<u8", np.int64, np.int64, np.int64))))
+        name, rid, k, pos = both[0]
+        again = repeats(name)
+        name, rid, k, pos = name[again], rid[again], k[again], pos[again]
+        order = np.lexsort(((text_rank(rid, k) << 32) | pos, name))
+        order = np.delete(order, changes(name[order]))
+        _, known_rid, known_k, known_pos = both[1]
+        return _to_texts(np.concatenate((rid[order], known_rid)), np.concatenate((k[order], known_k)), np.concatenate((pos[order], known_pos)).astype("<u4"), parts)
+
+    return run
 
 
 def _ordered(rid, k, values, part):
@@ -187,9 +259,9 @@ def _ordered(rid, k, values, part):
     return rid, k, values, part, changes(part, rid, k)
 
 
-def to_texts(rid, k, values, parts: int) -> pa.Table:
+def _to_texts(rid, k, values, parts: int) -> pa.Table:
     """What a range found, packed by the part to which its texts belong: a row for each part, not for each text."""
-    part = (mix(rid.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    part = (mix(rid.view(np.uint64) ^ mix(k.view(np.uint64))) % np.uint64(parts)).astype(np.int32)
     rid, k, values, part, text = _ordered(rid, k, values, part)
     size, cut, out = np.diff(np.append(text, len(rid))), changes(part[text]).tolist(), []
     for a, b in zip(cut, [*cut, len(text)][1:], strict=True):
@@ -199,43 +271,21 @@ def to_texts(rid, k, values, parts: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["part", "rid", "k", "size", "found"])
 
 
-def _by_text(values: str):
-    def run(table: pa.Table) -> pa.Table:
-        rids, ks, found = [], [], []
-        for row in table.to_pylist():
-            size = grow(row["size"])
-            rids.append(np.repeat(np.frombuffer(row["rid"], dtype=np.int64), size))
-            ks.append(np.repeat(grow(row["k"]), size))
-            found.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["found"]), dtype=values))
-        rid, k, value = (np.concatenate(x) for x in (rids, ks, found))
-        rid, k, value, _, text = _ordered(rid, k, value, np.zeros(len(rid), np.int32))
-        return pa.table({"rid": pa.array(rid[text]), "k": pa.array(k[text].astype(np.int32)), "found": pa.array([x.tobytes() for x in np.split(value, text[1:])], pa.binary())})
-
-    return run
-
-
-def gathered(packed: DataFrame, values: str) -> DataFrame:
-    """One row (rid, k, found) for each text of which something was found, its values in order."""
-    return packed.groupBy("part").applyInArrow(_by_text(values), "rid long, k int, found binary")
-
+def _by_text(table: pa.Table) -> pa.Table:
+    rids, ks, found = [], [], []
+    for row in table.to_pylist():
+        size = grow(row["size"])
+        rids.append(np.repeat(np.frombuffer(row["rid"], dtype=np.int64), size))
+        ks.append(np.repeat(grow(row["k"]), size))
+        found.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["found"]), dtype="<u4"))
+    rid, k, value = (np.concatenate(x) for x in (rids, ks, found))
+    rid, k, value, _, text = _ordered(rid, k, value, np.zeros(len(rid), np.int32))
+    return pa.table({"rid": pa.array(rid[text]), "k": pa.array(k[text].astype(np.int32)), "found": pa.array([x.tobytes() for x in np.split(value, text[1:])], pa.binary())})
 
-def later(names_of: str, parts: int) -> Callable:
-    """Entries with places, sorted by name and place: all but the first of equal names, and what was known, by text."""
 
-    def run(table: pa.Table) -> pa.Table:
-        name, rid, k, pos = entries(table, False, names_of)
-        again = repeats(name)
-        name, rid, k, pos = name[again], rid[again], k[again], pos[again]
-        place = (text_rank(rid, k) << 32) | pos
-        order = np.lexsort((place, name))
-        first = np.zeros(len(name), dtype=bool)
-        first[changes(name[order])] = True
-        not_first = np.zeros(len(name), dtype=bool)
-        not_first[order] = ~first
-        _, known_rid, known_k, known_pos = entries(table, True, names_of)
-        return to_texts(np.concatenate((rid[not_first], known_rid)), np.concatenate((k[not_first], known_k)), np.concatenate((pos[not_first], known_pos)).astype("<u4"), parts)
-
-    return run
+def by_text(packed: DataFrame) -> DataFrame:
+    """One row (rid, k, found) for each text with later windows, their starts in order."""
+    return packed.groupBy("part").applyInArrow(_by_text, "rid long, k int, found binary")
 
 
 def cover_starts(bounds: np.ndarray, period: int, cover: tuple[int, ...], sample: int, length: int) -> np.ndarray:
@@ -250,11 +300,11 @@ def cover_starts(bounds: np.ndarray, period: int, cover: tuple[int, ...], sample
     return starts[on_cover[place % period]]
 
 
-def windows_around(bounds: np.ndarray, samples: np.ndarray, period: int, length: int) -> np.ndarray:
+def windows_around(bounds: np.ndarray, samples_: np.ndarray, period: int, length: int) -> np.ndarray:
     """Starts of the windows that reach one of the samples within a period."""
-    doc = np.searchsorted(bounds, samples, side="right") - 1
-    low = np.maximum(bounds[doc], samples - period + 1)
-    high = np.minimum(samples, bounds[doc + 1] - length)
+    doc = np.searchsorted(bounds, samples_, side="right") - 1
+    low = np.maximum(bounds[doc], samples_ - period + 1)
+    high = np.minimum(samples_, bounds[doc + 1] - length)
     ok = high >= low
     delta = np.zeros(int(bounds[-1]) + 2, dtype=np.int32)
     np.add.at(delta, low[ok], 1)
@@ -307,7 +357,8 @@ def earliest(base: DataFrame) -> DataFrame:
 
 def texts_of(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
     """rid, k, fp, text and found: the earliest row of each text of which something was found, repeated rows once."""
-    wanted = reps.join(found.select(F.col("rid").alias("id"), "found"), "id")
+    # copies of a text in several blocks found the same: every sample of it
+    wanted = reps.join(found.dropDuplicates(["id"]), "id")
     each = rows.select("rid", "fp", "text").dropDuplicates(["rid", "fp"])  # a repeated row is no later copy of itself
     return each.join(wanted, ["rid", "fp"]).select("rid", "k", "fp", "text", "found")
 

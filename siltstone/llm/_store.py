@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -26,22 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, name: str, last: bool = False) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     The written table cuts lineage: a lost executor costs a re-read, not a
-    recomputation. `last` says that the shuffles before it are finished with,
-    which lets Spark's cleaner drop their files: it acts when the driver
-    collects garbage, which between two large phases may be hours away.
+    recomputation. For this one write Spark is told to drop the shuffle files
+    when it ends, as nothing can read them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    if last:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._siltstone_path = path
     return out

@@ -45,7 +45,7 @@ ANCHOR = WINDOW - PERIOD + 1
 
 def _anchors(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = B.Block(count, firsts=False, places=False)
+        block = B.Block(count, merge=False, places=False)
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for chunk in chunks(batch.column("text")):
@@ -55,7 +55,7 @@ def _anchors(count: int):
                 own = block.new(ids[chunk.lo : chunk.hi])
                 starts, doc = starts[own[doc]], doc[own[doc]]
                 name = combine(word_hashes(chunk.data, words), ANCHOR)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
-                block.add(name, (name % np.uint64(count)).astype(np.int32), doc, np.zeros(len(name), np.uint32), ids[chunk.lo : chunk.hi], [0] * len(chunk))
+                block.add(name, (name % np.uint64(count)).astype(np.int32), doc, np.zeros(len(name), np.uint32), ids[chunk.lo : chunk.hi])
                 if block.size >= B.BLOCK_ENTRIES:
                     yield from block.rows()
         yield from block.rows()
@@ -63,16 +63,11 @@ def _anchors(count: int):
     return run
 
 
-def _repeated(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        name, rid, _, _ = B.entries(table, False)
-        name, rid, _, _ = B.once(name, rid)
-        twice = B.repeats(name)
-        known, known_rid, _, _ = B.entries(table, True)
-        found = np.concatenate((name[twice], known))
-        return B.to_texts(np.concatenate((rid[twice], known_rid)), np.zeros(len(found), np.int64), found, parts)
-
-    return run
+def _repeated(table: pa.Table) -> pa.Table:
+    name, block, doc, _ = B.samples(table, False)
+    twice = B.repeats(name)
+    known, known_block, known_doc, _ = B.samples(table, True)
+    return B.to_blocks(np.concatenate((block[twice], known_block)), np.concatenate((doc[twice], known_doc)), np.concatenate((name[twice], known)), table)
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -84,7 +79,7 @@ def _extend(count: int):
     """Every window that reaches a repeated anchor, with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = B.Block(count, firsts=True, names="<u8", carry=False)
+        block = B.Block(count, merge=True, names="<u8", carry=False)
         for batch in batches:
             rid, k, found = (batch.column(c).to_pylist() for c in ("rid", "k", "found"))
             for chunk in chunks(batch.column("text")):
@@ -132,14 +127,14 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
     count = B.ranges(total * len(COVER) // PERIOD, docs.sparkSession)
     sent = small_batches(rows.select("id", "text")).mapInArrow(_anchors(count), B.ROW)
-    repeated = settle(sent.groupBy("range").applyInArrow(_repeated(count), B.FOUND), "anchors", last=True)
-    suspects = settle(B.texts_of(rows, reps, B.gathered(repeated, "<u4")), "suspects", last=True)
+    repeated = settle(sent.groupBy("range").applyInArrow(_repeated, B.FOUND), "anchors")
+    suspects = settle(B.texts_of(rows, reps, B.by_id(repeated, "<u4")), "suspects")
     discard(repeated)
 
     count = B.ranges(total // 4, docs.sparkSession)
-    found = settle(small_batches(suspects).mapInArrow(_extend(count), B.ROW).groupBy("range").applyInArrow(B.later("<u8", count), B.FOUND), "later", last=True)
-    texts = suspects.select("rid", "k", "fp", "text").join(B.gathered(found, "<u4"), ["rid", "k"])
-    digests = settle(small_batches(texts).mapInArrow(B.digests(WINDOW, kept_words), B.DIGEST).dropDuplicates(["fp"]), "digests", last=True)
+    found = settle(small_batches(suspects).mapInArrow(_extend(count), B.ROW).groupBy("range").applyInArrow(B.later(count), B.LATER), "later")
+    texts = suspects.select("rid", "k", "fp", "text").join(B.by_text(found), ["rid", "k"])
+    digests = settle(small_batches(texts).mapInArrow(B.digests(WINDOW, kept_words), B.DIGEST).dropDuplicates(["fp"]), "digests")
     discard(suspects, found)
     return B.outcome(base, reps, digests, WINDOW)
 

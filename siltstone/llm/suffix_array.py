@@ -50,6 +50,17 @@ LENGTH, PERIOD, COVER = 100, 21, (0, 1, 4, 14, 16)
 TRIPLE = 24
 
 
+def ordinal(position_: np.ndarray) -> np.ndarray:
+    """The number of the sample at a cover position of a text."""
+    rank = np.zeros(PERIOD, np.int64)
+    rank[list(COVER)] = np.arange(len(COVER))
+    return position_ // PERIOD * len(COVER) + rank[position_ % PERIOD]
+
+
+def position(number: np.ndarray) -> np.ndarray:
+    return number // len(COVER) * PERIOD + np.array(COVER)[number % len(COVER)]
+
+
 def _top(name: np.ndarray, count: int) -> np.ndarray:
     """The range of each name, in name order."""
     return ((name >> np.uint64(40)) * np.uint64(count) >> np.uint64(24)).astype(np.int32)
@@ -64,7 +75,7 @@ def _triples(count: int):
     """Level one: the triples of words at the cover positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = B.Block(count, firsts=False)
+        block = B.Block(count, merge=False)
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for chunk in chunks(batch.column("text")):
@@ -73,7 +84,7 @@ def _triples(count: int):
                 own = block.new(ids[chunk.lo : chunk.hi])
                 starts, doc = starts[own[doc]], doc[own[doc]]
                 name = span_hash(prefix_hash(chunk.data), starts, starts + TRIPLE)
-                block.add(_key(name), _top(name, count), doc, (starts - chunk.offsets[doc]).astype(np.uint32), ids[chunk.lo : chunk.hi], [0] * len(chunk))
+                block.add(_key(name), _top(name, count), doc, ordinal(starts - chunk.offsets[doc]).astype(np.uint32), ids[chunk.lo : chunk.hi])
                 if block.size >= B.BLOCK_ENTRIES:
                     yield from block.rows()
         yield from block.rows()
@@ -81,43 +92,42 @@ def _triples(count: int):
     return run
 
 
-def _sorted_names(parts: int, keep_names: bool):
-    """The positions of names that occur twice, with their names where a further level needs them."""
+def _sorted_names(level: int):
+    """The samples whose name occurs twice; after level one with their names, which the recursion reads."""
 
     def run(table: pa.Table) -> pa.Table:
-        name, rid, _, pos = B.once(*B.entries(table, False))
+        name, block, doc, number = B.samples(table, False)
         twice = B.repeats(name)
-        known, known_rid, _, known_pos = B.entries(table, True)
-        place = np.concatenate((pos[twice], known_pos)).astype("<u8")
-        found = place << np.uint64(32) | np.concatenate((name[twice], known)).astype("<u8") if keep_names else place.astype("<u4")
-        return B.to_texts(np.concatenate((rid[twice], known_rid)), np.zeros(len(found), np.int64), found, parts)
+        known, known_block, known_doc, known_number = B.samples(table, True)
+        found = np.concatenate((number[twice], known_number))
+        found = found.astype("<u8") << np.uint64(32) | np.concatenate((name[twice], known)).astype("<u8") if level == 1 else found.astype("<u4")
+        return B.to_blocks(np.concatenate((block[twice], known_block)), np.concatenate((doc[twice], known_doc)), found, table)
 
     return run
 
 
 def _triples_of_names(count: int):
-    """Level two: triples of the names that survived, formed from one text's (position, name) list."""
+    """Level two: triples of the names that survived, formed from one text's list of (sample number, name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = B.Block(count, firsts=False, carry=False)
+        block = B.Block(count, merge=False, carry=False)
         for batch in batches:
-            ids = batch.column("rid").to_pylist()
+            ids = batch.column("id").to_pylist()
             lists = [np.unique(np.frombuffer(x, dtype="<u8")) for x in batch.column("found").to_pylist()]
             if not lists:
                 continue
             doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             value = np.concatenate(lists)
-            pos, name = (value >> np.uint64(32)).astype(np.int64), value & np.uint64(0xFFFFFFFF)
-            place = doc << 32 | pos
+            place, name = doc << 32 | (value >> np.uint64(32)).astype(np.int64), value & np.uint64(0xFFFFFFFF)
             parts = [name]
             alive = np.ones(len(name), dtype=bool)
-            for to in (place + PERIOD, place + 2 * PERIOD):
+            for to in (place + len(COVER), place + 2 * len(COVER)):  # 21 and 42 bytes on
                 at = np.minimum(np.searchsorted(place, to), len(place) - 1)
                 alive &= place[at] == to
                 parts.append(name[at])
             parts = [p[alive] for p in parts]
             new = combine(np.stack(parts, axis=1).reshape(-1), 3)[::3] if alive.any() else np.zeros(0, np.uint64)
-            block.add(_key(new), _top(new, count), doc[alive], pos[alive].astype(np.uint32), ids, [0] * len(ids))
+            block.add(_key(new), _top(new, count), doc[alive], (place[alive] & 0xFFFFFFFF).astype(np.uint32), ids)
             if block.size >= B.BLOCK_ENTRIES:
                 yield from block.rows()
         yield from block.rows()
@@ -129,11 +139,11 @@ def _suffixes(count: int):
     """The merge's entries: every suffix that reaches a surviving sample, named by its 100-byte prefix, with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = B.Block(count, firsts=True, names="<u8", carry=False)
+        block = B.Block(count, merge=True, names="<u8", carry=False)
         for batch in batches:
             rid, k, found = (batch.column(c).to_pylist() for c in ("rid", "k", "found"))
             for chunk in chunks(batch.column("text")):
-                samples = np.concatenate([np.frombuffer(x, dtype="<u4").astype(np.int64) + chunk.offsets[i] for i, x in enumerate(found[chunk.lo : chunk.hi])])
+                samples = np.concatenate([position(np.frombuffer(x, dtype="<u4").astype(np.int64)) + chunk.offsets[i] for i, x in enumerate(found[chunk.lo : chunk.hi])])
                 starts = B.windows_around(chunk.offsets, samples, PERIOD, LENGTH)
                 name = span_hash(prefix_hash(chunk.data), starts, starts + LENGTH)
                 second = span_hash(prefix_hash(chunk.data, 1), starts, starts + LENGTH)
@@ -160,19 +170,19 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
 
     count = B.ranges(total * len(COVER) // PERIOD, spark)
     sent = small_batches(rows.select("id", "text")).mapInArrow(_triples(count), B.ROW)
-    level = settle(sent.groupBy("range").applyInArrow(_sorted_names(count, True), B.FOUND), "triples", last=True)
+    level = settle(sent.groupBy("range").applyInArrow(_sorted_names(1), B.FOUND), "triples")
     count = B.ranges(total * len(COVER) // PERIOD // 4, spark)
-    sent = B.gathered(level, "<u8").mapInArrow(_triples_of_names(count), B.ROW)
-    samples = settle(sent.groupBy("range").applyInArrow(_sorted_names(count, False), B.FOUND), "names", last=True)
+    sent = B.by_id(level, "<u8").dropDuplicates(["id"]).mapInArrow(_triples_of_names(count), B.ROW)
+    samples = settle(sent.groupBy("range").applyInArrow(_sorted_names(2), B.FOUND), "names")
     discard(level)
 
-    suspects = settle(B.texts_of(rows, reps, B.gathered(samples, "<u4")), "suspects", last=True)
+    suspects = settle(B.texts_of(rows, reps, B.by_id(samples, "<u4")), "suspects")
     discard(samples)
 
     count = B.ranges(total // 4, spark)
-    later = settle(small_batches(suspects).mapInArrow(_suffixes(count), B.ROW).groupBy("range").applyInArrow(B.later("<u8", count), B.FOUND), "later", last=True)
-    texts = suspects.select("rid", "k", "fp", "text").join(B.gathered(later, "<u4"), ["rid", "k"])
-    digests = settle(small_batches(texts).mapInArrow(B.digests(LENGTH, kept_bytes), B.DIGEST).dropDuplicates(["fp"]), "digests", last=True)
+    later = settle(small_batches(suspects).mapInArrow(_suffixes(count), B.ROW).groupBy("range").applyInArrow(B.later(count), B.LATER), "later")
+    texts = suspects.select("rid", "k", "fp", "text").join(B.by_text(later), ["rid", "k"])
+    digests = settle(small_batches(texts).mapInArrow(B.digests(LENGTH, kept_bytes), B.DIGEST).dropDuplicates(["fp"]), "digests")
     discard(suspects, later)
     return B.outcome(base, reps, digests, LENGTH)
 
