@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.regex import Pattern, trim, trim_end
+from siltstone.functions.regex import Pattern, constants, first_hits, let, trim, trim_end
 from siltstone.rules import signals as S
 
 FENCE = Pattern(r"```(\w*)\n?([\s\S]*?)```")
@@ -14,11 +14,12 @@ SPAN = Pattern(r"\*\*[^*]+\*\*|`[^`]+`")
 
 def extract_signals(content: Column) -> Column:
     """Array of struct(name, evidence), in rule order, the first matching evidence of each name."""
-    found = []
-    for name, patterns in S.RULES:
-        evidence = F.coalesce(*[F.when(Pattern(p, flags).test(content), F.lit(label)) for p, flags, label in patterns])
-        found.append(F.struct(F.lit(name).alias("name"), evidence.alias("evidence")))
-    return F.filter(F.array(*found), lambda s: s["evidence"].isNotNull())
+    most = max(len(patterns) for _, patterns in S.RULES)
+    labels = constants([label for _, patterns in S.RULES for label in [*(p[2] for p in patterns), *[""] * (most - len(patterns))]])
+    names = constants([name for name, _ in S.RULES])
+    found = first_hits(content, [[Pattern(p, flags) for p, flags, _ in patterns] for _, patterns in S.RULES])
+    signals = lambda first: F.transform(first, lambda x, i: F.struct(F.get(names, i).alias("name"), F.get(labels, i * most + x).alias("evidence")))
+    return F.filter(let(found, signals), lambda s: s["evidence"].isNotNull())
 
 
 def extract_dependencies(content: Column, language: Column) -> Column:

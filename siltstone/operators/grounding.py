@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.regex import Pattern, escape
+from siltstone.functions.regex import Pattern, constant_rows, constants, escape, hits, let
 from siltstone.rules import questions as Q
 from siltstone.rules import registry as G
 
@@ -41,22 +41,19 @@ def frameworks_to_ground(framework: Column, dependencies: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
 
 
-def bracket_matches(content: Column) -> dict[str, list[tuple]]:
-    """For each framework its brackets as (bracket, matched signals)."""
-    out: dict[str, list[tuple]] = {}
-    for bracket in G.BRACKETS:
-        framework, label, *_, indicators = bracket
-        shown = [F.when(Pattern(*p).test(content), F.lit(f"{p[0][: G.SIGNAL_CHARS]} → {label}")) for p in indicators]
-        out.setdefault(framework, []).append((bracket, F.filter(F.array(*shown), lambda x: x.isNotNull())))
-    return out
-
-
-def _infer(framework: str, brackets: list[tuple]) -> Column:
+def _infer(framework: str, found: Column) -> Column:
+    """G2 for one framework: its brackets newest first, a later one taken only if it scores higher; found numbers the indicators that match."""
+    rows, at, shown = [], 0, []
+    for f, label, least, most, boost, indicators in G.BRACKETS:
+        if f == framework:
+            rows.append((G.BASE + boost, label, least, most, at, at + len(indicators)))
+            shown += [f"{p[0][: G.SIGNAL_CHARS]} → {label}" for p in indicators]
+        at += len(indicators)
+    first, texts = rows[0][4], constants(shown)  # a framework's brackets stand together
     null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
-    rows = F.array(*[
-        F.struct(F.lit(G.BASE + boost).alias("base"), F.lit(name).alias("label"), F.lit(least).cast("string").alias("min_version"), F.lit(most).cast("string").alias("max_version"), found.alias("signals"))
-        for (_, name, least, most, boost, _), found in brackets
-    ])
+    brackets = constant_rows(["base", "label", "min_version", "max_version", "low", "high"], rows)
+    signals = lambda b: F.transform(F.filter(found, lambda x: (x >= b["low"]) & (x < b["high"])), lambda x: F.get(texts, x - first))
+    rows = F.transform(brackets, lambda b: F.struct(*[b[c].alias(c) for c in ("base", "label", "min_version", "max_version")], signals(b).alias("signals")))
     start = F.struct(F.lit(0.0).alias("score"), null.alias("label"), null.alias("min_version"), null.alias("max_version"), none.alias("signals"))
 
     def take(acc: Column, x: Column) -> Column:
@@ -77,7 +74,8 @@ def _infer(framework: str, brackets: list[tuple]) -> Column:
 
 def inferences(content: Column) -> Column:
     """G2 for every registered framework: array of struct(framework, inference)."""
-    return F.array(*[F.struct(F.lit(f).alias("framework"), _infer(f, rows).alias("inference")) for f, rows in bracket_matches(content).items()])
+    every = lambda found: F.array(*[F.struct(F.lit(f).alias("framework"), _infer(f, found).alias("inference")) for f in G.FRAMEWORKS])
+    return let(hits(content, [Pattern(*p) for b in G.BRACKETS for p in b[5]]), every)
 
 
 def unknown_version(framework: Column) -> Column:
@@ -87,11 +85,8 @@ def unknown_version(framework: Column) -> Column:
 
 def api_matches(content: Column) -> Column:
     """G3 over all frameworks, in registry order."""
-    rows = []
-    for framework, api, introduced, deprecated, description in G.APIS:
-        row = F.struct(F.lit(framework).alias("framework"), F.lit(api).alias("api"), F.lit(introduced).alias("introduced"), F.lit(deprecated).cast("string").alias("deprecated"), F.lit(description).alias("description"))
-        rows.append(F.when(api_pattern(api).test(content), row))
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+    rows = constant_rows(["framework", "api", "introduced", "deprecated", "description"], G.APIS)
+    return F.transform(hits(content, [api_pattern(a[1]) for a in G.APIS]), lambda i: F.get(rows, i))
 
 
 def match_apis(framework: Column, every: Column) -> Column:
@@ -116,7 +111,7 @@ def by_priority(sources: Column) -> Column:
 
 
 def _literal(rows: list[tuple]) -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(url).alias("url"), F.lit(p).alias("priority"), F.lit(purpose).alias("purpose")) for _, _, p, label, url, purpose in rows])
+    return constant_rows(["label", "url", "priority", "purpose"], [(label, url, p, purpose) for _, _, p, label, url, purpose in rows])
 
 
 def grounding_sources(framework: Column, label: Column) -> Column:
@@ -156,21 +151,22 @@ def version_question(framework: Column, confidence: Column, label: Column) -> Co
 def ground(df: DataFrame, content: str = "content") -> DataFrame:
     """G9 and G10 over understand()'s columns: groundings and the roll-up columns, within the row."""
     text = F.coalesce(F.col(content), F.lit(""))
-    df = df.withColumns({"_names": frameworks_to_ground(F.col("framework.name"), F.col("dependencies")), "_inferred": inferences(text), "_apis": api_matches(text)})
+    df = df.withColumn("_names", frameworks_to_ground(F.col("framework.name"), F.col("dependencies")))
 
-    def inferred(name: Column) -> Column:
-        own = F.get(F.filter("_inferred", lambda x: x["framework"] == name), F.lit(0))["inference"]
+    def inferred(known: Column, name: Column) -> Column:
+        own = F.get(F.filter(known, lambda x: x["framework"] == name), F.lit(0))["inference"]
         return F.struct(name.alias("framework"), F.coalesce(own, unknown_version(name)).alias("inference"))
 
-    def one(x: Column) -> Column:
+    def one(apis: Column, x: Column) -> Column:
         name, inference = x["framework"], x["inference"]
         return F.struct(
-            name.alias("framework"), inference.alias("inference"), match_apis(name, F.col("_apis")).alias("apis"),
+            name.alias("framework"), inference.alias("inference"), match_apis(name, apis).alias("apis"),
             grounding_sources(name, inference["label"]).alias("sources"), version_question(name, inference["confidence"], inference["label"]).alias("question"),
         )
 
     # two passes, so that what follows from an inference reads it instead of repeating its expression
-    df = df.withColumn("groundings", F.transform(F.transform("_names", inferred), one)).drop("_inferred", "_apis")
+    versions = let(inferences(text), lambda known: F.transform("_names", lambda name: inferred(known, name)))
+    df = df.withColumn("groundings", let(api_matches(text), lambda apis: F.transform(versions, lambda x: one(apis, x))))
     each = lambda f: F.transform("groundings", f)
     apis = F.flatten(each(lambda g: g["apis"]))
     keys = F.transform(apis, lambda a: F.concat(a["framework"], F.lit("::"), a["api"]))

@@ -47,8 +47,14 @@ SNIPPETS = [
 ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that come in fewer files than there are cores, dealt over all cores before heavy work in the row; others stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(artifact_id, filename, content): one artifact for each part. The snippet table is fixed and small."""
     rows = spark.createDataFrame([(i, f, c) for i, (f, c) in enumerate(SNIPPETS)], "snippet_id int, filename string, content string")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("artifact_id"), F.pmod("p_partkey", F.lit(len(SNIPPETS))).cast("int").alias("snippet_id"))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")).select(F.col("p_partkey").alias("artifact_id"), F.pmod("p_partkey", F.lit(len(SNIPPETS))).cast("int").alias("snippet_id"))
     return part.join(F.broadcast(rows), "snippet_id").select("artifact_id", "filename", "content")

@@ -21,7 +21,7 @@ from siltstone.operators import grounding as G
 from siltstone.operators import ingest as I
 from siltstone.operators import limits as R1
 from siltstone.plans import sql as Q
-from siltstone.plans.corpus import artifacts
+from siltstone.plans.corpus import artifacts, spread
 from siltstone.rules import language as L
 from siltstone.rules import limits as R
 from siltstone.rules import registry as REG
@@ -116,14 +116,11 @@ def v7_finding_schema(spark, sf_dir):
     return findings(spark, sf_dir).select("artifact_id", "idx", I.finding_valid(F.col("category"), F.col("severity"), F.col("idx") * F.lit(0.2)).alias("valid"))
 
 
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'review_staged' WHEN length(substring(text, 1, doc_id % 100)) >= 50 AND doc_id % 3 = 1 THEN 'reject'
-WHEN length(substring(text, 1, doc_id % 100)) >= 50 AND doc_id % 3 = 0 THEN 'review_paste' ELSE 'chat' END AS target FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'review_staged' WHEN length(coalesce(text, '')) >= 50 AND doc_id % 3 = 1 THEN 'reject'
+WHEN length(coalesce(text, '')) >= 50 AND doc_id % 3 = 0 THEN 'review_paste' ELSE 'chat' END AS target FROM documents""")
 def v9_routing(spark, sf_dir):
     third = F.col("doc_id") % 3
-    sent = F.substring("text", F.lit(1), (F.col("doc_id") % 100).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", I.route(F.col("doc_id") % 5 == 0, sent, third == 0, third == 1).alias("target"))
+    return table(spark, sf_dir, "documents").select("doc_id", I.route(F.col("doc_id") % 5 == 0, F.col("text"), third == 0, third == 1).alias("target"))
 
 
 # --- projections ----------------------------------------------------------
@@ -168,7 +165,7 @@ def c1_language(spark, sf_dir):
 @query("SELECT doc_id, " + ", ".join(f"{Q.language_case(i, 'text', 'NULL::VARCHAR')} AS {n}" for i, n in enumerate(("name", "confidence", "detected_via"))) + " FROM documents")
 def c1_language_documents(spark, sf_dir):
     """C1 by content alone over the documents' whole rows (it reads 1200 characters by definition)."""
-    return table(spark, sf_dir, "documents").select("doc_id", C.detect_language(F.col("text"), F.lit(None).cast("string")).alias("x")).select("doc_id", "x.*")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.detect_language(F.col("text"), F.lit(None).cast("string")).alias("x")).select("doc_id", "x.*")
 
 
 @query(Q.over_parts(_U, "fw_name AS name, fw_conf AS confidence, array_to_string(fw_signals, '|') AS signals", "u"))

@@ -2,19 +2,19 @@
 
 # Framework, label, least version, greatest version, boost, indicators (pattern, flags). Order is tie-break order.
 BRACKETS = [
-    ("React", "React 19.x", "19.0", None, 0.10, [(r"\buse\s*\(|useOptimistic\s*\(|useFormStatus\s*\(", ""), (r"from ['\"]react['\"].*\buse\b", ""), (r"React\.use\s*\(", "")]),
+    ("React", "React 19.x", "19.0", None, 0.10, [(r"\buse\s*\(|useOptimistic\s*\(|useFormStatus\s*\(", ""), (r"""from ['"]react['"].*\buse\b""", ""), (r"React\.use\s*\(", "")]),
     ("React", "React 18.x", "18.0", "18.x", 0.12, [(r"\buseTransition\s*\(|\bstartTransition\s*\(", ""), (r"\buseId\s*\(|\buseDeferredValue\s*\(|\buseInsertionEffect\s*\(", ""), (r"\bcreateRoot\s*\(|hydrateRoot\s*\(", ""), (r"\bSuspense\b.*\bfallback", ""), (r"\bconcurrent", "i")]),
     ("React", "React 16–17.x", "16.8", "17.x", 0.05, [(r"\buseState\s*\(|\buseEffect\s*\(|\buseCallback\s*\(|\buseMemo\s*\(", ""), (r"React\.createContext\s*\(", ""), (r"React\.memo\s*\(", "")]),
     ("Next.js", "Next.js 15.x", "15.0", None, 0.10, [(r"\buse\s+cache\b|'use cache'", ""), (r"cacheLife\s*\(|cacheTag\s*\(", ""), (r"after\s*\(", ""), (r"connection\s*\(\s*\)", "")]),
-    ("Next.js", "Next.js 13–14.x (App Router)", "13.0", "14.x", 0.12, [(r"['\"]'use client['\"']|['\"]use server['\"]", ""), (r"export\s+(default\s+)?async\s+function\s+(GET|POST|PUT|DELETE|PATCH)\s*\(", ""), (r"export\s+const\s+metadata\s*=", ""), (r"NextRequest|NextResponse", ""), (r"from ['\"]next\/server['\"]", ""), (r"generateStaticParams\s*\(", ""), (r"\bnotFound\s*\(\)|\bredirect\s*\(", "")]),
-    ("Next.js", "Next.js 12.x (Pages Router)", "12.0", "12.x", 0.08, [(r"getServerSideProps|getStaticProps|getStaticPaths", ""), (r"from ['\"]next\/router['\"]", ""), (r"from ['\"]next\/link['\"]", ""), (r"from ['\"]next\/image['\"]", "")]),
+    ("Next.js", "Next.js 13–14.x (App Router)", "13.0", "14.x", 0.12, [(r"""['"']use client['"']|['"']use server['"']""", ""), (r"export\s+(default\s+)?async\s+function\s+(GET|POST|PUT|DELETE|PATCH)\s*\(", ""), (r"export\s+const\s+metadata\s*=", ""), (r"NextRequest|NextResponse", ""), (r"""from ['"]next\/server['"]""", ""), (r"generateStaticParams\s*\(", ""), (r"\bnotFound\s*\(\)|\bredirect\s*\(", "")]),
+    ("Next.js", "Next.js 12.x (Pages Router)", "12.0", "12.x", 0.08, [(r"getServerSideProps|getStaticProps|getStaticPaths", ""), (r"""from ['"]next\/router['"]""", ""), (r"""from ['"]next\/link['"]""", ""), (r"""from ['"]next\/image['"]""", "")]),
     ("Express", "Express 5.x", "5.0", None, 0.10, [(r"\bapp\.listen\s*\(.*\bawait\b", ""), (r"express\s*\(\s*\).*\bPromise\b", "")]),
-    ("Express", "Express 4.x", "4.0", "4.x", 0.08, [(r"require\s*\(\s*['\"]express['\"]\s*\)", ""), (r"\bRouter\s*\(\s*\)", ""), (r"app\.(get|post|put|delete|use)\s*\(", "")]),
+    ("Express", "Express 4.x", "4.0", "4.x", 0.08, [(r"""require\s*\(\s*['"]express['"]\s*\)""", ""), (r"\bRouter\s*\(\s*\)", ""), (r"app\.(get|post|put|delete|use)\s*\(", "")]),
     ("Prisma", "Prisma 5.x", "5.0", None, 0.10, [(r"prisma\.\$transaction\s*\(\s*\[", ""), (r"\bPrismaClientKnownRequestError\b", ""), (r"\btypedSql\b|\b\$extends\b", ""), (r"relationLoadStrategy", "")]),
     ("Prisma", "Prisma 4.x", "4.0", "4.x", 0.07, [(r"new PrismaClient\s*\(", ""), (r"prisma\.\w+\.(findMany|findFirst|create|update|upsert|delete)\s*\(", "")]),
-    ("Vue", "Vue 3.x (Composition API)", "3.0", None, 0.12, [(r"\bdefineComponent\s*\(|\bsetup\s*\(", ""), (r"\bref\s*\(|\breactive\s*\(|\bcomputed\s*\(|\bwatch\s*\(", ""), (r"from ['\"]vue['\"].*\b(ref|reactive|computed|onMounted)\b", ""), (r"<script\s+setup", "")]),
+    ("Vue", "Vue 3.x (Composition API)", "3.0", None, 0.12, [(r"\bdefineComponent\s*\(|\bsetup\s*\(", ""), (r"\bref\s*\(|\breactive\s*\(|\bcomputed\s*\(|\bwatch\s*\(", ""), (r"""from ['"]vue['"].*\b(ref|reactive|computed|onMounted)\b""", ""), (r"<script\s+setup", "")]),
     ("Vue", "Vue 2.x (Options API)", "2.0", "2.x", 0.07, [(r"\bVue\.extend\s*\(|\bnew Vue\s*\(", ""), (r"\bdata\s*\(\s*\)\s*\{[\s\S]*?\breturn\s*\{", ""), (r"\bmounted\s*\(\s*\)\s*\{", "")]),
-    ("NestJS", "NestJS 10.x", "10.0", None, 0.08, [(r"from ['\"]@nestjs\/core['\"]|from ['\"]@nestjs\/common['\"]", ""), (r"@Controller\s*\(|@Injectable\s*\(", ""), (r"\bINJECT_MODULE\b|\bModuleRef\b", "")]),
+    ("NestJS", "NestJS 10.x", "10.0", None, 0.08, [(r"""from ['"]@nestjs\/core['"]|from ['"]@nestjs\/common['"]""", ""), (r"@Controller\s*\(|@Injectable\s*\(", ""), (r"\bINJECT_MODULE\b|\bModuleRef\b", "")]),
     ("FastAPI", "FastAPI 0.100+", "0.100", None, 0.08, [(r"from fastapi import FastAPI|import fastapi", ""), (r"@app\.(get|post|put|delete|patch)\s*\(", ""), (r"\bAnnotated\[|\bDepends\s*\(", "")]),
 ]
 BASE, STEP, MOST, UNKNOWN, UNDETERMINED, SIGNAL_CHARS, SUMMARY_LEAST = 0.55, 0.05, 0.95, 0.20, 0.30, 60, 0.40
