@@ -10,13 +10,16 @@ one class and need no comparison. For the rest:
 2. Each class sends the prefix that a linked partner must share to the buckets
    of its shingles. A block of documents sends a class once.
 3. In a bucket, classes that share a prefix shingle and pass the length and
-   positional filters are candidates. Within a list longer than `SHORT_LIST`
-   only pairs with the list's most central class come first, so a large group
-   of near copies costs its size, not its square.
-4. Each candidate pair is verified once, on whole sets, behind a suffix filter.
-5. Components are formed. Pairs of long lists that are still in different
-   components and pass the filters are then verified too, so no connection
-   between different texts is lost.
+   positional filters are candidates. First come only the pairs with each
+   list's most central class, so a group of near copies costs its size, not its
+   square, however many it has.
+4. The suffix filter bounds the overlap of a pair by two small histograms of
+   their whole sets, before any text moves. What passes is verified once, on
+   whole sets.
+5. Components are formed. All other pairs of short lists (up to `SHORT_LIST`)
+   that are still in different components are then filtered and verified too.
+   Longer lists are searched with more and more pivots of their own, until in
+   the last round every member is one, so no link between different texts is lost.
 
 Texts are compared under a 64-bit hash of their own (rid), never under doc_id:
 rows of one doc_id, or of none, need not hold the same text.
@@ -33,6 +36,7 @@ and carries all columns.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm._components import components
-from siltstone.llm._store import discard, read_table, settle, small_batches
+from siltstone.llm._store import discard, heavy_join, read_table, settle, small_batches
 from siltstone.llm._text import LOWER, Chunk, Words, chunks, combine, runs, word_hashes
 
 SKETCH_BITS, SKETCH_SLICES, SHORT_LIST = 20, 64, 24
 BLOCK_ENTRIES, BUCKET_ENTRIES = 1_000_000, 400_000
+#: Pairs of one class that are verified in one place, and how long lists are searched: one member in 2 ** shift is a pivot.
+PAIR_GROUP, PIVOT_SHIFTS, SALTS = 10_000, (12, 8, 4, 0), 32
 #: Bits of the marks that keep texts without a candidate partner out of the shuffle.
 MARK_BITS = 25
 
@@ -77,23 +83,45 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
-FIRST_PASS = "rid long, doc_id long, md5 binary, n long, fp binary, slice int, counts binary"
+FIRST_PASS = "rid long, doc_id long, md5 binary, n long, fp binary, shape binary, slice int, counts binary"
+NAMES = [x.split()[0] for x in FIRST_PASS.split(", ")]
+
+
+def shape(values: np.ndarray) -> bytes:
+    """A histogram of a sorted set with a cell for some four shingles; 255 stands for 255 or more."""
+    cells = min(4096, max(16, 1 << (len(values) // 4).bit_length()))
+    return np.minimum(np.bincount((values >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray, most: int) -> int:
+    """At most this many shingles are common to two sets of these shapes, of which the smaller has `most`."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    full = np.zeros(len(x), dtype=bool)
+    if len(x) < len(y):
+        full |= (y == 255).reshape(len(x), -1).any(axis=1)
+        y = y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)
+    else:
+        full |= y == 255
+    high = np.iinfo(np.int64).max >> 20
+    x = np.where(x == 255, high, x.astype(np.int64))
+    return min(most, int(np.minimum(x, np.where(full, high, y)).sum()))
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
-            n, fp = [], []
+            n, fp, shapes = [], [], []
             for chunk in chunks(batch.column("text")):
                 sets = shingle_sets(chunk, size)
                 n += [len(s) for s in sets]
                 fp += [hashlib.md5(s.tobytes()).digest() for s in sets]
+                shapes += [shape(s) for s in sets]
                 if len(every := np.concatenate(sets)):
                     sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), batch.column("md5"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=[x.split()[0] for x in FIRST_PASS.split(", ")])
+            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), batch.column("md5"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(shapes, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=NAMES)
         rows = np.split(sketch, SKETCH_SLICES)
-        yield pa.record_batch([*[pa.nulls(SKETCH_SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())], pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=[x.split()[0] for x in FIRST_PASS.split(", ")])
+        yield pa.record_batch([*[pa.nulls(SKETCH_SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())], pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=NAMES)
 
     return run
 
@@ -104,8 +132,10 @@ def _add_slices(table: pa.Table) -> pa.Table:
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
-    """Shingle counts by fingerprint prefix, added up in two steps; 4 MB whatever the corpus."""
-    rows = first.filter(F.col("slice").isNotNull()).select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part"))
+    """Shingle counts by fingerprint prefix, added up in two steps of about equal size; 4 MB whatever the corpus."""
+    rows = first.filter(F.col("slice").isNotNull()).select("slice", "counts")
+    groups = max(1, math.isqrt(rows.count() // SKETCH_SLICES))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(groups)))
     some = rows.groupBy("slice", "part").applyInArrow(_add_slices, "slice int, counts binary")
     done = some.groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), dtype=np.uint32)
@@ -168,7 +198,7 @@ def _postings(sketch, size: int, num: int, den: int, buckets: int):
     return run
 
 
-FOUND = "token long, a long, b long, n long, pos long"
+FOUND = "token long, a long, b long, first boolean, n long, pos long"
 
 
 def passes(na, nb, pa_, pb, num: int, den: int):
@@ -195,57 +225,59 @@ def _candidates(num: int, den: int):
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(token)))
         size_of = np.repeat(size, size)
-        left, right = [], []
+        left, right, early = [], [], []
+        # each list's most central class, the least rid on a tie
+        order = np.lexsort((rid, -score, np.repeat(start, size)))
+        pivot = np.repeat(order[start], size)
 
         def offer(i, j):
-            ok = passes(n[i], n[j], pos[i], pos[j], num, den)
-            left.append(rid[i[ok]])
-            right.append(rid[j[ok]])
-
+            ok = passes(n[i], n[j], pos[i], pos[j], num, den) & (rid[i] != rid[j])
+            i, j = i[ok], j[ok]
+            swap = (score[j] > score[i]) | ((score[j] == score[i]) & (rid[j] < rid[i]))
+            left.append(np.where(swap, rid[j], rid[i]))
+            right.append(np.where(swap, rid[i], rid[j]))
+            early.append((pivot[i] == i) | (pivot[j] == j))
+
+        every = np.arange(len(token))
+        offer(pivot, every)
         short = size_of <= SHORT_LIST
         for step in range(1, SHORT_LIST):
-            i = np.arange(len(token) - step) if len(token) > step else np.zeros(0, np.int64)
-            j = i + step
-            ok = short[i] & (token[i] == token[j])
+            i = every[: len(token) - step] if len(token) > step else every[:0]
+            ok = short[i] & (token[i] == token[i + step])
             if not ok.any():
                 break
-            offer(i[ok], j[ok])
+            offer(i[ok], i[ok] + step)
         long = np.flatnonzero(~short)
-        if len(long):
-            head = np.repeat(start, size)[long]
-            order = np.lexsort((rid[long], -score[long], head))
-            first = np.concatenate(([True], np.diff(head[order]) != 0))
-            pivot = dict(zip(head[order][first].tolist(), long[order][first].tolist(), strict=True))
-            offer(np.array([pivot[h] for h in head.tolist()]), long)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
-        zero = np.zeros(len(pairs), np.int64)
+        a, b, first = (np.concatenate(x) for x in (left, right, early))
+        order = np.lexsort((~first, b, a))
+        a, b, first = a[order], b[order], first[order]
+        keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        a, b, first = a[keep], b[keep], first[keep]
+        zero = np.zeros(len(a), np.int64)
         return pa.table({
-            "token": np.concatenate((zero, token[long].view(np.int64))), "a": np.concatenate((pairs[:, 0], rid[long])), "b": pa.array(np.concatenate((pairs[:, 1], rid[long])), mask=np.concatenate((np.zeros(len(pairs), bool), np.ones(len(long), bool)))),
-            "n": np.concatenate((zero, n[long])), "pos": np.concatenate((zero, pos[long])),
+            "token": np.concatenate((zero, token[long].view(np.int64))), "a": np.concatenate((a, rid[long])), "b": pa.array(np.concatenate((b, rid[long])), mask=np.concatenate((np.zeros(len(a), bool), np.ones(len(long), bool)))),
+            "first": np.concatenate((first, np.zeros(len(long), bool))), "n": np.concatenate((zero, n[long])), "pos": np.concatenate((zero, pos[long])),
         })
 
     return run
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
-    """At most this many shingles are common: both sorted sets are cut at the middle of the larger one."""
-    if not len(x) or not len(y):
-        return 0
-    cut = y[len(y) // 2] if len(y) >= len(x) else x[len(x) // 2]
-    i, j = int(np.searchsorted(x, cut)), int(np.searchsorted(y, cut))
-    return min(i, j) + min(len(x) - i, len(y) - j)
-
-
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    least = need(len(x) + len(y), num, den)
-    if suffix_bound(x, y) < least:
-        return False
     common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return den * common >= num * (len(x) + len(y) - common)
 
 
+def _suffix_filter(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
+                ok.append(overlap_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), min(na, nb)) >= need(na + nb, num, den))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _verify(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,13 +301,47 @@ def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("*", word, bit).join(F.broadcast(marks), "_word").filter(F.getbit("_mark", "_bit") == 1).drop("_word", "_bit", "_mark")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The candidate pairs that link, each verified once on whole texts."""
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+def _links(pairs: DataFrame, shapes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The candidate pairs that link: bounded by their shapes, then each verified once on whole texts.
+
+    A text is dealt once, as the b of its pairs; with each pair it moves to the
+    pair's a, at most PAIR_GROUP pairs to one place.
+    """
+    of = lambda s: shapes.select(F.col("rid").alias(s), F.col("n").alias("n" + s), F.col("shape").alias("x" + s))
+    kept = settle(pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").mapInArrow(_suffix_filter(num, den), "a long, b long"), "pairs")
+    many = settle(kept.groupBy("a").agg(F.count(F.lit(1)).alias("copies")).withColumn("groups", F.expr(f"cast(copies div {PAIR_GROUP} as int) + 1")), "pivots")
+    ids = many.select(F.col("a").alias("rid")).union(kept.select("b")).distinct()
     # dealt by rid once, for both sides, each text once; the joins drop what came along
     texts = _maybe_in(docs.select("rid", "text"), ids).dropDuplicates(["rid"])
-    both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    return settle(small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_verify(size, num, den), "a long, b long"), "links")
+    placed = heavy_join(kept, many, "a", "copies").withColumn("group", F.pmod(F.xxhash64("b"), F.col("groups")))
+    pivots = many.select(F.col("a").alias("rid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("group")).join(texts.withColumnRenamed("text", "text_a"), "rid").withColumnRenamed("rid", "a")
+    both = placed.select("a", "b", "group").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").join(pivots, ["a", "group"])
+    links = settle(small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_verify(size, num, den), "a long, b long"), "links")
+    discard(kept, many)
+    return links
+
+
+def _of(ids: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
+    """ids with the component of one of its keys; a key without one is its own."""
+    return ids.join(labels.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _more_pivots(long: DataFrame, labels: DataFrame, shift: int, before: int | None, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of long lists in different components, one of them a pivot, that pass the filters; pivots of an earlier round are done."""
+    slot = lambda c, s: F.pmod(F.xxhash64(F.lit(97), c), F.lit(1 << s)) == 0
+    long = _of(long, labels, "rid", "component")
+    mixed = long.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS))
+    spread = lambda rows: rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    long = long.withColumn("salt", salt).join(spread(mixed), ["token", "salt"])
+    side = lambda rows, s: rows.select("token", "salt", *[F.col(c).alias(c + s) for c in ("rid", "n", "pos", "component")])
+    done = F.lit(False) if before is None else slot("ridx", before) | slot("ridy", before)
+    least = F.ceil(num * (F.col("nx") + F.col("ny")) / F.lit(den + num))
+    pairs = side(spread(long.drop("salt").filter(slot("rid", shift))), "x").join(side(long, "y"), ["token", "salt"]).filter(
+        (F.col("ridx") != F.col("ridy")) & (F.col("componentx") != F.col("componenty")) & ~done
+        & (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")) & (F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= least)
+    )
+    return pairs.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -298,29 +364,32 @@ def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = Fa
     rows = rows.filter(of)
     posted = small_batches(rows.select("rid", "text")).mapInArrow(_postings(sketch, size, num, den, buckets), POSTED)
     found = settle(posted.groupBy("bucket").applyInArrow(_candidates(num, den), FOUND), "candidates")
-    pairs = found.filter("b is not null").select("a", "b").distinct()
-    links = _links(pairs, rows, size, num, den)
+    pairs = settle(found.filter("b is not null").groupBy("a", "b").agg(F.max("first").alias("first")), "offers")
+    shapes = settle(first.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("shape").alias("shape")), "shapes")
+    classes = settle(base.filter("n > 0").filter(of).groupBy("fp").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
 
-    classes = settle(base.filter("n > 0").filter(of).groupBy("fp").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("id")), "classes")
-    edges = links
+    edges = _links(pairs.filter("first"), shapes, rows, size, num, den)
     if named:
         several = classes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
         edges = edges.unionByName(classes.join(several, "id").select("a", F.col("rep").alias("b")))
     labels = settle(components(edges), "components")
-
     long = found.filter("b is null").select("token", F.col("a").alias("rid"), "n", "pos")
-    long = long.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = long.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    x, y = (long.join(mixed, "token").select("token", *[F.col(c).alias(c + s) for c in ("rid", "n", "pos", "component")]) for s in "xy")
-    least = F.ceil(num * (F.col("nx") + F.col("ny")) / F.lit(den + num))
-    rest = x.join(y, "token").filter((F.col("ridx") < F.col("ridy")) & (F.col("componentx") != F.col("componenty")) & (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")) & (F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= least))
-    rest = settle(rest.select(F.col("ridx").alias("a"), F.col("ridy").alias("b")).distinct(), "rest")
-    if not rest.isEmpty():
-        more = _links(rest, rows, size, num, den)
-        labels = settle(components(edges.unionByName(more)), "components")
-    discard(found)
+    before = None
+    for shift in PIVOT_SHIFTS:
+        rest = _more_pivots(long, labels, shift, before, num, den)
+        if before is None:
+            deferred = _of(_of(pairs.filter("not first").select("a", "b"), labels, "a", "x"), labels, "b", "y").filter("x <> y").select("a", "b")
+            rest = rest.union(deferred).distinct()
+        before, rest = shift, settle(rest, "rest")
+        if not rest.isEmpty():
+            more = _links(rest, shapes, rows, size, num, den)
+            if not more.isEmpty():
+                edges = edges.unionByName(more)
+                labels = settle(components(edges), "components")
+        discard(rest)
+    discard(found, pairs, shapes)
     labels = labels.select(F.col("node").alias("rep"), "component")
-    return base, classes.join(labels, "rep", "left").select("fp", "id", F.coalesce("component", "rep").alias("component"))
+    return base, classes.join(labels, "rep", "left").select("fp", "id", "copies", F.coalesce("component", "rep").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -335,22 +404,22 @@ def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     best = base.groupBy("fp").agg(F.min(place).alias("best"))
     stays = classes.join(best, "fp").groupBy("component").agg(F.min("best").alias("best")).select("best.doc_id", "best.rid")
     same = lambda a, b: a["rid"].eqNullSafe(b["rid"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    rows = settle(base.groupBy("doc_id", "rid").count().withColumnRenamed("count", "n"), "near-copies")
+    rows = settle(base.groupBy("doc_id", "rid").count(), "near-copies")
     stays = settle(stays, "stays")
     gone = rows.join(stays, same(rows, stays), "left_anti").select("doc_id", "rid")
-    key = lambda: docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_rid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    match = lambda a, b: a["_rid"].eqNullSafe(b["rid"]) & a["_id"].eqNullSafe(b["doc_id"])
-    every = key()
+    # the input's columns stay together in one, so that no name of theirs meets one of ours
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("of"))
+    match = lambda a, b: a["of"].eqNullSafe(b["rid"]) & a["id"].eqNullSafe(b["doc_id"])
     kept = every.join(gone, match(every, gone), "left_anti")
-    again = rows.filter("n > 1").select("doc_id", "rid")
+    again = rows.filter("count > 1").select("doc_id", "rid")
     if not again.isEmpty():
-        one = kept.join(again, match(kept, again), "left_semi").dropDuplicates(["_id", "_rid"])
+        one = kept.join(again, match(kept, again), "left_semi").dropDuplicates(["id", "of"])
         kept = kept.join(again, match(kept, again), "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, classes = near_copies(read_table(spark, sf_dir, "documents"), 4, 85, 100, named=True)
     names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
-    of = classes.join(names, "component").select("fp", "component_id")
-    return base.join(of, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = settle(classes.join(names, "component").select("fp", "copies", "component_id"), "named")
+    return heavy_join(base, of, "fp", "copies").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
