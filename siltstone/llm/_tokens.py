@@ -55,6 +55,13 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def largest_id(path: str) -> int:
+    """The greatest token id that the file defines."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([END_ID, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than capacity."""
     first = n % capacity or min(n, capacity)

@@ -7,10 +7,14 @@ pass over a text, and Myers' bit-parallel distance verifies the item against
 the text around each hit. A to Z count as a to z.
 
 Items are searched in blocks of bounded size, each block against all
-documents, so that what is broadcast does not grow with the benchmark.
+documents, so that what one task holds does not grow with the benchmark; a
+benchmark of up to `BLOCK_CHARS` code points takes one pass over the documents.
 
-Defined cases: null and empty items, and items under `MIN_ITEM` code points,
-are never searched (they would match by chance); null texts match nothing;
+An item under `EDIT_SHARE` code points has no edits to spend and is found only
+exactly and between word boundaries (no letter or digit next to it), as it
+would otherwise match inside words by chance.
+
+Defined cases: null and blank items are never searched; null texts match nothing;
 repeated items and repeated documents each give their own rows; an item found
 several times in a text gives one row with the smallest distance, the first
 place of it; empty tables give an empty result.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm._store import read_table, small_batches
 
-EDIT_SHARE, MIN_ITEM = 20, 20
+EDIT_SHARE = 20
 BLOCK_CHARS = 4_000_000
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -69,11 +73,16 @@ def myers(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit stands right before or after text[start:end]."""
+    return not (start and text[start - 1].isalnum()) and not text[end : end + 1].isalnum()
+
+
 class Searcher:
     """The automaton of a block of items and what verification needs."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.items = [(key, low, len(low) // EDIT_SHARE) for key, text in items if len(low := text.translate(ASCII_LOWER)) >= MIN_ITEM]
+        self.items = [(key, low, len(low) // EDIT_SHARE) for key, text in items if (low := text.translate(ASCII_LOWER)).strip()]
         self.masks = [symbol_masks(low) for _, low, _ in self.items]
         words: dict[str, list[tuple[int, int]]] = {}
         for i, (_, low, budget) in enumerate(self.items):
@@ -101,7 +110,10 @@ class Searcher:
                 tried.add((i, start))
                 _, item, budget = self.items[i]
                 at = max(0, start - budget)
-                distance, end = myers(self.masks[i], len(item), low[at : max(0, start + len(item) + budget)])
+                if not budget:
+                    distance, end = (0 if len(item) >= EDIT_SHARE or alone(low, start, start + len(item)) else 1), len(item)
+                else:
+                    distance, end = myers(self.masks[i], len(item), low[at : max(0, start + len(item) + budget)])
                 if distance <= budget and (i not in found or (distance, at + end) < found[i]):
                     found[i] = (distance, at + end)
                     if first:
@@ -125,7 +137,7 @@ def _search(searcher):
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of about BLOCK_CHARS code points; each is collected by itself."""
-    usable = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= MIN_ITEM)
+    usable = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length(F.trim("text")) > 0)
     size = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-size // BLOCK_CHARS)
     for b in range(count):

@@ -4,8 +4,9 @@ Documents become token pieces of at most `capacity` tokens (a longer document
 is cut without loss; its first piece takes the remainder). Each partition packs
 its pieces best-fit, largest first, and lets go of nearly full bins. The
 underfull bins go on as single items: fewer partitions, each with a bounded
-number of items, pack them best-fit again, and so on until a round no longer
-pays or one small partition is left. No task ever holds more than about
+number of items, pack them best-fit again, and so on until one partition is
+left or a round after the first saves under 1/200 of its items as bins; what is
+then still underfull stays so. No task ever holds more than about
 `MAX_ITEMS` items.
 
 A bin carries its pieces with it (at most `capacity` of them), so the result
@@ -117,20 +118,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARL
     n = single.count()
     parts = max(1, -(-n // MAX_ITEMS))
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    items, done, rounds = single.repartition(max(parts, min(wide, -(-n // 4096))) if n else 1), [], 0
+    partitions = max(parts, min(wide, -(-n // 4096))) if n else 1
+    items, done, rounds = single.repartition(partitions), [], 0
     while True:
         bins = settle(items.mapInPandas(_pack(rounds, capacity), BIN), f"bins-{rounds}")
         under = bins.filter(F.col("used") < enough)
         left = under.count()
-        partitions = items.rdd.getNumPartitions() if rounds == 0 else partitions_next
         merged = n - bins.count()
         rounds += 1
-        partitions_next = max(1, -(-left // MAX_ITEMS), -(-partitions // FAN_IN))
         if partitions == 1 or not left or (rounds > 1 and merged * 200 < n) or rounds == 60:
             done.append(bins)
             break
         done.append(bins.filter(F.col("used") >= enough))
-        items, n = under.select("used", "members").repartition(partitions_next), left
+        partitions = max(1, -(-left // MAX_ITEMS), -(-partitions // FAN_IN))
+        items, n = under.select("used", "members").repartition(partitions), left
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -99,7 +99,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int | None = 0, max_train: int = MAX_TRAIN) -> np.ndarray:
-    """Weights from at most max_train labelled documents, learned in one task of bounded input."""
+    """Weights from at most max_train labelled documents. They are found by all tasks and sent to one, whose input is so bounded."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     if held_out_remainder is not None:
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int | None = 0
     chosen = usable.orderBy("order", "doc_id", "quality").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = small_batches(texts.join(F.broadcast(chosen), "doc_id")).select("text", "quality", "order")
-    rows = sample.coalesce(1).mapInArrow(_train, "weights binary").collect()
+    rows = sample.repartition(1).mapInArrow(_train, "weights binary").collect()
     found = [r.weights for r in rows if r.weights]
     return np.frombuffer(bytes(found[0]), dtype=np.float32) if found else np.zeros((1 << BITS) + 1, dtype=np.float32)
 

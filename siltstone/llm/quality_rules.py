@@ -216,9 +216,6 @@ def distances(chunk, words: Words, langs: np.ndarray, refs: dict) -> tuple[np.nd
 VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-INTERNAL = ("_text", "_lang", "_words", "_classes")
-
-
 def _judge(refs, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +235,8 @@ def _judge(refs, carry: bool):
                 kept = ~failed & ~odd
                 rows = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 if carry:
-                    yield rows.select([c for c in rows.schema.names if c not in INTERNAL]).filter(pa.array(kept))
+                    row = rows.column("row")
+                    yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type]).filter(pa.array(kept))
                 else:
                     columns = [m[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                     yield pa.record_batch([rows.column("doc_id"), *map(pa.array, [*columns, by_class, by_word, failed, kept])], names=[x.split()[0] for x in VERDICT.split(", ")])
@@ -259,7 +257,8 @@ def _judged(plain: DataFrame, docs: DataFrame, carry: bool, schema) -> DataFrame
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that pass, with all their columns."""
-    plain = docs.withColumn("_text", F.col(text).cast("string")).withColumn("_lang", F.col(lang).cast("string"))
+    # the input's columns stay together in one, so that no name of theirs meets one of ours
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
     return _judged(plain, docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), True, docs.schema)
 
 

@@ -7,7 +7,8 @@ ids and the position ids as little-endian bytes, the cumulative segment
 lengths, and for each segment its document, piece and start. Tasks pack runs of
 about `GROUP_TOKENS` tokens, so memory does not depend on the partition's size.
 
-Ids take two bytes where the vocabulary allows, else four.
+Ids take two bytes where every id of the vocabulary fits, else four; positions
+two where the capacity allows. A width that is asked for and too small is an error.
 
 Defined cases: null text = empty text (one end token); repeated rows are
 packed as often as they occur; an empty table gives an empty result.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm._store import read_table, small_batches
-from siltstone.llm._tokens import cuts, default_path, document_ids, encoder
+from siltstone.llm._tokens import cuts, default_path, document_ids, encoder, largest_id
 
 CAPACITY, GROUP_TOKENS, PAD_ID = 2048, 4_000_000, 0
 
@@ -80,7 +81,7 @@ PACKED = (
 )
 
 
-def _write(path: str, capacity: int, width: str):
+def _write(path: str, capacity: int, width: str, place_width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, count = encoder(path), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, int, int, np.ndarray]] = []
@@ -90,7 +91,7 @@ def _write(path: str, capacity: int, width: str):
             nonlocal count
             rows = []
             ids = np.full((1, capacity), PAD_ID, dtype=width)
-            position = np.zeros((1, capacity), dtype=width)
+            position = np.zeros((1, capacity), dtype=place_width)
             for items in best_fit_decreasing([len(held[i][3]) for i in range(len(held))], capacity):
                 ids[:], position[:] = PAD_ID, 0
                 ends = [0]
@@ -124,9 +125,19 @@ def _write(path: str, capacity: int, width: str):
     return run
 
 
-def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_bytes: int = 2) -> DataFrame:
+def width_of(most: int, asked: int | None = None) -> str:
+    """A little-endian unsigned type for numbers up to most; of `asked` bytes if that is given."""
+    least = 2 if most < 1 << 16 else 4
+    if asked is not None and (asked not in (2, 4) or asked < least):
+        raise ValueError(f"{most} does not fit into {asked} bytes")
+    return f"<u{asked or least}"
+
+
+def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_bytes: int | None = None) -> DataFrame:
+    path = path or default_path()
+    ids, places = width_of(largest_id(path), id_bytes), width_of(capacity - 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(texts).mapInArrow(_write(path or default_path(), capacity, f"<u{id_bytes}"), PACKED)
+    return small_batches(texts).mapInArrow(_write(path, capacity, ids, places), PACKED)
 
 
 def write_packed(docs: DataFrame, folder: str, **options) -> None:
