@@ -1,22 +1,29 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class of word | context) * P(word | class).
+P(word | context) = P(class of word | context) * P(word | class, context).
 
 * Classes come from the corpus: words that make up at least 1/1024 of it stand
   for themselves, all others are pooled by their ending; the pooled units are
   clustered by the units that precede and follow them.
 * P(class | context) is a softmax over the sum of the weights of hashed
   features: the unit before, the unit before that (a skip), and the pair of
-  both. It is trained by distributed gradient updates: every partition runs
-  adaptive minibatch steps over all its training tokens from the shared
-  weights, and the partitions' updates are averaged by their tokens.
-* P(word | class) has one bias feature for each word, in closed form from the
-  training counts, with half a count for an unseen word in each class. So the
-  probabilities of all known words and of one unseen word a class add up to 1.
-
-Counts cover every training document. Words with at least 1/2**22 of the
-tokens (never more than 2**22) are sent to the tasks; the counts of rarer ones
-are joined, word by word.
+  both. It is trained by distributed gradient updates in `ROUNDS` rounds: every
+  partition runs adaptive minibatch steps over all its training tokens from the
+  shared weights, and each weight takes the mean of the partitions' updates,
+  weighted by the tokens that touched its feature.
+* P(word | class, context) has a bias feature for each word, in closed form from
+  the training counts (half a count for an unseen word in each class), and a
+  hashed bigram feature for each pair of words that the training documents hold
+  at least twice. A token has one bigram feature at most, so the weights that
+  meet the discounted counts have a closed form too: one update, grouped by
+  context, reaches the optimum. What a context's bigrams leave over goes to all
+  other words of the class in proportion to their biases.
+
+The tables of words and bigrams grow with the corpus and stay distributed:
+tokens are sent to the range of their context, met with its features there, and
+sums come back by document. Words with at least 1/2**22 of the tokens, and
+bigrams and contexts with at least 1/2**20, are sent to the tasks instead, so no
+range depends on how frequent one of them is.
 
 Defined cases: null text = empty text (one end token); a null id is scored and
 never trained on; repeated rows count and are scored as often as they occur;
@@ -30,16 +37,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._store import read_table, settle, small_batches
+from siltstone.llm._blocks import changes, grow, ranges, shrink
+from siltstone.llm._store import discard, read_table, settle, small_batches
 from siltstone.llm._text import LOWER, Words, chunks, crc_remainder, mix, prefix_hash, span_hash
 
 HEAD_SHARE, OWN_SHARE, ENDINGS, CLASSES = 1 << 22, 1024, 256, 16
 SLOTS = 1 << 14
 KINDS = 3
-BATCH, RATE = 16_384, 0.4
+BATCH, RATE, ROUNDS = 16_384, 0.4, 2
+HOT_SHARE, DISCOUNT, BLOCK_TOKENS = 1 << 20, 0.75, 1_500_000
 END, BOS = 0, 1  # units; the end token's word key is 0
 FLUSH_TOKENS = 2_000_000
 SLICES = 32
@@ -144,30 +155,25 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, slots: list[np.ndarray])
     return z
 
 
-def _slices(values: np.ndarray, weight: int) -> pa.RecordBatch:
+def _slices(values: np.ndarray) -> pa.RecordBatch:
     parts = np.array_split(values.reshape(-1), SLICES)
-    return pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([weight] * SLICES, pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["slice", "weight", "part"])
+    return pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([p.astype(np.float64).tobytes() for p in parts], pa.binary())], names=["slice", "part"])
 
 
-SLICE = "slice int, weight long, part binary"
+SLICE = "slice int, part binary"
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total, weight = None, 0
-    for part, w in zip(table.column("part"), table.column("weight").to_pylist(), strict=True):
-        x = np.frombuffer(part.as_py(), dtype=np.float32)
-        total = x.astype(np.float64) if total is None else total + x
-        weight += w
-    return pa.table({"slice": table.column("slice").slice(0, 1), "weight": pa.array([weight]), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    total = sum(np.frombuffer(part.as_py(), dtype=np.float64) for part in table.column("part"))
+    return pa.table({"slice": table.column("slice").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def add_up(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """The sum of all tasks' arrays, in two steps so that no task adds up more than some hundreds."""
-    some = rows.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(64))).groupBy("slice", "group").applyInArrow(_add, SLICE)
+def add_up(rows: DataFrame, size: int, tasks: int) -> np.ndarray:
+    """The sum of all tasks' arrays, in two steps, each of which adds up about the square root of the tasks' number."""
+    groups = max(1, int(tasks**0.5))
+    some = rows.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups))).groupBy("slice", "group").applyInArrow(_add, SLICE)
     found = sorted(some.groupBy("slice").applyInArrow(_add, SLICE).collect(), key=lambda r: r.slice)
-    if not found:
-        return np.zeros(size), 0
-    return np.concatenate([np.frombuffer(bytes(r.part), dtype=np.float32) for r in found]).astype(np.float64), found[0].weight
+    return np.concatenate([np.frombuffer(bytes(r.part), dtype=np.float64) for r in found]) if found else np.zeros(size)
 
 
 def _follow(lexicon):
@@ -186,7 +192,7 @@ def _follow(lexicon):
                 total += np.bincount(one[mine].astype(np.int64) * lex.size + units[mine], minlength=len(total))
                 seen += int(mine.sum())
         if seen:
-            yield _slices(total, seen)
+            yield _slices(total)
 
     return run
 
@@ -219,7 +225,7 @@ def _train(lexicon, kinds, start):
         first, bias0 = start.value
         weights, bias = first.copy(), bias0.copy()
         squares, bias_squares = np.full_like(weights, 1e-4), np.full_like(bias, 1e-4)
-        seen = 0
+        touched, seen = np.zeros((KINDS, SLOTS)), 0
         for batch in batches:
             remainder = _numbers(batch, "doc_id")
             for chunk in chunks(batch.column("text")):
@@ -240,6 +246,7 @@ def _train(lexicon, kinds, start):
                         head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
                         step = np.add.reduceat(g[order], head, axis=0) / BATCH
                         row = s[head]
+                        touched[k][row] += np.diff(np.append(head, len(s)))
                         squares[k][row] += step * step
                         weights[k][row] -= RATE * step / np.sqrt(squares[k][row])
                     step = g.sum(axis=0) / BATCH
@@ -247,7 +254,7 @@ def _train(lexicon, kinds, start):
                     bias -= RATE * step / np.sqrt(bias_squares)
                 seen += len(mine)
         if seen:
-            yield _slices(np.concatenate(((weights - first).reshape(-1), bias - bias0)) * np.float32(seen), seen)
+            yield _slices(np.concatenate((((weights - first) * touched[:, :, None]).reshape(-1), (bias - bias0) * seen, touched.reshape(-1), [seen])))
 
     return run
 
@@ -260,8 +267,8 @@ class Model:
         self.total, self.types, self.class_mass = total, types, class_mass
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the settled counts of all training words (key, ending, n)."""
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the settled counts of all training words (key, ending, n) and the settled bigram features."""
     spark = docs.sparkSession
     texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     counts = settle(texts.mapInArrow(_count, "key long, ending short, n long").groupBy("key").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "counts")
@@ -275,7 +282,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     lexicon = Lexicon(own, key, n)
     lex = spark.sparkContext.broadcast(lexicon)
 
-    table, _ = add_up(texts.mapInArrow(_follow(lex), SLICE), lexicon.size**2)
+    tasks = texts.rdd.getNumPartitions()
+    table = add_up(texts.mapInArrow(_follow(lex), SLICE), lexicon.size**2, tasks)
     kinds = cluster(table.reshape(lexicon.size, lexicon.size))
     by_ending = {r.ending: (r.n, r.types) for r in counts.filter("key <> 0").groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
     own_rows = {r.key: r for r in counts.filter((F.col("n") * OWN_SHARE >= total) & (F.col("key") != 0)).collect()}
@@ -295,12 +303,214 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     kinds_of[0] += 1 if ends else 0
 
     weights, bias = np.zeros((KINDS, SLOTS, CLASSES), dtype=np.float32), np.log((mass + 1) / (mass.sum() + CLASSES)).astype(np.float32)
-    start = spark.sparkContext.broadcast((weights, bias))
-    update, seen = add_up(texts.mapInArrow(_train(lex, spark.sparkContext.broadcast(kinds), start), SLICE), weights.size + CLASSES)
-    if seen:
-        step = (update / seen).astype(np.float32)
-        weights, bias = weights + step[: weights.size].reshape(weights.shape), bias + step[weights.size :]
-    return Model(lexicon, kinds, weights, bias, total, types, np.log10(mass + 0.5 * (kinds_of + 1))), counts
+    shared = spark.sparkContext.broadcast(kinds)
+    for _ in range(ROUNDS):
+        start = spark.sparkContext.broadcast((weights, bias))
+        found = add_up(texts.mapInArrow(_train(lex, shared, start), SLICE), weights.size + CLASSES + KINDS * SLOTS + 1, tasks)
+        step, bias_step, touched, seen = np.split(found, np.cumsum((weights.size, CLASSES, KINDS * SLOTS)))
+        weights = (weights + step.reshape(weights.shape) / np.maximum(touched, 1).reshape(KINDS, SLOTS, 1)).astype(np.float32)
+        bias = (bias + bias_step / max(seen[0], 1)).astype(np.float32)
+    model = Model(lexicon, kinds, weights, bias, total, types, np.log10(mass + 0.5 * (kinds_of + 1)))
+    return model, counts, bigrams(texts, counts, model)
+
+
+def bigram_keys(tokens: Tokens, kinds: np.ndarray) -> np.ndarray:
+    """The hashed bigram feature of each token: 28 bits of its context, 4 of its class, 32 of its word; 0 for end tokens."""
+    before = np.zeros(len(tokens.key), dtype=np.uint64)
+    before[1:] = tokens.key[:-1].view(np.uint64)
+    before[np.cumsum(tokens.counts) - tokens.counts] = 0x5EED
+    key = mix(before + np.uint64(0xB16)) >> np.uint64(36) << np.uint64(36) | kinds.astype(np.uint64) << np.uint64(32) | tokens.key.view(np.uint64) & np.uint64(0xFFFFFFFF)
+    key[tokens.is_end] = 0
+    return key.view(np.int64)
+
+
+def _bigram_counts(model):
+    """(context, key, n): counts of bigrams, and of the contexts (with the class) that they have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        held: list[np.ndarray] = []
+
+        def flush():
+            key = np.concatenate(held)
+            held.clear()
+            for context, values in ((False, key), (True, key >> 32)):
+                value, n = np.unique(values, return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(value), context)), pa.array(value), pa.array(n.astype(np.int64))], names=["context", "key", "n"])
+
+        for batch in batches:
+            remainder = _numbers(batch, "doc_id")
+            for chunk in chunks(batch.column("text")):
+                tokens = Tokens(chunk)
+                part = remainder[chunk.lo : chunk.hi][tokens.docs]
+                held.append(bigram_keys(tokens, m.kinds[m.lexicon.units(tokens)])[(part != 1) & (part >= 0) & ~tokens.is_end])
+                if sum(map(len, held)) >= FLUSH_TOKENS:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def bigrams(texts: DataFrame, counts: DataFrame, model: "Model") -> DataFrame:
+    """Settled (key, context, n, value): for a bigram what it adds to its word's log10 probability, for a context what it adds to other words'."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    every = texts.mapInArrow(_bigram_counts(shared), "context boolean, key long, n long").groupBy("context", "key").agg(F.sum("n").alias("n"))
+    seen = settle(every.filter(F.col("context") | (F.col("n") > 1)), "bigram-counts")
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    words = counts.filter("key <> 0").groupBy(low("key").alias("word")).agg(F.sum("n").alias("in_all"))
+    mass = F.array(*[F.lit(float(x)) for x in model.class_mass])
+    pairs = seen.filter(~F.col("context")).select("key", "n", F.shiftright("key", 32).alias("of"), low("key").alias("word")).join(words, "word")
+    pairs = pairs.withColumn("bias", F.log10(F.col("in_all") + 0.5) - F.get(mass, F.col("of").bitwiseAND(F.lit(15)).cast("int")))
+    pairs = pairs.join(seen.filter("context").select(F.col("key").alias("of"), F.col("n").alias("of_n")), "of").withColumn("share", (F.col("n") - DISCOUNT) / F.col("of_n"))
+    pairs = settle(pairs.select("key", "of", "n", "of_n", "bias", "share"), "bigram-shares")
+    rest = pairs.groupBy("of").agg(F.first("of_n").alias("n"), F.log10((1 - F.sum("share")) / (1 - F.sum(F.pow(F.lit(10.0), "bias")))).alias("value"))
+    out = settle(pairs.select("key", F.lit(False).alias("context"), "n", (F.log10("share") - F.col("bias")).alias("value")).unionByName(rest.select(F.col("of").alias("key"), F.lit(True).alias("context"), "n", "value")), "bigrams")
+    discard(seen, pairs)
+    return out
+
+
+class Hot:
+    """Features with at least 1/2**20 of the training tokens: at most 2**20 bigrams and as many contexts."""
+
+    def __init__(self, table: pa.Table):
+        self.sets = []
+        for context in (False, True):
+            mine = table.filter(pc.equal(table.column("context"), context)).sort_by("key")
+            self.sets.append((mine.column("key").to_numpy(), mine.column("value").to_numpy()))
+
+    def find(self, keys: np.ndarray, context: bool) -> tuple[np.ndarray, np.ndarray]:
+        return _look_up(*self.sets[context], keys)
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[at] == wanted
+    return found, np.where(found, values[at], 0.0)
+
+
+def _place(key: np.ndarray, hot_context: np.ndarray, count: int) -> np.ndarray:
+    """The range of a bigram: that of its context, or its own if the context is frequent."""
+    return (mix(np.where(hot_context, key, key >> 32).view(np.uint64)) % np.uint64(count)).astype(np.int32)
+
+
+SENT = "range int, block long, keys binary, doc binary, size binary, ids binary"
+SUMS = "block long, doc binary, sums binary"
+
+
+def _send(model, hot, count: int):
+    """Each token's bigram to its range; what frequent features add is summed here and comes along with the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, frequent = model.value, hot.value
+        block = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        rows: list[np.ndarray] = []
+        tokens_held = docs_held = 0
+
+        def flush():
+            nonlocal block, tokens_held, docs_held
+            key, doc = (np.concatenate([h[i] for h in held]) for i in range(2))
+            ids = np.concatenate(rows)
+            is_hot, value = frequent.find(key, False)
+            of_hot, rest = frequent.find(key >> 32, True)
+            own = np.bincount(doc, weights=np.where(is_hot, value, np.where(of_hot, rest, 0.0)), minlength=len(ids))
+            key, doc, of_hot = key[~is_hot], doc[~is_hot], of_hot[~is_hot]
+            place = _place(key, of_hot, count)
+            order = np.lexsort((doc, place))
+            key, doc, place = key[order], doc[order], place[order]
+            starts = changes(place, doc)
+            size, cut, out = np.diff(np.append(starts, len(key))), changes(place[starts]).tolist(), []
+            for a, b in zip(cut, [*cut, len(starts)][1:], strict=True):
+                lo, hi = starts[a], starts[b] if b < len(starts) else len(key)
+                out.append((int(place[lo]), block, key[lo:hi].tobytes(), shrink(np.diff(doc[starts[a:b]], prepend=0)), shrink(size[a:b]), None))
+            out.append((block % count, block, b"", shrink(np.zeros(0, np.int64)), shrink(np.zeros(0, np.int64)), np.stack((ids, own.view(np.int64))).tobytes()))
+            held.clear()
+            rows.clear()
+            tokens_held = docs_held = 0
+            block += 1
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SENT.split(", ")])
+
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            for chunk in chunks(batch.column("text")):
+                tokens = Tokens(chunk)
+                words = ~tokens.is_end
+                held.append((bigram_keys(tokens, m.kinds[m.lexicon.units(tokens)])[words], tokens.docs[words] + docs_held))
+                rows.append(row[chunk.lo : chunk.hi])
+                docs_held += len(chunk)
+                tokens_held += len(tokens.key)
+                if tokens_held >= BLOCK_TOKENS:
+                    yield flush()
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _to_ranges(hot, count: int):
+    """The features that are not frequent, at their ranges; a bigram of a frequent context without what the sender has added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = hot.value
+        for batch in batches:
+            key, context, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "context", "value"))
+            of = np.where(context, key, key >> 32)
+            of_hot, rest = frequent.find(of, True)
+            keep = ~np.where(context, of_hot, frequent.find(key, False)[0])
+            place = _place(np.where(context, key << 32, key), of_hot & ~context, count)
+            yield pa.record_batch([pa.array(x[keep]) for x in (place, key, context, value - np.where(context, 0.0, rest))], names=["range", "key", "context", "value"])
+
+    return run
+
+
+def _meet(sent: pa.Table, features_: pa.Table) -> pa.Table:
+    """The tokens of a range meet its features; sums by block and document."""
+    sets = []
+    for context in (False, True):
+        mine = features_.filter(pc.equal(features_.column("context"), context)).sort_by("key")
+        sets.append((mine.column("key").to_numpy(), mine.column("value").to_numpy()))
+    out = []
+    for row in sent.to_pylist():
+        if row["ids"] is not None:
+            out.append((row["block"], None, row["ids"]))
+        key = np.frombuffer(row["keys"], dtype=np.int64)
+        if not len(key):
+            continue
+        found, value = _look_up(*sets[0], key)
+        _, rest = _look_up(*sets[1], key >> 32)
+        start = np.cumsum(grow(row["size"])) - grow(row["size"])
+        out.append((row["block"], row["doc"], np.add.reduceat(np.where(found, value, rest), start).astype(np.float32).tobytes()))
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)], names=["block", "doc", "sums"])
+
+
+def _per_row(table: pa.Table) -> pa.Table:
+    ids = total = None
+    parts = []
+    for row in table.to_pylist():
+        if row["doc"] is None:
+            ids, own = np.frombuffer(row["sums"], dtype=np.int64).reshape(2, -1)
+            total = own.view(np.float64).copy()
+        else:
+            parts.append((np.cumsum(grow(row["doc"])), np.frombuffer(row["sums"], dtype=np.float32)))
+    for doc, sums in parts:
+        total[doc] += sums
+    return pa.table({"row": pa.array(ids), "bigrams": pa.array(total)})
+
+
+def bigram_sums(texts: DataFrame, model, table: DataFrame, tokens: int, total: int) -> DataFrame:
+    """(row, bigrams): what the bigram features add to each document's score."""
+    spark = texts.sparkSession
+    frequent = Hot(table.filter(F.col("n") * HOT_SHARE >= total).select("context", "key", "value").toArrow())
+    hot, count = spark.sparkContext.broadcast(frequent), ranges(tokens, spark)
+    sent = texts.mapInArrow(_send(model, hot, count), SENT)
+    at_range = table.select("key", "context", "value").mapInArrow(_to_ranges(hot, count), "range int, key long, context boolean, value double")
+    sums = settle(sent.groupBy("range").cogroup(at_range.groupBy("range")).applyInArrow(_meet, SUMS), "bigram-sums")
+    return sums.groupBy("block").applyInArrow(_per_row, "row long, bigrams double")
 
 
 PARTS = "row long, doc_id long, held_out boolean, n_tokens long, known long, words double, classes double, key long, times long"
@@ -343,17 +553,19 @@ def _score(model):
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, table: DataFrame) -> DataFrame:
     texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("row", F.monotonically_increasing_id())
-    parts = settle(texts.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), PARTS), "scores")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = settle(texts.mapInArrow(_score(shared), PARTS), "scores")
+    added = bigram_sums(texts, shared, table, parts.agg(F.sum("n_tokens")).first()[0] or 0, model.total)
     rare = parts.filter("key is not null").select("row", "key", "times").join(counts.select("key", "n"), "key", "left")
     n = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(n + 0.5)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    rows = parts.filter("key is null").drop("key", "times").join(rare, "row", "left")
+    rows = parts.filter("key is null").drop("key", "times").join(rare, "row", "left").join(added, "row", "left")
     words = F.col("words") + F.coalesce("more", F.lit(0.0))
     return rows.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (words - F.col("n_tokens") * float(np.log10(model.total + 0.5 * (model.types + 1)))).alias("base_score"), (words + F.col("classes")).alias("score"),
+        (words - F.col("n_tokens") * float(np.log10(model.total + 0.5 * (model.types + 1)))).alias("base_score"), (words + F.col("classes") + F.coalesce("bigrams", F.lit(0.0))).alias("score"),
     )
 
 
