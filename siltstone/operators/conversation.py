@@ -65,6 +65,16 @@ def context_text() -> Column:
     )
 
 
+def confirmation_card(task: Column) -> Column:
+    """M11, over understand()'s columns: struct(frameworks, architecture, prompt) with signals by name."""
+    named = F.transform("signals", lambda s: s["name"])
+    return F.struct(
+        F.when(F.size("dependencies") > 0, F.array_join("dependencies", ", ")).otherwise(R.NO_FRAMEWORKS).alias("frameworks"),
+        F.when(F.size(named) > 0, F.array_join(named, ", ")).otherwise(R.NO_SIGNALS).alias("architecture"),
+        F.when(F.coalesce(task, F.lit("")) != "", F.concat(F.lit('"'), task, F.lit('"'))).otherwise(R.NO_PROMPT).alias("prompt"),
+    )
+
+
 def fence_language(summary: Column) -> Column:
     """The first word after the first "in " of the summary, lower case; text if there is none."""
     after = F.get(F.split(summary, "in ", -1), F.lit(1))

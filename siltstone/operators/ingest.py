@@ -43,6 +43,11 @@ def paste_size(text: Column) -> Column:
     return _verdict(_too_large(byte_size(text), R.MAX_PASTE_BYTES, "Input"))
 
 
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units, as posted bodies are measured."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+
+
 def request_size(content_length: Column) -> Column:
     """V4: true when the request passes; a missing or unreadable header does."""
     return F.coalesce(content_length.try_cast("double") <= R.MAX_REQUEST_BYTES, F.lit(True))
@@ -50,7 +55,7 @@ def request_size(content_length: Column) -> Column:
 
 def review_body(content: Column) -> Column:
     """V5: between one character and the limit."""
-    return F.coalesce(F.length(content).between(1, R.MAX_CONTENT_CHARS), F.lit(False))
+    return F.coalesce(utf16_length(content).between(1, R.MAX_CONTENT_CHARS), F.lit(False))
 
 
 def chat_body(messages: DataFrame) -> DataFrame:
@@ -97,6 +102,26 @@ def normalise(df: DataFrame, source: str, name: str = "filename", content: str =
     return out.withColumn("ingested_at", F.col(at) if at else F.lit(None).cast("timestamp"))
 
 
+def stage_upload(df: DataFrame, name: str = "filename", mime: str = "mime", size: str = "size", content: str = "content") -> DataFrame:
+    """S3: size, type and readability in this order, the first failure as error; what passes is normalised and staged.
+
+    A file without content could not be read. Rows with an error keep their place with staged = false.
+    """
+    unread = F.when(F.col(content).isNull(), F.concat(F.lit(R.UNREADABLE), F.coalesce(F.col(name), F.lit(""))))
+    error = F.coalesce(upload_size(F.col(size))["error"], upload_type(F.coalesce(F.col(name), F.lit("")), F.col(mime))["error"], unread)
+    return normalise(df, "file-upload", name, content).withColumns({"error": error, "staged": error.isNull()})
+
+
+def stage_paste(df: DataFrame, language: str = "guess", relevance: str = "relevance", explicit: str | None = None, content: str = "content") -> DataFrame:
+    """Size, then the guessed language; a text that passes is normalised under its virtual name, or the explicit one if given, and staged."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    virtual = paste_name(F.col(language), F.col(relevance))
+    error = F.coalesce(paste_size(text)["error"], F.when(virtual["extension"] == R.PLAIN_PASTE[2], F.lit(R.NOT_CODE)))
+    name = F.coalesce(F.col(explicit), virtual["filename"]) if explicit else virtual["filename"]
+    rows = df.withColumns({"error": error, "filename": name})
+    return normalise(rows, "paste", "filename", content).withColumn("staged", F.col("error").isNull())
+
+
 def code_lines(df: DataFrame, key: str = "artifact_id", content: str = "content", shown: int | None = None) -> DataFrame:
     """Numbered, escaped lines."""
     out = df.select(key, F.posexplode(F.split(F.col(content), "\r?\n", -1)).alias("pos", "raw"))

@@ -5,33 +5,69 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
 from siltstone.rules import limits as R
 
-VERDICT = "key long, at_ms long, request_id long, allowed boolean, remaining int, retry_after_ms long"
+
+def verdict_schema(requests: DataFrame) -> StructType:
+    """key and request_id as they come in, at_ms, allowed, remaining and retry_after_ms."""
+    given = requests.schema
+    out = StructType().add("key", given["key"].dataType).add("at_ms", LongType()).add("request_id", given["request_id"].dataType)
+    return out.add("allowed", BooleanType()).add("remaining", IntegerType()).add("retry_after_ms", LongType())
+
+
+def judge(at: np.ndarray, start: int | None, count: int, window: int, most: int):
+    """Verdicts on one key's requests in time order, a window at a time, and the state after them: its start and count."""
+    allowed, remaining, retry = np.zeros(len(at), bool), np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+    i = 0
+    while i < len(at):
+        if start is None or at[i] - start >= window:
+            start, count = int(at[i]), 0
+        end = int(np.searchsorted(at, start + window))
+        some = min(end - i, max(most - count, 0))
+        allowed[i : i + some] = True
+        remaining[i : i + some] = most - count - 1 - np.arange(some)
+        retry[i + some : end] = window - (at[i + some : end] - start)
+        count += some
+        i = end
+    return allowed, remaining, retry, start, count
+
+
+def _starts(keys: pa.Array) -> np.ndarray:
+    """Where a run of equal keys starts; a null equals a null."""
+    a, b = keys.slice(0, len(keys) - 1), keys.slice(1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return np.flatnonzero(np.concatenate(([True], ~same.to_numpy(zero_copy_only=False))))
 
 
 def _fold(window: int, most: int):
-    """Walk requests sorted by key and time; the only state is the current key's window."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, count = None, 0, 0
-        for frame in frames:
-            keys, at = frame["key"].to_numpy(), frame["at_ms"].to_numpy()
-            allowed, remaining, retry = np.ones(len(at), bool), np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
-            for i, (k, t) in enumerate(zip(keys.tolist(), at.tolist(), strict=True)):
-                if k != key or t - start >= window:
-                    key, start, count = k, t, 1
-                elif count >= most:
-                    allowed[i], retry[i] = False, window - (t - start)
-                    continue
-                else:
-                    count += 1
-                remaining[i] = most - count
-            yield frame.assign(allowed=allowed, remaining=remaining, retry_after_ms=retry)
+    """Walk requests sorted by key and time; the only state is the last key's window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, count, any_ = None, None, 0, False
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, timed = batch.column("key"), batch.column("at_ms").is_valid().to_numpy(zero_copy_only=False)
+            at = pc.fill_null(batch.column("at_ms"), 0).to_numpy()
+            out = np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n, np.int64)
+            cut = _starts(keys)
+            for lo, hi in zip(cut.tolist(), [*cut.tolist(), n][1:], strict=True):
+                key = keys[lo].as_py()
+                if lo or not any_ or key != last:
+                    start, count = None, 0
+                last, any_ = key, True
+                lo += int((~timed[lo:hi]).sum())  # those without a time come first
+                *found, start, count = judge(at[lo:hi], start, count, window, most)
+                for column, part in zip(out, found, strict=True):
+                    column[lo:hi] = part
+            yield pa.record_batch([*(batch.column(c) for c in ("key", "at_ms", "request_id")), *(pa.array(c, mask=~timed) for c in out)], names=["key", "at_ms", "request_id", "allowed", "remaining", "retry_after_ms"])
 
     return run
 
@@ -39,11 +75,13 @@ def _fold(window: int, most: int):
 def rate_limit(requests: DataFrame, window_ms: int = R.WINDOW_MS, most: int = R.MAX_REQUESTS) -> DataFrame:
     """R1 in batch over (key, at_ms, request_id); ties in time by request_id.
 
-    A key's requests are inherently sequential; they stream through one sorted
-    partition with constant state, so a hot key costs time but no memory.
+    Keys may be of any type that can be ordered. Null keys are one key of their
+    own; a request without a time has no verdict (nulls) and is not counted.
+    A key's requests depend on each other in order: they stream through one
+    sorted partition with constant state, so a hot key costs time, not memory.
     """
-    ordered = requests.select("key", "at_ms", "request_id").repartition("key").sortWithinPartitions("key", "at_ms", "request_id")
-    return ordered.mapInPandas(_fold(window_ms, most), VERDICT)
+    ordered = requests.select("key", F.col("at_ms").cast("long").alias("at_ms"), "request_id").repartition("key").sortWithinPartitions("key", F.col("at_ms").asc_nulls_first(), "request_id")
+    return ordered.mapInArrow(_fold(window_ms, most), verdict_schema(requests))
 
 
 def retry_after_seconds(retry_ms):

@@ -25,6 +25,7 @@ from siltstone.plans.corpus import artifacts, spread
 from siltstone.rules import language as L
 from siltstone.rules import limits as R
 from siltstone.rules import registry as REG
+from siltstone.sources.readers import read_requests
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -123,6 +124,57 @@ def v9_routing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", I.route(F.col("doc_id") % 5 == 0, F.col("text"), third == 0, third == 1).alias("target"))
 
 
+_TYPE_ERROR = "'File type not supported (' || {} || '). Only JavaScript, TypeScript, Vue, and Svelte files are supported.'"
+
+
+@query(f"""WITH {Q.values('f', 'k, name, mime, problem', [(0, 'a.ts', '', None), (1, 'b.PNG', 'image/png', 'media'), (2, 'vue', '', None), (3, 'README', 'text/plain', None), (4, 'x.py', '', '.py'), (5, 'y.js', 'video/mp4', 'media'), (6, 'noext', None, 'noext'), (7, 'a.b.JSX', 'application/octet-stream', None)])},
+d AS (SELECT doc_id, name, problem, strlen(text) * 1500 AS size, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE text END AS content FROM documents JOIN f ON doc_id % 8 = k),
+e AS (SELECT *, CASE WHEN size > {R.MAX_UPLOAD_BYTES} THEN 'File is too large (' || printf('%.1f', round(size / 1048576.0::DOUBLE, 1)) || 'MB). Maximum allowed size is 5.0MB.'
+WHEN problem = 'media' THEN 'Multimedia files (images, videos, audio) are not supported. Please upload code files.' WHEN problem IS NOT NULL THEN {_TYPE_ERROR.format('problem')} WHEN content IS NULL THEN 'Could not read file: ' || name END AS error FROM d)
+SELECT doc_id, error, error IS NULL AS staged, CASE name WHEN 'a.ts' THEN 'TypeScript' WHEN 'y.js' THEN 'JavaScript' WHEN 'x.py' THEN 'Python' WHEN 'a.b.JSX' THEN 'JavaScript / React' ELSE 'Unknown' END AS language, strlen(content)::INT AS byte_size FROM e""")
+def s3_upload(spark, sf_dir):
+    """S3 over the documents as uploaded files of eight names; sizes are the texts' bytes times 1500, every eleventh cannot be read."""
+    files = spark.createDataFrame([(i, *x) for i, x in enumerate(_FILES)], "k int, filename string, mime string")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(len(_FILES))).cast("int").alias("k")).join(F.broadcast(files), "k")
+    rows = rows.select("doc_id", "filename", "mime", (X.byte_size(F.col("text")) * 1500).alias("size"), F.when(F.col("doc_id") % 11 != 3, F.col("text")).alias("content"))
+    return I.stage_upload(rows).select("doc_id", "error", "staged", "language", "byte_size")
+
+
+@query("""WITH d AS (SELECT page_id, CASE WHEN page_id % 3 = 2 THEN repeat(html, 100) ELSE html END AS content, page_id % 5 AS g FROM pages),
+e AS (SELECT *, CASE WHEN strlen(content) > 1048576 THEN 'Input is too large (' || printf('%.1f', round(strlen(content) / 1048576.0::DOUBLE, 1)) || 'MB). Maximum allowed size is 1.0MB.'
+WHEN g >= 3 THEN 'Pasted content was not recognised as valid JavaScript, TypeScript, Vue, or Svelte code.' END AS error FROM d)
+SELECT page_id, error, error IS NULL AS staged, CASE g WHEN 0 THEN 'pasted-input.ts' WHEN 1 THEN 'mine.vue' WHEN 2 THEN 'pasted-component.tsx' ELSE 'pasted-snippet.txt' END AS filename,
+CASE g WHEN 0 THEN 'TypeScript' WHEN 1 THEN 'Vue' WHEN 2 THEN 'TypeScript / React' ELSE 'Plain Text' END AS language, 'paste' AS source FROM e""")
+def s2_paste(spark, sf_dir):
+    """S2 over the pages as pasted texts, every third a hundred times as long; guesses go by page_id."""
+    kind = F.pmod("page_id", F.lit(5))
+    guess = F.when(kind == 0, "typescript").when(kind == 1, "javascript").when(kind == 2, "xml").when(kind == 3, "rust").otherwise("typescript")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 2, F.repeat("html", F.lit(100))).otherwise(F.col("html")).alias("content"), guess.alias("guess"), F.when(kind == 4, 1).otherwise(9).alias("relevance"), F.when(kind == 1, "mine.vue").alias("explicit"))
+    return I.stage_paste(rows, explicit="explicit").select("page_id", "error", "staged", "filename", "language", "source")
+
+
+_UNDERSTANDING = """{"language":{"name":"Go","confidence":1},"framework":null,"runtime":{"type":"node"},"artifactType":null,"dependencies":["a"],"architecturalSignals":[{"name":"x","evidence":"y"}],"overallConfidence":0.5,"requiresClarification":false,"clarificationQuestions":[],"summary":"s","versionGrounding":null}"""
+_FOUND = """{"id":"1","title":"t","category":"c","severity":"s","explanation":"e","recommendation":"r","evidence":["l"]}"""
+#: Bodies, the mode that each is read in, and whether it is valid.
+_BODIES = [
+    ('{"content":"x","understanding":U}', "review", True), ('{"mode":"review","content":"x","task":"t","understanding":U}', "review", True), ('{"mode":"other","content":"x","understanding":U}', "review", False),
+    ('{"content":"","understanding":U}', "review", False), ('{"content":5,"understanding":U}', "review", False), ('{"content":"x"}', "review", False), ('{"content":"x","task":null,"understanding":U}', "review", False),
+    ('{"content":"x","understanding":{"summary":"s"}}', "review", False), ("{not json", "review", False), (None, "review", False), ("[]", "review", False),
+    ('{"mode":"chat","messages":[{"role":"user","content":"hi"}]}', "chat", True), ('{"mode":"chat","messages":[]}', "chat", False), ('{"mode":"chat","messages":[{"role":"robot","content":"hi"}]}', "chat", False),
+    ('{"mode":"chat","messages":[{"role":"user","parts":[{"type":"text","text":"a"},{"type":"image"}]}],"findingContext":F}', "chat", True), ('{"mode":"chat","messages":[{"role":"user","parts":[{"text":"a"}]}]}', "chat", False),
+    ('{"mode":"chat","messages":[{"role":"user"}],"findingContext":{"id":"1"}}', "chat", False), ('{"mode":"chat","messages":[' + ",".join(['{"role":"system"}'] * 50) + "]}", "chat", True), ('{"mode":"chat","messages":[' + ",".join(['{"role":"system"}'] * 51) + "]}", "chat", False),
+]
+
+
+@query(f"WITH {Q.values('b', 'k, mode, valid', [(i, m, int(v)) for i, (_, m, v) in enumerate(_BODIES)])} SELECT o_orderkey, mode, valid = 1 AS valid FROM orders JOIN b ON o_orderkey % {len(_BODIES)} = k")
+def s4_requests(spark, sf_dir):
+    """A fixed body for each order; what it must be read as is written beside it."""
+    fill = lambda b: b and b.replace("U}", _UNDERSTANDING + "}").replace("F}", _FOUND + "}")
+    bodies = spark.createDataFrame([(i, fill(b)) for i, (b, _, _) in enumerate(_BODIES)], "k int, value string")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(len(_BODIES))).cast("int").alias("k")).join(F.broadcast(bodies), "k")
+    return read_requests(rows).select("o_orderkey", "request.mode", "request.valid")
+
+
 # --- projections ----------------------------------------------------------
 
 
@@ -410,6 +462,13 @@ def m7_m8_prompt(spark, sf_dir):
     return M.prompt_parts(rows, task).select("artifact_id", "task_line", "fenced_source")
 
 
+@query(Q.over_parts(_U, """CASE WHEN len(deps) > 0 THEN array_to_string(deps, ', ') ELSE 'None detected' END AS frameworks, CASE WHEN len(signals) > 0 THEN array_to_string(list_transform(signals, lambda s: s.name), ', ') ELSE 'Standard' END AS architecture,
+CASE WHEN p_partkey % 2 = 0 THEN '"audit"' ELSE '(No extra context provided)' END AS prompt""", "u"))
+def m11_confirmation_card(spark, sf_dir):
+    rows = K.understand(artifacts(spark, sf_dir))
+    return rows.select("artifact_id", M.confirmation_card(F.when(F.col("artifact_id") % 2 == 0, "audit")).alias("x")).select("artifact_id", "x.*")
+
+
 @query(f"WITH {_PLACED} SELECT artifact_id, idx, 'f-' || idx AS id, severity, nullif(CASE WHEN line BETWEEN 1 AND len(lines) THEN array_to_string(list_transform(lines[greatest(line - 1, 1):line + 1], lambda x: {Q.unescaped('x')}), chr(10)) ELSE array_to_string(ev, chr(10)) END, '') AS code_snippet FROM e")
 def m9_follow_up(spark, sf_dir):
     snippet = F.nullif(J.code_snippet(F.col("line"), F.col("evidence"), F.col("lines")), F.lit(""))

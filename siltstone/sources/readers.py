@@ -1,34 +1,90 @@
-"""Files, pasted texts and JSON requests as artifact tables."""
+"""Files and JSON requests as tables, settings, and streaming sinks. Uploads and pasted texts go on through operators.ingest."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-REQUEST = "mode string, content string, task string, correction string, messages array<struct<role:string,content:string,parts:array<struct<type:string,text:string>>>>"
+from siltstone.rules import limits as R
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file, whole text; the id is a hash of the path."""
+    """One row for each file, whole text; the id is a hash of the path."""
     out = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return out.select(F.xxhash64("path").alias("artifact_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
-def pasted(texts: DataFrame, content: str = "content") -> DataFrame:
-    """A pasted text under the plain virtual name."""
-    return texts.withColumn("filename", F.lit("pasted-snippet.txt"))
+def _kind(path: str) -> str:
+    return f"schema_of_variant(try_variant_get(v, '$.{path}', 'variant'))"
 
 
-def read_requests(lines: DataFrame, body: str = "value") -> DataFrame:
-    """Requests parsed with a fixed schema; a malformed body is kept with valid = false."""
-    parsed = F.from_json(F.col(body), StructType.fromDDL(REQUEST + ", _bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    out = lines.withColumn("_r", parsed)
-    chat = F.coalesce(F.col("_r.mode") == "chat", F.lit(False))
-    good = F.col("_r._bad").isNull() & F.when(chat, F.size("_r.messages").between(1, 50)).otherwise(F.coalesce(F.length("_r.content") > 0, F.lit(False)))
-    return out.select(*lines.columns, F.when(chat, "chat").otherwise("review").alias("mode"), F.coalesce(good, F.lit(False)).alias("valid"), "_r.content", "_r.task", "_r.correction", "_r.messages")
+def _text(path: str) -> str:
+    return f"coalesce({_kind(path)} = 'STRING', false)"
+
+
+def _optional_text(path: str) -> str:
+    return f"coalesce({_kind(path)}, 'STRING') = 'STRING'"
+
+
+def _number(path: str) -> str:
+    return f"coalesce({_kind(path)} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {_kind(path)} LIKE 'DECIMAL%', false)"
+
+
+def _each(path: str, condition: str) -> str:
+    """An array whose every element x meets the condition."""
+    return f"coalesce(forall(try_variant_get(v, '$.{path}', 'array<variant>'), x -> {condition}), false)"
+
+
+def _member(name: str, kinds: str = "= 'STRING'", needed: bool = True) -> str:
+    kind = f"schema_of_variant(try_variant_get(x, '$.{name}', 'variant'))"
+    return f"coalesce({kind} {kinds}, {'false' if needed else f'{kind} IS NULL'})"
+
+
+def _nullable(path: str, member: str) -> str:
+    """Null, or an object with a text of this name; it must be there."""
+    return f"coalesce({_kind(path)} = 'VOID' OR {_text(f'{path}.{member}')}, false)"
+
+
+_UNDERSTOOD = [
+    _text("understanding.language.name"), _number("understanding.language.confidence"), _nullable("understanding.framework", "name"), _nullable("understanding.runtime", "type"),
+    _nullable("understanding.artifactType", "type"), _each("understanding.dependencies", "schema_of_variant(x) = 'STRING'"),
+    _each("understanding.architecturalSignals", f"{_member('name')} AND {_member('evidence')}"), _number("understanding.overallConfidence"),
+    f"coalesce({_kind('understanding.requiresClarification')} = 'BOOLEAN', false)", _each("understanding.clarificationQuestions", f"{_member('question')} AND {_member('reason')}"),
+    _text("understanding.summary"),
+]
+_REVIEW = [
+    f"coalesce(try_variant_get(v, '$.mode', 'string') = 'review' AND {_kind('mode')} = 'STRING', {_kind('mode')} IS NULL)", _text("content"),
+    f"coalesce(octet_length(encode(try_variant_get(v, '$.content', 'string'), 'UTF-16BE')) / 2 BETWEEN 1 AND {R.MAX_CONTENT_CHARS}, false)",
+    _optional_text("task"), _optional_text("correction"), *_UNDERSTOOD,
+]
+_PARTS = "coalesce(forall(try_variant_get(x, '$.parts', 'array<variant>'), y -> coalesce(schema_of_variant(try_variant_get(y, '$.type', 'variant')) = 'STRING', false) AND coalesce(schema_of_variant(try_variant_get(y, '$.text', 'variant')), 'STRING') = 'STRING'), schema_of_variant(try_variant_get(x, '$.parts', 'variant')) IS NULL)"
+_TURN = f"{_member('role')} AND try_variant_get(x, '$.role', 'string') IN ({', '.join(map(repr, R.ROLES))}) AND {_member('id', needed=False)} AND {_member('content', needed=False)} AND {_PARTS}"
+_ABOUT = " AND ".join([*[_text(f"findingContext.{x}") for x in R.FINDING_TEXTS], _each("findingContext.evidence", "schema_of_variant(x) = 'STRING'"), _optional_text("findingContext.codeSnippet")])
+_CHAT = [
+    f"coalesce(size(try_variant_get(v, '$.messages', 'array<variant>')) BETWEEN {R.MIN_TURNS} AND {R.MAX_TURNS}, false)", _each("messages", _TURN),
+    f"({_kind('findingContext')} IS NULL OR ({_ABOUT}))",
+]
+_TURNS = "array<struct<role:string,content:string,parts:array<struct<type:string,text:string>>>>"
+
+
+def read_requests(lines: DataFrame, body: str = "value", into: str = "request") -> DataFrame:
+    """Each JSON body as struct(mode, valid, content, task, correction, messages) beside the input's columns.
+
+    A body in chat mode must hold 1 to 50 turns of known roles, any other one a
+    review: content of bounded length and the whole understanding. Types are
+    checked as they stand, numbers are no texts; members that are not listed are
+    allowed. A malformed, null or invalid body is kept with valid = false. An
+    input column of the name `into` is replaced.
+    """
+    chat = f"coalesce(try_variant_get(v, '$.mode', 'string') = 'chat' AND {_kind('mode')} = 'STRING', false)"
+    texts = ", ".join(f"'{c}', try_variant_get(v, '$.{c}', 'string')" for c in ("content", "task", "correction"))
+    good = f"coalesce(CASE WHEN {chat} THEN {' AND '.join(_CHAT)} ELSE {' AND '.join(_REVIEW)} END, false)"
+    built = f"named_struct('mode', CASE WHEN {chat} THEN 'chat' ELSE 'review' END, 'valid', {good}, {texts}, 'messages', try_variant_get(v, '$.messages', '{_TURNS}'))"
+    parsed = F.try_parse_json(F.col(body))
+    return lines.withColumn(into, F.get(F.call_function("transform", F.array(parsed), F.expr(f"v -> {built}")), F.lit(0)))
 
 
 def required_env(names: list[str]) -> dict[str, str]:
@@ -40,5 +96,15 @@ def required_env(names: list[str]) -> dict[str, str]:
 
 
 def write_stream(df: DataFrame, name: str, mode: str = "append"):
-    """An incremental sink; the memory table serves subscribers in tests."""
+    """An incremental sink; the memory table serves subscribers in tests."""
     return df.writeStream.format("memory").queryName(name).outputMode(mode)
+
+
+def notify(df: DataFrame, listeners: list[Callable[[DataFrame, int], None]], mode: str = "update"):
+    """Every micro-batch goes to all listeners, in order."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        for listener in listeners:
+            listener(batch, number)
+
+    return df.writeStream.outputMode(mode).foreachBatch(each)

@@ -4,36 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.operators.findings import deduction
-from siltstone.operators.limits import VERDICT
+from siltstone.operators.limits import judge, verdict_schema
 from siltstone.rules import limits as R
 
 
 def limit_stream(requests: DataFrame, window_ms: int = R.WINDOW_MS, most: int = R.MAX_REQUESTS) -> DataFrame:
-    """R1 on a stream of (key, at_ms, request_id): state is the window's start and count, one pair for each key."""
+    """R1 on a stream of (key, at_ms, request_id): state is the window's start and count, one pair for each key.
+
+    Within a batch requests are judged in the order of (at_ms, request_id); one
+    without a time has no verdict.
+    """
+    schema = verdict_schema(requests)
+    names = schema.names
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, count = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values(["at_ms", "request_id"])
-        out = []
-        for at, request in zip(rows["at_ms"], rows["request_id"], strict=True):
-            if start is None or at - start >= window_ms:
-                start, count = int(at), 1
-            elif count >= most:
-                out.append((key[0], at, request, False, 0, window_ms - (at - start)))
-                continue
-            else:
-                count += 1
-            out.append((key[0], at, request, True, most - count, 0))
-        state.update((start, count))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in VERDICT.split(", ")])
-
-    return requests.groupBy("key").applyInPandasWithState(update, VERDICT, "start long, count long", "append", GroupStateTimeout.NoTimeout)
+        none, rows = rows[rows["at_ms"].isna()], rows[rows["at_ms"].notna()]
+        allowed, remaining, retry, start, count = judge(rows["at_ms"].to_numpy(np.int64), start, count, window_ms, most)
+        if start is not None:
+            state.update((start, count))
+        yield rows.assign(allowed=allowed, remaining=remaining, retry_after_ms=retry)[names]
+        if len(none):
+            yield none.assign(allowed=None, remaining=None, retry_after_ms=None)[names]
+
+    return requests.withColumn("at_ms", F.col("at_ms").cast("long")).groupBy("key").applyInPandasWithState(update, schema, "start long, count long", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_scores(findings: DataFrame) -> DataFrame:
