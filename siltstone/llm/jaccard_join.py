@@ -206,7 +206,7 @@ def passes(na, nb, pa_, pb, num: int, den: int):
     return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need(na + nb, num, den))
 
 
-def _candidates(num: int, den: int):
+def _candidates(num: int, den: int, short_list: int):
     def run(table: pa.Table) -> pa.Table:
         parts = []
         for row in table.to_pylist():
@@ -240,8 +240,8 @@ def _candidates(num: int, den: int):
 
         every = np.arange(len(token))
         offer(pivot, every)
-        short = size_of <= SHORT_LIST
-        for step in range(1, SHORT_LIST):
+        short = size_of <= short_list
+        for step in range(1, short_list):
             i = every[: len(token) - step] if len(token) > step else every[:0]
             ok = short[i] & (token[i] == token[i + step])
             if not ok.any():
@@ -344,7 +344,7 @@ def _more_pivots(long: DataFrame, labels: DataFrame, shift: int, before: int | N
     return pairs.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = False, short_list: int = SHORT_LIST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rid, md5, n, fp) for each row of docs (doc_id, text), and (fp, id, component) for each class of equal sets.
 
     id is the class's least doc_id. With `named`, only classes that have one
@@ -363,7 +363,7 @@ def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = Fa
     of = F.col("doc_id").isNotNull() if named else F.lit(True)
     rows = rows.filter(of)
     posted = small_batches(rows.select("rid", "text")).mapInArrow(_postings(sketch, size, num, den, buckets), POSTED)
-    found = settle(posted.groupBy("bucket").applyInArrow(_candidates(num, den), FOUND), "candidates")
+    found = settle(posted.groupBy("bucket").applyInArrow(_candidates(num, den, short_list), FOUND), "candidates")
     pairs = settle(found.filter("b is not null").groupBy("a", "b").agg(F.max("first").alias("first")), "offers")
     shapes = settle(first.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("shape").alias("shape")), "shapes")
     classes = settle(base.filter("n > 0").filter(of).groupBy("fp").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
