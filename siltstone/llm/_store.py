@@ -1,4 +1,8 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+Batches of texts that go to Python are bounded by Spark's own
+spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set otherwise).
+"""
 
 from __future__ import annotations
 
@@ -44,6 +48,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)  # what a lazy result still reads goes with the application
     out = spark.read.schema(schema).parquet(path)
     out._siltstone_path = path
     return out
@@ -75,11 +81,3 @@ def heavy_join(rows: DataFrame, table: DataFrame, key: str, copies: str) -> Data
     heavy = F.broadcast(table.filter(hot).drop(copies))
     spread = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti").join(table.filter(~hot).drop(copies), key, "left")
     return rows.join(heavy, key).unionByName(spread)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Hand texts to Python in batches of few rows, as a text may be very long."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df

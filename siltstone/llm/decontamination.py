@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._store import read_table, small_batches
+from siltstone.llm._store import read_table
 
 EDIT_SHARE = 20
 BLOCK_CHARS = 4_000_000
@@ -150,7 +150,7 @@ LEAKS = "doc_id long, item_id long, distance int, match_end long, item_length in
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item found in it within the item's budget."""
     spark = docs.sparkSession
-    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in blocks(items):
         found = texts.mapInArrow(_search(spark.sparkContext.broadcast(block)), LEAKS)
@@ -169,7 +169,7 @@ def _clean(searcher, text: str):
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    out = small_batches(docs)
+    out = docs
     for block in blocks(items):
         out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), text), docs.schema)
     return out

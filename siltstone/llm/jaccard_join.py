@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm._components import components
-from siltstone.llm._store import discard, heavy_join, read_table, settle, small_batches
+from siltstone.llm._store import discard, heavy_join, read_table, settle
 from siltstone.llm._text import LOWER, Chunk, Words, chunks, combine, runs, word_hashes
 
 SKETCH_BITS, SKETCH_SLICES, SHORT_LIST = 20, 64, 24
@@ -316,7 +316,7 @@ def _links(pairs: DataFrame, shapes: DataFrame, docs: DataFrame, size: int, num:
     placed = heavy_join(kept, many, "a", "copies").withColumn("group", F.pmod(F.xxhash64("b"), F.col("groups")))
     pivots = many.select(F.col("a").alias("rid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("group")).join(texts.withColumnRenamed("text", "text_a"), "rid").withColumnRenamed("rid", "a")
     both = placed.select("a", "b", "group").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").join(pivots, ["a", "group"])
-    links = settle(small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_verify(size, num, den), "a long, b long"), "links")
+    links = settle(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, num, den), "a long, b long"), "links")
     discard(kept, many)
     return links
 
@@ -353,7 +353,7 @@ def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = Fa
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
-    first = settle(small_batches(rows.withColumn("md5", F.unhex(F.md5(F.col("text").cast("binary"))))).mapInArrow(_sets(size), FIRST_PASS), "sets")
+    first = settle(rows.withColumn("md5", F.unhex(F.md5(F.col("text").cast("binary")))).mapInArrow(_sets(size), FIRST_PASS), "sets")
     base = first.filter(F.col("slice").isNull()).select("doc_id", "rid", "md5", "n", "fp")
     sketch = spark.sparkContext.broadcast(_sketch(first))
     total = base.agg(F.sum("n")).first()[0] or 0
@@ -362,7 +362,7 @@ def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = Fa
 
     of = F.col("doc_id").isNotNull() if named else F.lit(True)
     rows = rows.filter(of)
-    posted = small_batches(rows.select("rid", "text")).mapInArrow(_postings(sketch, size, num, den, buckets), POSTED)
+    posted = rows.select("rid", "text").mapInArrow(_postings(sketch, size, num, den, buckets), POSTED)
     found = settle(posted.groupBy("bucket").applyInArrow(_candidates(num, den, short_list), FOUND), "candidates")
     pairs = settle(found.filter("b is not null").groupBy("a", "b").agg(F.max("first").alias("first")), "offers")
     shapes = settle(first.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("shape").alias("shape")), "shapes")

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm._blocks import changes, grow, ranges, shrink
-from siltstone.llm._store import discard, read_table, settle, small_batches
+from siltstone.llm._store import discard, read_table, settle
 from siltstone.llm._text import LOWER, Words, chunks, crc_remainder, mix, prefix_hash, span_hash
 
 HEAD_SHARE, OWN_SHARE, ENDINGS, CLASSES = 1 << 22, 1024, 256, 16
@@ -270,7 +270,7 @@ class Model:
 def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """The model, the settled counts of all training words (key, ending, n) and the settled bigram features."""
     spark = docs.sparkSession
-    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = settle(texts.mapInArrow(_count, "key long, ending short, n long").groupBy("key").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "counts")
     row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("types")).first()
     total, types = row.total or 0, row.types
@@ -554,7 +554,7 @@ def _score(model):
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, table: DataFrame) -> DataFrame:
-    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     shared = docs.sparkSession.sparkContext.broadcast(model)
     parts = settle(texts.mapInArrow(_score(shared), PARTS), "scores")
     added = bigram_sums(texts, shared, table, parts.agg(F.sum("n_tokens")).first()[0] or 0, model.total)

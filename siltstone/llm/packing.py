@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._store import discard, read_table, settle, small_batches
+from siltstone.llm._store import discard, read_table, settle
 from siltstone.llm._tokens import cuts, default_path, document_ids, encoder
 
 CAPACITY, NEARLY_FULL, MAX_ITEMS, FAN_IN = 2048, 0.99, 50_000, 4
@@ -53,7 +53,7 @@ def _pieces(path: str, capacity: int):
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(texts).mapInArrow(_pieces(path or default_path(), capacity), PIECE)
+    return texts.mapInArrow(_pieces(path or default_path(), capacity), PIECE)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

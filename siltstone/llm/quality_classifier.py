@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._store import read_table, small_batches
+from siltstone.llm._store import read_table
 from siltstone.llm._text import SPACE, chunks, combine, crc_remainder, prefix_hash, runs, span_hash
 
 BITS, EPOCHS, MAX_TRAIN = 18, 4, 6_000
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int | None = 0
     usable = usable.filter(F.col("quality").isin(0, 1)).withColumn("order", F.xxhash64("doc_id", F.lit(17)))
     chosen = usable.orderBy("order", "doc_id", "quality").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = small_batches(texts.join(F.broadcast(chosen), "doc_id")).select("text", "quality", "order")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "order")
     rows = sample.repartition(1).mapInArrow(_train, "weights binary").collect()
     found = [r.weights for r in rows if r.weights]
     return np.frombuffer(bytes(found[0]), dtype=np.float32) if found else np.zeros((1 << BITS) + 1, dtype=np.float32)
@@ -141,10 +141,10 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text") -> D
     docs = docs.drop("quality_score")
     schema = StructType([*docs.schema.fields]).add("quality_score", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    return small_batches(docs).mapInArrow(_score(shared, text, True, THRESHOLD), schema)
+    return docs.mapInArrow(_score(shared, text, True, THRESHOLD), schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = spark.sparkContext.broadcast(train(docs, read_table(spark, sf_dir, "labels")))
-    return small_batches(docs).mapInArrow(_score(weights, "text", False, THRESHOLD), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(_score(weights, "text", False, THRESHOLD), "doc_id long, held_out boolean, score double, predicted int")

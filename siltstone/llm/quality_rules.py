@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._store import discard, read_table, settle, small_batches
+from siltstone.llm._store import discard, read_table, settle
 from siltstone.llm._text import LOWER, SPACE, Words, chunks, combine, prefix_hash, runs, span_hash
 
 MIN_CHARS, MIN_WORDS = 200, 50
@@ -109,7 +109,7 @@ def _reference(pairs: list, by_class: dict) -> tuple[np.ndarray, np.ndarray, np.
 def references(docs: DataFrame) -> tuple[dict, DataFrame | None]:
     """Language -> (class shares, sorted common word keys, their shares), None -> the whole corpus; and a table (_lang, _words, _classes) of the smaller languages, if there are any."""
     counted = (
-        small_batches(docs).select("text", F.col("lang").cast("string").alias("lang"))
+        docs.select("text", F.col("lang").cast("string").alias("lang"))
         .mapInArrow(_count, "lang string, is_class boolean, key long, n long")
         .groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n"))
     )
@@ -249,10 +249,10 @@ def _judged(plain: DataFrame, docs: DataFrame, carry: bool, schema) -> DataFrame
     large, small = references(docs)
     judge = _judge(plain.sparkSession.sparkContext.broadcast(large), carry)
     if small is None:
-        return small_batches(plain).mapInArrow(judge, schema)
+        return plain.mapInArrow(judge, schema)
     at_hand = F.col("_lang").isNull() | F.col("_lang").isin([x for x in large if x is not None])
     joined = plain.filter(~at_hand).join(small, "_lang", "left").select(*plain.columns, "_words", "_classes")
-    return small_batches(plain.filter(at_hand)).mapInArrow(judge, schema).unionByName(small_batches(joined).mapInArrow(judge, schema))
+    return plain.filter(at_hand).mapInArrow(judge, schema).unionByName(joined.mapInArrow(judge, schema))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

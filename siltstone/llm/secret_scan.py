@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._store import read_table, small_batches
+from siltstone.llm._store import read_table
 from siltstone.llm._text import LOWER, chunks
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -196,7 +196,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """One row for each document: counts of the fixed patterns, and all spans."""
-    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(_scan, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, SCANNED)
 
 
 def redacted(raw: bytes, mark: bytes = b"[SECRET]") -> bytes:
@@ -238,7 +238,7 @@ def _redact(text: str, count: str | None):
 
 def redact_secrets(docs: DataFrame, text: str = "text", count: str | None = None) -> DataFrame:
     """The same rows and columns, every span replaced by [SECRET]; `count` names a column with the text's length, kept right."""
-    return small_batches(docs).mapInArrow(_redact(text, count), docs.schema)
+    return docs.mapInArrow(_redact(text, count), docs.schema)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import _blocks as B
-from siltstone.llm._store import discard, read_table, settle, small_batches
+from siltstone.llm._store import discard, read_table, settle
 from siltstone.llm._text import Words, chunks, combine, word_hashes
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
@@ -121,20 +121,20 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_words(docs: DataFrame) -> DataFrame:
     """For each row doc_id, n, n_removed, n_spans and kept_sha256."""
     rows = B.keyed(docs)
-    base = settle(small_batches(rows).mapInArrow(_base, "doc_id long, rid long, fp binary, id long, n long, sha256 string"), "words")
+    base = settle(rows.mapInArrow(_base, "doc_id long, rid long, fp binary, id long, n long, sha256 string"), "words")
     reps = B.earliest(base)
     total = base.agg(F.sum("n")).first()[0] or 0
 
     count = B.ranges(total * len(COVER) // PERIOD, docs.sparkSession)
-    sent = small_batches(rows.select("id", "text")).mapInArrow(_anchors(count), B.ROW)
+    sent = rows.select("id", "text").mapInArrow(_anchors(count), B.ROW)
     repeated = settle(sent.groupBy("range").applyInArrow(_repeated, B.FOUND), "anchors")
     suspects = settle(B.texts_of(rows, reps, B.by_id(repeated, "<u4")), "suspects")
     discard(repeated)
 
     count = B.ranges(total // 4, docs.sparkSession)
-    found = settle(small_batches(suspects).mapInArrow(_extend(count), B.ROW).groupBy("range").applyInArrow(B.later(count), B.LATER), "later")
+    found = settle(suspects.mapInArrow(_extend(count), B.ROW).groupBy("range").applyInArrow(B.later(count), B.LATER), "later")
     texts = suspects.select("rid", "k", "fp", "text").join(B.by_text(found), ["rid", "k"])
-    digests = settle(small_batches(texts).mapInArrow(B.digests(WINDOW, kept_words), B.DIGEST).dropDuplicates(["fp"]), "digests")
+    digests = settle(texts.mapInArrow(B.digests(WINDOW, kept_words), B.DIGEST).dropDuplicates(["fp"]), "digests")
     discard(suspects, found)
     return B.outcome(base, reps, digests, WINDOW)
 

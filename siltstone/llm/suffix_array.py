@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import _blocks as B
-from siltstone.llm._store import discard, read_table, settle, small_batches
+from siltstone.llm._store import discard, read_table, settle
 from siltstone.llm._text import chunks, combine, prefix_hash, span_hash
 
 LENGTH, PERIOD, COVER = 100, 21, (0, 1, 4, 14, 16)
@@ -169,7 +169,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     total = base.agg(F.sum("n")).first()[0] or 0
 
     count = B.ranges(total * len(COVER) // PERIOD, spark)
-    sent = small_batches(rows.select("id", "text")).mapInArrow(_triples(count), B.ROW)
+    sent = rows.select("id", "text").mapInArrow(_triples(count), B.ROW)
     level = settle(sent.groupBy("range").applyInArrow(_sorted_names(1), B.FOUND), "triples")
     count = B.ranges(total * len(COVER) // PERIOD // 4, spark)
     sent = B.by_id(level, "<u8").dropDuplicates(["id"]).mapInArrow(_triples_of_names(count), B.ROW)
@@ -180,9 +180,9 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     discard(samples)
 
     count = B.ranges(total // 4, spark)
-    later = settle(small_batches(suspects).mapInArrow(_suffixes(count), B.ROW).groupBy("range").applyInArrow(B.later(count), B.LATER), "later")
+    later = settle(suspects.mapInArrow(_suffixes(count), B.ROW).groupBy("range").applyInArrow(B.later(count), B.LATER), "later")
     texts = suspects.select("rid", "k", "fp", "text").join(B.by_text(later), ["rid", "k"])
-    digests = settle(small_batches(texts).mapInArrow(B.digests(LENGTH, kept_bytes), B.DIGEST).dropDuplicates(["fp"]), "digests")
+    digests = settle(texts.mapInArrow(B.digests(LENGTH, kept_bytes), B.DIGEST).dropDuplicates(["fp"]), "digests")
     discard(suspects, later)
     return B.outcome(base, reps, digests, LENGTH)
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._store import read_table, small_batches
+from siltstone.llm._store import read_table
 from siltstone.llm._tokens import cuts, default_path, document_ids, encoder, largest_id
 
 CAPACITY, GROUP_TOKENS, PAD_ID = 2048, 4_000_000, 0
@@ -137,7 +137,7 @@ def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     path = path or default_path()
     ids, places = width_of(largest_id(path), id_bytes), width_of(capacity - 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(texts).mapInArrow(_write(path, capacity, ids, places), PACKED)
+    return texts.mapInArrow(_write(path, capacity, ids, places), PACKED)
 
 
 def write_packed(docs: DataFrame, folder: str, **options) -> None:
