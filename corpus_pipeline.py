@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm._store import read_table, settle
+from siltstone.llm._store import discard, read_table, settle
 from siltstone.llm.decontamination import decontaminate
 from siltstone.llm.jaccard_join import drop_near_copies
 from siltstone.llm.packing import pack, token_pieces
@@ -51,12 +51,13 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: Divergence verdicts, tokenisation and packing have no SQL form; tests hold run() against brute force.
+#: Divergence verdicts, tokenisation and packing have no SQL form; tests hold run() against a chain of plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settle(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
