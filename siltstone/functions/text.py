@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parts_of(template: str) -> list[str]:
+    """Plain text and names in braces in turn, plain text first and last."""
+    return re.split(r"\{(\w+)\}", template)
+
+
+def fill(template: str, **columns: Column) -> Column:
+    """The template with columns in place of the names in braces; null if one of them is."""
+    return F.concat(*[columns[x] if i % 2 else F.lit(x) for i, x in enumerate(parts_of(template)) if i % 2 or x])
+
+
 def lookup(key: Column, pairs: list[tuple], default: Column | None = None) -> Column:
     """A small fixed table as a CASE on exact keys; a miss gives the default."""
     out = None

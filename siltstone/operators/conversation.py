@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.regex import trim
-from siltstone.rules import limits as R
+from siltstone.functions.text import fill
+from siltstone.rules import texts as T
 
 
 def message_text(parts: Column, content: Column) -> Column:
@@ -24,19 +25,15 @@ def normalise_chat(messages: DataFrame, text: str = "text") -> DataFrame:
 def finding_block(finding: dict[str, Column]) -> Column:
     """M4. Keys: id, title, category, severity, explanation, recommendation, evidence (array), snippet."""
     bullets = F.array_join(F.transform(finding["evidence"], lambda e: F.concat(F.lit("  - "), e)), "\n")
-    snippet = F.when(F.coalesce(finding["snippet"], F.lit("")) != "", F.concat(F.lit("\n[RELEVANT CODE SNIPPET]\n```\n"), finding["snippet"], F.lit("\n```"))).otherwise("")
-    return F.concat(
-        F.lit("[FINDING CONTEXT — for reference only]\nID: "), finding["id"], F.lit("\nTitle: "), finding["title"], F.lit("\nCategory: "), finding["category"],
-        F.lit(" | Severity: "), finding["severity"], F.lit("\nExplanation: "), finding["explanation"], F.lit("\nRecommendation: "), finding["recommendation"],
-        F.lit("\nEvidence lines:\n"), F.when(F.size(finding["evidence"]) > 0, bullets).otherwise("  - (no specific evidence lines provided)"), snippet,
-        F.lit("\n\nThe developer is asking a follow-up question about this finding. Answer it directly."),
-    )
+    snippet = F.when(F.coalesce(finding["snippet"], F.lit("")) != "", fill(T.SNIPPET, snippet=finding["snippet"])).otherwise("")
+    plain = {k: v for k, v in finding.items() if k not in ("evidence", "snippet")}
+    return fill(T.FINDING_CONTEXT, **plain, evidence=F.when(F.size(finding["evidence"]) > 0, bullets).otherwise(T.NO_EVIDENCE), snippet=snippet)
 
 
 def inject_context(messages: DataFrame, block: Column, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """M3: the block goes before the first turn, and only if that turn is the user's."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    prefix = F.when(first & (F.col("role") == "user") & (block != ""), F.concat(block, F.lit("\n\n---\n\n"))).otherwise("")
+    prefix = F.when(first & (F.col("role") == "user") & (block != ""), fill(T.BEFORE_TURN, block=block)).otherwise("")
     return messages.withColumn(text, F.concat(prefix, F.col(text)))
 
 
@@ -55,13 +52,10 @@ def reasoning_context(df: DataFrame) -> DataFrame:
 def context_text() -> Column:
     """M6, over reasoning_context()'s columns."""
     listed = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(F.col(c), lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise("- None")
-    return F.concat(
-        F.lit("[DETERMINISTIC UNDERSTANDING]\nSummary: "), F.col("summary"), F.lit("\nFramework: "), F.coalesce(F.col("framework")["name"], F.lit("None/Unknown")),
-        F.lit("\nRuntime: "), F.coalesce(F.col("runtime")["type"], F.lit("Unknown")), F.lit("\nArtifact Type: "), F.coalesce(F.col("artifact_type")["type"], F.lit("Unknown")),
-        F.lit("\nDependencies: "), F.when(F.size("dependencies") > 0, F.array_join("dependencies", ", ")).otherwise("None"),
-        F.lit("\n\n[ARCHITECTURAL SIGNALS]\n"), F.when(F.size("signal_lines") > 0, F.array_join("signal_lines", "\n")).otherwise("None"),
-        F.lit("\n\n[VERSION GROUNDING]\nInferred Versions:\n"), listed("version_lines"), F.lit("\n\nDetected API Patterns:\n"), listed("api_lines"),
-        F.lit("\n\nRecommended Grounding Sources (for reference context):\n"), listed("source_lines"),
+    return fill(
+        T.UNDERSTANDING, summary=F.col("summary"), framework=F.coalesce(F.col("framework")["name"], F.lit("None/Unknown")), runtime=F.coalesce(F.col("runtime")["type"], F.lit("Unknown")),
+        artifact=F.coalesce(F.col("artifact_type")["type"], F.lit("Unknown")), dependencies=F.when(F.size("dependencies") > 0, F.array_join("dependencies", ", ")).otherwise("None"),
+        signals=F.when(F.size("signal_lines") > 0, F.array_join("signal_lines", "\n")).otherwise("None"), versions=listed("version_lines"), apis=listed("api_lines"), sources=listed("source_lines"),
     )
 
 
@@ -69,9 +63,9 @@ def confirmation_card(task: Column) -> Column:
     """M11, over understand()'s columns: struct(frameworks, architecture, prompt) with signals by name."""
     named = F.transform("signals", lambda s: s["name"])
     return F.struct(
-        F.when(F.size("dependencies") > 0, F.array_join("dependencies", ", ")).otherwise(R.NO_FRAMEWORKS).alias("frameworks"),
-        F.when(F.size(named) > 0, F.array_join(named, ", ")).otherwise(R.NO_SIGNALS).alias("architecture"),
-        F.when(F.coalesce(task, F.lit("")) != "", F.concat(F.lit('"'), task, F.lit('"'))).otherwise(R.NO_PROMPT).alias("prompt"),
+        F.when(F.size("dependencies") > 0, F.array_join("dependencies", ", ")).otherwise(T.NO_FRAMEWORKS).alias("frameworks"),
+        F.when(F.size(named) > 0, F.array_join(named, ", ")).otherwise(T.NO_SIGNALS).alias("architecture"),
+        F.when(F.coalesce(task, F.lit("")) != "", F.concat(F.lit('"'), task, F.lit('"'))).otherwise(T.NO_PROMPT).alias("prompt"),
     )
 
 
@@ -83,12 +77,12 @@ def fence_language(summary: Column) -> Column:
 
 def review_task(task: Column, correction: Column) -> Column:
     """M8."""
-    given = F.coalesce(F.nullif(task, F.lit("")), F.lit(R.DEFAULT_TASK))
-    insist = F.concat(F.lit('CRITICAL INSTRUCTION FROM USER: Ignore previous detected context. The user explicitly states: "'), correction, F.lit('". \n\nAdditional instructions: '), given)
+    given = F.coalesce(F.nullif(task, F.lit("")), F.lit(T.TASK))
+    insist = fill(T.INSISTED, correction=correction, task=given)
     return F.when(F.coalesce(correction, F.lit("")) != "", insist).otherwise(given)
 
 
 def prompt_parts(df: DataFrame, task: Column, content: str = "content") -> DataFrame:
     """M7's data: the task line, the context text, and the fenced source."""
     fence = F.concat(F.lit("```"), fence_language(F.col("summary")), F.lit("\n"), F.col(content), F.lit("\n```"))
-    return df.withColumns({"task_line": F.concat(F.lit("Perform a structured "), task, F.lit(" on the following code artifact.")), "context": context_text(), "fenced_source": fence})
+    return df.withColumns({"task_line": fill(T.TASK_LINE, task=task), "context": context_text(), "fenced_source": fence})

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import byte_size, escape_html, extension, human_size, line_count, lookup, one_decimal
+from siltstone.functions.text import byte_size, escape_html, extension, fill, human_size, line_count, lookup, one_decimal
 from siltstone.rules import language as L
 from siltstone.rules import limits as R
+from siltstone.rules import texts as T
 
 
 def _verdict(error: Column) -> Column:
@@ -15,9 +16,8 @@ def _verdict(error: Column) -> Column:
 
 
 def _too_large(size: Column, limit: int, what: str) -> Column:
-    mb = lambda x: F.concat(one_decimal(x / F.lit(1024.0 * 1024.0)), F.lit("MB"))
-    text = F.concat(F.lit(f"{what} is too large ("), mb(size), F.lit("). Maximum allowed size is "), mb(F.lit(limit)), F.lit("."))
-    return F.when(size > limit, text)
+    mb = lambda x: one_decimal(x / F.lit(1024.0 * 1024.0))
+    return F.when(size > limit, fill(T.TOO_LARGE, what=F.lit(what), size=mb(size), limit=mb(F.lit(limit))))
 
 
 def upload_size(size: Column) -> Column:
@@ -34,8 +34,7 @@ def upload_type(name: Column, mime: Column) -> Column:
         media |= kind.startswith(prefix)
     allowed = ext.isin(R.UPLOAD_EXTENSIONS) | F.concat(F.lit("."), low).isin(R.UPLOAD_EXTENSIONS) | kind.isin(R.UPLOAD_MIME_TYPES)
     shown = F.coalesce(F.nullif(ext, F.lit("")), F.lit("unknown"))
-    refused = F.concat(F.lit("File type not supported ("), shown, F.lit("). Only JavaScript, TypeScript, Vue, and Svelte files are supported."))
-    return _verdict(F.when(media, F.lit("Multimedia files (images, videos, audio) are not supported. Please upload code files.")).when(~allowed, refused))
+    return _verdict(F.when(media, T.MULTIMEDIA).when(~allowed, fill(T.UNSUPPORTED, extension=shown)))
 
 
 def paste_size(text: Column) -> Column:
@@ -107,7 +106,7 @@ def stage_upload(df: DataFrame, name: str = "filename", mime: str = "mime", size
 
     A file without content could not be read. Rows with an error keep their place with staged = false.
     """
-    unread = F.when(F.col(content).isNull(), F.concat(F.lit(R.UNREADABLE), F.coalesce(F.col(name), F.lit(""))))
+    unread = F.when(F.col(content).isNull(), fill(T.UNREADABLE, name=F.coalesce(F.col(name), F.lit(""))))
     error = F.coalesce(upload_size(F.col(size))["error"], upload_type(F.coalesce(F.col(name), F.lit("")), F.col(mime))["error"], unread)
     return normalise(df, "file-upload", name, content).withColumns({"error": error, "staged": error.isNull()})
 
@@ -116,7 +115,7 @@ def stage_paste(df: DataFrame, language: str = "guess", relevance: str = "releva
     """Size, then the guessed language; a text that passes is normalised under its virtual name, or the explicit one if given, and staged."""
     text = F.coalesce(F.col(content), F.lit(""))
     virtual = paste_name(F.col(language), F.col(relevance))
-    error = F.coalesce(paste_size(text)["error"], F.when(virtual["extension"] == R.PLAIN_PASTE[2], F.lit(R.NOT_CODE)))
+    error = F.coalesce(paste_size(text)["error"], F.when(virtual["extension"] == R.PLAIN_PASTE[2], F.lit(T.NOT_CODE)))
     name = F.coalesce(F.col(explicit), virtual["filename"]) if explicit else virtual["filename"]
     rows = df.withColumns({"error": error, "filename": name})
     return normalise(rows, "paste", "filename", content).withColumn("staged", F.col("error").isNull())

@@ -25,6 +25,7 @@ from siltstone.plans.corpus import artifacts, spread
 from siltstone.rules import language as L
 from siltstone.rules import limits as R
 from siltstone.rules import registry as REG
+from siltstone.rules import texts as T
 from siltstone.sources.readers import read_requests
 
 QUERIES: dict = {}
@@ -64,11 +65,15 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _large(what: str, size: str, limit: int) -> str:
+    return Q.filled(T.TOO_LARGE, what=Q.q(what), size=f"printf('%.1f', round({size} / 1048576.0::DOUBLE, 1))", limit=f"'{limit}.0'")
+
+
 # --- validation -----------------------------------------------------------
 
 
 @query(f"""WITH s AS (SELECT doc_id, strlen(text) * 1500 AS n FROM documents) SELECT doc_id, NOT n > {R.MAX_UPLOAD_BYTES} AS valid,
-CASE WHEN n > {R.MAX_UPLOAD_BYTES} THEN 'File is too large (' || printf('%.1f', round(n / 1048576.0::DOUBLE, 1)) || 'MB). Maximum allowed size is 5.0MB.' END AS error FROM s""")
+CASE WHEN n > {R.MAX_UPLOAD_BYTES} THEN {_large('File', 'n', 5)} END AS error FROM s""")
 def v1_upload_size(spark, sf_dir):
     """V1; sizes are the texts' bytes times 1500, so that both outcomes occur."""
     return table(spark, sf_dir, "documents").select("doc_id", I.upload_size(X.byte_size(F.col("text")) * 1500).alias("v")).select("doc_id", "v.*")
@@ -81,8 +86,8 @@ _FILES = [("a.ts", ""), ("b.PNG", "image/png"), ("vue", ""), ("README", "text/pl
 e AS (SELECT p_partkey AS part_id, lower(name) AS low, coalesce(mime, '') AS mime, lower(regexp_extract(name, '(?s)(\\.?[^.]*)\\z', 1)) AS ext FROM part JOIN f ON p_partkey % {len(_FILES)} = k),
 t AS (SELECT *, starts_with(mime, 'image/') OR starts_with(mime, 'video/') OR starts_with(mime, 'audio/') AS media,
   ext IN ('.js','.ts','.jsx','.tsx','.vue','.svelte') OR '.' || low IN ('.js','.ts','.jsx','.tsx','.vue','.svelte') OR mime IN ('text/plain','text/javascript','application/javascript','application/typescript') AS ok FROM e)
-SELECT part_id, ok AND NOT media AS valid, CASE WHEN media THEN 'Multimedia files (images, videos, audio) are not supported. Please upload code files.'
-WHEN NOT ok THEN 'File type not supported (' || coalesce(nullif(ext, ''), 'unknown') || '). Only JavaScript, TypeScript, Vue, and Svelte files are supported.' END AS error FROM t""")
+SELECT part_id, ok AND NOT media AS valid, CASE WHEN media THEN {Q.q(T.MULTIMEDIA)}
+WHEN NOT ok THEN {Q.filled(T.UNSUPPORTED, extension="coalesce(nullif(ext, ''), 'unknown')")} END AS error FROM t""")
 def v2_upload_type(spark, sf_dir):
     files = spark.createDataFrame([(i, *x) for i, x in enumerate(_FILES)], "k int, name string, mime string")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.pmod("p_partkey", F.lit(len(_FILES))).cast("int").alias("k")).join(F.broadcast(files), "k")
@@ -124,13 +129,10 @@ def v9_routing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", I.route(F.col("doc_id") % 5 == 0, F.col("text"), third == 0, third == 1).alias("target"))
 
 
-_TYPE_ERROR = "'File type not supported (' || {} || '). Only JavaScript, TypeScript, Vue, and Svelte files are supported.'"
-
-
 @query(f"""WITH {Q.values('f', 'k, name, mime, problem', [(0, 'a.ts', '', None), (1, 'b.PNG', 'image/png', 'media'), (2, 'vue', '', None), (3, 'README', 'text/plain', None), (4, 'x.py', '', '.py'), (5, 'y.js', 'video/mp4', 'media'), (6, 'noext', None, 'noext'), (7, 'a.b.JSX', 'application/octet-stream', None)])},
 d AS (SELECT doc_id, name, problem, strlen(text) * 1500 AS size, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE text END AS content FROM documents JOIN f ON doc_id % 8 = k),
-e AS (SELECT *, CASE WHEN size > {R.MAX_UPLOAD_BYTES} THEN 'File is too large (' || printf('%.1f', round(size / 1048576.0::DOUBLE, 1)) || 'MB). Maximum allowed size is 5.0MB.'
-WHEN problem = 'media' THEN 'Multimedia files (images, videos, audio) are not supported. Please upload code files.' WHEN problem IS NOT NULL THEN {_TYPE_ERROR.format('problem')} WHEN content IS NULL THEN 'Could not read file: ' || name END AS error FROM d)
+e AS (SELECT *, CASE WHEN size > {R.MAX_UPLOAD_BYTES} THEN {_large('File', 'size', 5)}
+WHEN problem = 'media' THEN {Q.q(T.MULTIMEDIA)} WHEN problem IS NOT NULL THEN {Q.filled(T.UNSUPPORTED, extension='problem')} WHEN content IS NULL THEN {Q.filled(T.UNREADABLE, name='name')} END AS error FROM d)
 SELECT doc_id, error, error IS NULL AS staged, CASE name WHEN 'a.ts' THEN 'TypeScript' WHEN 'y.js' THEN 'JavaScript' WHEN 'x.py' THEN 'Python' WHEN 'a.b.JSX' THEN 'JavaScript / React' ELSE 'Unknown' END AS language, strlen(content)::INT AS byte_size FROM e""")
 def s3_upload(spark, sf_dir):
     """S3 over the documents as uploaded files of eight names; sizes are the texts' bytes times 1500, every eleventh cannot be read."""
@@ -140,9 +142,9 @@ def s3_upload(spark, sf_dir):
     return I.stage_upload(rows).select("doc_id", "error", "staged", "language", "byte_size")
 
 
-@query("""WITH d AS (SELECT page_id, CASE WHEN page_id % 3 = 2 THEN repeat(html, 100) ELSE html END AS content, page_id % 5 AS g FROM pages),
-e AS (SELECT *, CASE WHEN strlen(content) > 1048576 THEN 'Input is too large (' || printf('%.1f', round(strlen(content) / 1048576.0::DOUBLE, 1)) || 'MB). Maximum allowed size is 1.0MB.'
-WHEN g >= 3 THEN 'Pasted content was not recognised as valid JavaScript, TypeScript, Vue, or Svelte code.' END AS error FROM d)
+@query(f"""WITH d AS (SELECT page_id, CASE WHEN page_id % 3 = 2 THEN repeat(html, 100) ELSE html END AS content, page_id % 5 AS g FROM pages),
+e AS (SELECT *, CASE WHEN strlen(content) > 1048576 THEN {_large('Input', 'strlen(content)', 1)}
+WHEN g >= 3 THEN {Q.q(T.NOT_CODE)} END AS error FROM d)
 SELECT page_id, error, error IS NULL AS staged, CASE g WHEN 0 THEN 'pasted-input.ts' WHEN 1 THEN 'mine.vue' WHEN 2 THEN 'pasted-component.tsx' ELSE 'pasted-snippet.txt' END AS filename,
 CASE g WHEN 0 THEN 'TypeScript' WHEN 1 THEN 'Vue' WHEN 2 THEN 'TypeScript / React' ELSE 'Plain Text' END AS language, 'paste' AS source FROM e""")
 def s2_paste(spark, sf_dir):
@@ -432,8 +434,10 @@ def m2_normalised_chat(spark, sf_dir):
     return M.normalise_chat(rows)
 
 
-_BLOCK = """'[FINDING CONTEXT — for reference only]' || chr(10) || 'ID: f-' || conv_id || chr(10) || 'Title: t' || chr(10) || 'Category: security | Severity: high' || chr(10) || 'Explanation: why' || chr(10) || 'Recommendation: do' || chr(10) || 'Evidence lines:' || chr(10) ||
-CASE conv_id % 2 WHEN 0 THEN '  - line 1' || chr(10) || '  - line 2' ELSE '  - (no specific evidence lines provided)' END || CASE conv_id % 3 WHEN 0 THEN chr(10) || '[RELEVANT CODE SNIPPET]' || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' ELSE '' END || chr(10) || chr(10) || 'The developer is asking a follow-up question about this finding. Answer it directly.'"""
+_BLOCK = Q.filled(
+    T.FINDING_CONTEXT, id="'f-' || conv_id", title="'t'", category="'security'", severity="'high'", explanation="'why'", recommendation="'do'",
+    evidence=f"CASE conv_id % 2 WHEN 0 THEN '  - line 1' || chr(10) || '  - line 2' ELSE {Q.q(T.NO_EVIDENCE)} END", snippet=f"CASE conv_id % 3 WHEN 0 THEN {Q.filled(T.SNIPPET, snippet=Q.q('x = 1'))} ELSE '' END",
+)
 
 
 def _block() -> Column:
@@ -442,7 +446,7 @@ def _block() -> Column:
     return M.finding_block({"id": F.concat(F.lit("f-"), F.col("conv_id").cast("string")), "title": F.lit("t"), "category": F.lit("security"), "severity": F.lit("high"), "explanation": F.lit("why"), "recommendation": F.lit("do"), "evidence": evidence, "snippet": F.when(F.col("conv_id") % 3 == 0, "x = 1")})
 
 
-@query(f"WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role IN ('user', 'assistant') AND {Q.trimmed('text')} <> '') SELECT conv_id, turn, role, CASE WHEN r = 1 AND role = 'user' THEN {_BLOCK} || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || text AS text FROM c")
+@query(f"WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role IN ('user', 'assistant') AND {Q.trimmed('text')} <> '') SELECT conv_id, turn, role, CASE WHEN r = 1 AND role = 'user' THEN {Q.filled(T.BEFORE_TURN, block=_BLOCK)} ELSE '' END || text AS text FROM c")
 def m3_m4_context(spark, sf_dir):
     rows = M.normalise_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return M.inject_context(rows, _block())
@@ -453,7 +457,10 @@ def m5_m6_context_text(spark, sf_dir):
     return M.reasoning_context(grounded(spark, sf_dir)).select("artifact_id", M.context_text().alias("context"))
 
 
-@query(f"""WITH {_U} SELECT p_partkey AS artifact_id, 'Perform a structured ' || CASE p_partkey % 3 WHEN 0 THEN 'comprehensive code review' WHEN 1 THEN 'audit' ELSE 'CRITICAL INSTRUCTION FROM USER: Ignore previous detected context. The user explicitly states: "it is Go". ' || chr(10) || chr(10) || 'Additional instructions: comprehensive code review' END || ' on the following code artifact.' AS task_line,
+_TASKS = f"CASE p_partkey % 3 WHEN 0 THEN {Q.q(T.TASK)} WHEN 1 THEN 'audit' ELSE {Q.filled(T.INSISTED, correction=Q.q('it is Go'), task=Q.q(T.TASK))} END"
+
+
+@query(f"""WITH {_U} SELECT p_partkey AS artifact_id, {Q.filled(T.TASK_LINE, task=_TASKS)} AS task_line,
 '```' || coalesce(nullif(lower(split_part(split_part(summary, 'in ', 2), ' ', 1)), ''), 'text') || chr(10) || content || chr(10) || '```' AS fenced_source FROM part JOIN u ON p_partkey % {len(Q.SNIPPETS)} = snippet_id""")
 def m7_m8_prompt(spark, sf_dir):
     third = F.col("artifact_id") % 3

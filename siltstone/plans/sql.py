@@ -8,6 +8,7 @@ tables; everything else is independent of the operators.
 from __future__ import annotations
 
 from siltstone.functions.regex import SPACE, Pattern
+from siltstone.functions.text import parts_of
 from siltstone.operators.grounding import api_pattern
 from siltstone.plans.corpus import SNIPPETS
 from siltstone.rules import artifact as A
@@ -18,6 +19,7 @@ from siltstone.rules import questions as Q
 from siltstone.rules import registry as G
 from siltstone.rules import runtime as T
 from siltstone.rules import signals as S
+from siltstone.rules import texts as X
 
 
 def q(value) -> str:
@@ -26,6 +28,11 @@ def q(value) -> str:
     return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
+def filled(template: str, **sql: str) -> str:
+    """A fixed text with SQL in place of the names in braces."""
+    return "(" + " || ".join(f"({sql[x]})" if i % 2 else q(x) for i, x in enumerate(parts_of(template)) if i % 2 or x) + ")"
+
+
 def num(value: float) -> str:
     return f"'{value!r}'::DOUBLE"
 
@@ -186,10 +193,11 @@ def over_parts(ctes: str, select: str, source: str, where: str = "") -> str:
 
 def context_sql() -> str:
     signal_lines = "array_to_string(list_transform(signals, lambda s: s.name || ' (Evidence: ' || s.evidence || ')'), chr(10))"
-    return f"""'[DETERMINISTIC UNDERSTANDING]' || chr(10) || 'Summary: ' || summary || chr(10) || 'Framework: ' || coalesce(fw_name, 'None/Unknown') || chr(10) || 'Runtime: ' || coalesce(rt_type, 'Unknown') || chr(10) ||
-'Artifact Type: ' || coalesce(art_type, 'Unknown') || chr(10) || 'Dependencies: ' || CASE WHEN len(deps) > 0 THEN array_to_string(deps, ', ') ELSE 'None' END || chr(10) || chr(10) ||
-'[ARCHITECTURAL SIGNALS]' || chr(10) || CASE WHEN len(signals) > 0 THEN {signal_lines} ELSE 'None' END || chr(10) || chr(10) || '[VERSION GROUNDING]' || chr(10) || 'Inferred Versions:' || chr(10) || coalesce(version_text, '- None') || chr(10) || chr(10) ||
-'Detected API Patterns:' || chr(10) || coalesce(api_text, '- None') || chr(10) || chr(10) || 'Recommended Grounding Sources (for reference context):' || chr(10) || coalesce(source_text, '- None')"""
+    return filled(
+        X.UNDERSTANDING, summary="summary", framework="coalesce(fw_name, 'None/Unknown')", runtime="coalesce(rt_type, 'Unknown')", artifact="coalesce(art_type, 'Unknown')",
+        dependencies="CASE WHEN len(deps) > 0 THEN array_to_string(deps, ', ') ELSE 'None' END", signals=f"CASE WHEN len(signals) > 0 THEN {signal_lines} ELSE 'None' END",
+        versions="coalesce(version_text, '- None')", apis="coalesce(api_text, '- None')", sources="coalesce(source_text, '- None')",
+    )
 
 
 def lookup_case(column: str, pairs: list[tuple], default: str) -> str:

@@ -23,14 +23,6 @@ WINDOW_MS, MAX_REQUESTS = 60_000, 10
 # Guessed language, virtual file name, label, extension.
 PASTE_NAMES = [("typescript", "pasted-input.ts", "TypeScript", ".ts"), ("javascript", "pasted-input.js", "JavaScript", ".js"), ("xml", "pasted-component.tsx", "TSX / JSX", ".tsx")]
 PLAIN_PASTE, LEAST_RELEVANCE = ("pasted-snippet.txt", "Unknown / Plain Text", ".txt"), 2
-DEFAULT_TASK = "comprehensive code review"
-
-# Messages of the upload and paste chains.
-UNREADABLE = "Could not read file: "
-NOT_CODE = "Pasted content was not recognised as valid JavaScript, TypeScript, Vue, or Svelte code."
-
-# What the confirmation card shows when nothing was found or asked.
-NO_FRAMEWORKS, NO_SIGNALS, NO_PROMPT = "None detected", "Standard", "(No extra context provided)"
 
 # String members of a finding that a chat is about.
 FINDING_TEXTS = ["id", "title", "category", "severity", "explanation", "recommendation"]
