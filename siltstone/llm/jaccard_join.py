@@ -326,11 +326,14 @@ def _of(ids: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
     return ids.join(labels.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def _more_pivots(long: DataFrame, labels: DataFrame, shift: int, before: int | None, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of long lists in different components, one of them a pivot, that pass the filters; pivots of an earlier round are done."""
+def _mixed(long: DataFrame) -> DataFrame:
+    """The long lists whose members are in different components."""
+    return settle(long.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token"), "mixed")
+
+
+def _more_pivots(long: DataFrame, mixed: DataFrame, shift: int, before: int | None, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of mixed lists in different components, one of them a pivot, that pass the filters; pivots of an earlier round are done."""
     slot = lambda c, s: F.pmod(F.xxhash64(F.lit(97), c), F.lit(1 << s)) == 0
-    long = _of(long, labels, "rid", "component")
-    mixed = long.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS))
     spread = lambda rows: rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     long = long.withColumn("salt", salt).join(spread(mixed), ["token", "salt"])
@@ -374,13 +377,16 @@ def near_copies(docs: DataFrame, size: int, num: int, den: int, named: bool = Fa
         edges = edges.unionByName(classes.join(several, "id").select("a", F.col("rep").alias("b")))
     labels = settle(components(edges), "components")
     long = found.filter("b is null").select("token", F.col("a").alias("rid"), "n", "pos")
+    rest = _of(_of(pairs.filter("not first").select("a", "b"), labels, "a", "x"), labels, "b", "y").filter("x <> y").select("a", "b")
     before = None
-    for shift in PIVOT_SHIFTS:
-        rest = _more_pivots(long, labels, shift, before, num, den)
-        if before is None:
-            deferred = _of(_of(pairs.filter("not first").select("a", "b"), labels, "a", "x"), labels, "b", "y").filter("x <> y").select("a", "b")
-            rest = rest.union(deferred).distinct()
-        before, rest = shift, settle(rest, "rest")
+    for shift in (None, *PIVOT_SHIFTS):
+        if shift is not None:
+            listed = _of(long, labels, "rid", "component")
+            mixed = _mixed(listed)
+            if mixed.isEmpty():
+                break
+            before, rest = shift, _more_pivots(listed, mixed, shift, before, num, den)
+        rest = settle(rest, "rest")
         if not rest.isEmpty():
             more = _links(rest, shapes, rows, size, num, den)
             if not more.isEmpty():
