@@ -23,7 +23,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.llm._store import heavy_join, settle
 from siltstone.llm._text import mix
@@ -46,7 +45,8 @@ def _press(values: np.ndarray) -> bytes:
 
 def shrink(values: np.ndarray) -> bytes:
     """Non-negative whole numbers, in as few bytes each as they take, compressed."""
-    width = "<u2" if not len(values) or values.max() < 1 << 16 else "<u4"
+    most = values.max() if len(values) else 0
+    width = "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8"
     return width[-1].encode() + _press(values.astype(width))
 
 
@@ -139,7 +139,7 @@ class Block:
             sent[order[start]] = True
             known = np.empty(len(name), dtype=bool)
             known[order] = np.repeat(size > 1, size)
-        home = (mix(ids.view(np.uint64)) % np.uint64(self.count)).astype(np.int64)
+        home = (mix(ids.view(np.uint64) ^ mix(k.view(np.uint64)) if self.merge else ids.view(np.uint64)) % np.uint64(self.count)).astype(np.int64)
         out = []
         for flag, chosen in ((False, sent), (True, known)):
             i = np.flatnonzero(chosen)
@@ -280,12 +280,12 @@ def _by_text(table: pa.Table) -> pa.Table:
         found.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["found"]), dtype="<u4"))
     rid, k, value = (np.concatenate(x) for x in (rids, ks, found))
     rid, k, value, _, text = _ordered(rid, k, value, np.zeros(len(rid), np.int32))
-    return pa.table({"rid": pa.array(rid[text]), "k": pa.array(k[text].astype(np.int32)), "found": pa.array([x.tobytes() for x in np.split(value, text[1:])], pa.binary())})
+    return pa.table({"rid": pa.array(rid[text]), "k": pa.array(k[text]), "found": pa.array([x.tobytes() for x in np.split(value, text[1:])], pa.binary())})
 
 
 def by_text(packed: DataFrame) -> DataFrame:
     """One row (rid, k, found) for each text with later windows, their starts in order."""
-    return packed.groupBy("part").applyInArrow(_by_text, "rid long, k int, found binary")
+    return packed.groupBy("part").applyInArrow(_by_text, "rid long, k long, found binary")
 
 
 def cover_starts(bounds: np.ndarray, period: int, cover: tuple[int, ...], sample: int, length: int) -> np.ndarray:
@@ -350,9 +350,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def earliest(base: DataFrame) -> DataFrame:
-    """(fp, rid, id, copies, k): for each text its earliest row; k tells texts of one rid apart."""
-    reps = base.groupBy("fp").agg(F.min("rid").alias("rid"), F.first("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    return reps.withColumn("k", (F.row_number().over(Window.partitionBy("rid").orderBy("fp")) - 1).cast("int"))
+    """(fp, rid, id, copies, k): for each text its earliest row.
+
+    k orders the texts of one rid by their md5 and tells them apart; it is 0
+    where a rid has one text. Nothing is sorted or collected for a rid, as a
+    third of all rows may have none.
+    """
+    reps = settle(base.groupBy("fp").agg(F.min("rid").alias("rid"), F.first("id").alias("id"), F.count(F.lit(1)).alias("copies")), "texts")
+    several = settle(reps.groupBy("rid").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").withColumn("several", F.lit(True)), "several")
+    order = F.conv(F.substring(F.hex("fp"), 1, 15), 16, 10).cast("long")
+    return heavy_join(reps, several, "rid", "texts").select("fp", "rid", "id", "copies", F.when(F.col("several"), order).otherwise(F.lit(0).cast("long")).alias("k"))
 
 
 def texts_of(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:

@@ -345,3 +345,34 @@ def test_stages_carry_odd_names(spark, tmp_path):
     docs = spark.createDataFrame([*rows, rows[0]], ODD)
     assert {tuple(x) for x in drop_near_copies(docs).collect()} == set(rows) and drop_near_copies(docs).columns == docs.columns
     assert Counter(tuple(x) for x in quality_rules(docs).collect()) == Counter([*rows, rows[0]]) and quality_rules(docs).columns == docs.columns
+
+
+def plain_removal(rows, units, length, join):
+    """(n_removed, kept) of each row: texts in the order of (id, null first, then md5), equal rows as one."""
+    place = lambda i, t: (i is not None, i or 0, hashlib.md5(t.encode()).hexdigest())
+    seen, out = set(), {}
+    for key, i, t in sorted({(place(i, t or ""), i, t or "") for i, t in rows}):
+        u = units(t)
+        gone = [False] * len(u)
+        for s in range(len(u) - length + 1):
+            window = tuple(u[s : s + length])
+            if window in seen:
+                gone[s : s + length] = [True] * length
+            seen.add(window)
+        out[i, t] = sum(gone), hashlib.sha256(join([x for x, g in zip(u, gone) if not g])).hexdigest()
+    return out
+
+
+@pytest.mark.parametrize("name, units, length, join", [
+    ("op5_substring_dedup", lambda t: [w.encode() for w in words(t)], 20, b" ".join), ("op10_suffix_array", lambda t: [bytes([b]) for b in t.encode()], 100, b"".join),
+])
+def test_removal_with_null_and_repeated_ids(spark, tmp_path, name, units, length, join):
+    r = np.random.default_rng(9)
+    passage = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(3)]
+    text = lambda: " ".join(f"w{x}" for x in r.integers(0, 10**6, 30))
+    texts = [f"{text()} {passage[i % 3]} {text()}" for i in range(24)] + [passage[0] * 2, "é" * 150, "", "short"]
+    rows = [((None, 5, 5, i)[i % 4], t) for i, t in enumerate(texts)] + [(None, texts[0]), (90, texts[1]), (5, texts[2]), (91, None)]
+    write(spark, tmp_path, rows, "doc_id long, text string", parts=5)
+    wanted = plain_removal(rows, units, length, join)
+    found = Counter((x.doc_id, x.n_removed, x.kept_sha256) for x in QUERIES[name](spark, str(tmp_path)).collect())
+    assert found == Counter((i, *wanted[i, t or ""]) for i, t in rows)
