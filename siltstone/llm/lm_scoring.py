@@ -50,7 +50,7 @@ HEAD_SHARE, OWN_SHARE, ENDINGS, CLASSES = 1 << 22, 1024, 256, 16
 SLOTS = 1 << 14
 KINDS = 3
 BATCH, RATE, ROUNDS = 16_384, 0.4, 2
-HOT_SHARE, DISCOUNT, BLOCK_TOKENS = 1 << 20, 0.75, 1_500_000
+HOT_SHARE, DISCOUNT, BLOCK_TOKENS, COUNT_TOKENS = 1 << 20, 0.75, 1_500_000, 4_000_000
 END, BOS = 0, 1  # units; the end token's word key is 0
 FLUSH_TOKENS = 2_000_000
 SLICES = 32
@@ -314,29 +314,46 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     return model, counts, bigrams(texts, counts, model)
 
 
+START = 0x5EED
+
+
+def context_id(before: np.ndarray) -> np.ndarray:
+    """28 bits of the word before."""
+    return mix(before + np.uint64(0xB16)) >> np.uint64(36)
+
+
 def bigram_keys(tokens: Tokens, kinds: np.ndarray) -> np.ndarray:
     """The hashed bigram feature of each token: 28 bits of its context, 4 of its class, 32 of its word; 0 for end tokens."""
     before = np.zeros(len(tokens.key), dtype=np.uint64)
     before[1:] = tokens.key[:-1].view(np.uint64)
-    before[np.cumsum(tokens.counts) - tokens.counts] = 0x5EED
-    key = mix(before + np.uint64(0xB16)) >> np.uint64(36) << np.uint64(36) | kinds.astype(np.uint64) << np.uint64(32) | tokens.key.view(np.uint64) & np.uint64(0xFFFFFFFF)
+    before[np.cumsum(tokens.counts) - tokens.counts] = START
+    key = context_id(before) << np.uint64(36) | kinds.astype(np.uint64) << np.uint64(32) | tokens.key.view(np.uint64) & np.uint64(0xFFFFFFFF)
     key[tokens.is_end] = 0
     return key.view(np.int64)
 
 
-def _bigram_counts(model):
-    """(context, key, n): counts of bigrams, and of the contexts (with the class) that they have in common."""
+COUNTED = "range int, often boolean, keys binary, counts binary"
+
+
+def _bigram_counts(model, count: int):
+    """Each distinct bigram of some million training tokens to the range of its context; those of words with units of their own, as one context may be in every text, to ranges of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        often = np.unique(context_id(np.append(m.lexicon.own.view(np.uint64), np.uint64(START)))).astype(np.int64)
         held: list[np.ndarray] = []
 
         def flush():
-            key = np.concatenate(held)
+            key, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            for context, values in ((False, key), (True, key >> 32)):
-                value, n = np.unique(values, return_counts=True)
-                yield pa.record_batch([pa.array(np.full(len(value), context)), pa.array(value), pa.array(n.astype(np.int64))], names=["context", "key", "n"])
+            is_often = np.isin(key >> 36 & 0xFFFFFFF, often)
+            place = _place(key, is_often, count)
+            order = np.lexsort((is_often, place))  # keys stay in order
+            key, n, is_often, place = key[order], n[order], is_often[order], place[order]
+            cut = changes(place, is_often).tolist()
+            out = [(int(place[lo]), bool(is_often[lo]), key[lo:hi].tobytes(), shrink(n[lo:hi])) for lo, hi in zip(cut, [*cut, len(key)][1:], strict=True)]
+            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["range", "often", "keys", "counts"])
 
         for batch in batches:
             remainder = _numbers(batch, "doc_id")
@@ -344,25 +361,47 @@ def _bigram_counts(model):
                 tokens = Tokens(chunk)
                 part = remainder[chunk.lo : chunk.hi][tokens.docs]
                 held.append(bigram_keys(tokens, m.kinds[m.lexicon.units(tokens)])[(part != 1) & (part >= 0) & ~tokens.is_end])
-                if sum(map(len, held)) >= FLUSH_TOKENS:
-                    yield from flush()
+                if sum(map(len, held)) >= COUNT_TOKENS:
+                    yield flush()
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
 
+def _add_bigrams(table: pa.Table) -> pa.Table:
+    """(key, context, n) of a range: bigrams that occur twice, and their contexts' counts; of a frequent word's contexts a part of the count."""
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]]
+    for often in (False, True):
+        rows = table.filter(pc.equal(table.column("often"), often)).to_pylist()
+        if not rows:
+            continue
+        key, n = np.concatenate([np.frombuffer(x["keys"], dtype=np.int64) for x in rows]), np.concatenate([grow(x["counts"]) for x in rows])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        start = changes(key)
+        key, n = key[start], np.add.reduceat(n, start)
+        first = changes(key >> 32)
+        twice = n > 1
+        context = np.add.reduceat(n, first)
+        wanted = np.ones(len(first), dtype=bool) if often else np.add.reduceat(twice.astype(np.int64), first) > 0
+        for column, values in zip(out, ((key[twice], (key >> 32)[first][wanted]), (np.zeros(int(twice.sum()), bool), np.ones(int(wanted.sum()), bool)), (n[twice], context[wanted])), strict=True):
+            column += values
+    return pa.table([pa.array(np.concatenate(c)) for c in out], names=["key", "context", "n"])
+
+
 def bigrams(texts: DataFrame, counts: DataFrame, model: "Model") -> DataFrame:
     """Settled (key, context, n, value): for a bigram what it adds to its word's log10 probability, for a context what it adds to other words'."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    every = texts.mapInArrow(_bigram_counts(shared), "context boolean, key long, n long").groupBy("context", "key").agg(F.sum("n").alias("n"))
-    seen = settle(every.filter(F.col("context") | (F.col("n") > 1)), "bigram-counts")
+    count = ranges(model.total, texts.sparkSession)
+    sent = texts.mapInArrow(_bigram_counts(shared, count), COUNTED)
+    seen = settle(sent.groupBy("range").applyInArrow(_add_bigrams, "key long, context boolean, n long"), "bigram-counts")
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     words = counts.filter("key <> 0").groupBy(low("key").alias("word")).agg(F.sum("n").alias("in_all"))
     mass = F.array(*[F.lit(float(x)) for x in model.class_mass])
     pairs = seen.filter(~F.col("context")).select("key", "n", F.shiftright("key", 32).alias("of"), low("key").alias("word")).join(words, "word")
     pairs = pairs.withColumn("bias", F.log10(F.col("in_all") + 0.5) - F.get(mass, F.col("of").bitwiseAND(F.lit(15)).cast("int")))
-    pairs = pairs.join(seen.filter("context").select(F.col("key").alias("of"), F.col("n").alias("of_n")), "of").withColumn("share", (F.col("n") - DISCOUNT) / F.col("of_n"))
+    pairs = pairs.join(seen.filter("context").groupBy(F.col("key").alias("of")).agg(F.sum("n").alias("of_n")), "of").withColumn("share", (F.col("n") - DISCOUNT) / F.col("of_n"))
     pairs = settle(pairs.select("key", "of", "n", "of_n", "bias", "share"), "bigram-shares")
     rest = pairs.groupBy("of").agg(F.first("of_n").alias("n"), F.log10((1 - F.sum("share")) / (1 - F.sum(F.pow(F.lit(10.0), "bias")))).alias("value"))
     out = settle(pairs.select("key", F.lit(False).alias("context"), "n", (F.log10("share") - F.col("bias")).alias("value")).unionByName(rest.select(F.col("of").alias("key"), F.lit(True).alias("context"), "n", "value")), "bigrams")
