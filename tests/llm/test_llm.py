@@ -42,6 +42,7 @@ def folder(tmp_path_factory):
     write = lambda name, **c: pq.write_table(pa.table(c), path / f"{name}.parquet")
     write("documents", doc_id=pa.array(range(n), pa.int64()), text=pa.array(rows, pa.string()), lang=pa.array([("en", "de", None)[i % 3] for i in range(n)]), source=pa.array(["s"] * n), n_chars=pa.array([len(t or "") for t in rows], pa.int64()), bucket=pa.array([None] * n, pa.string()), fp=pa.array(range(n)))
     write("labels", doc_id=pa.array([*range(n), 3, None, 999], pa.int64()), quality=pa.array([i % 2 for i in range(n)] + [1, 0, None], pa.int32()), toxic=pa.array([0] * (n + 3), pa.int32()))
+    write("conversations", conv_id=pa.array([1, 1, None, 2], pa.int64()), turn=pa.array([0, 1, None, 5], pa.int64()), role=pa.array(["user", "assistant", None, "system"]), text=pa.array(["hi.", "ho.", None, "x"]))
     write("benchmark", item_id=pa.array([1, 2, 3, 4], pa.int64()), text=pa.array([" ".join(f"word{i}" for i in range(20, 40)), None, "", "nothing that occurs anywhere in the documents"], pa.string()))
     return str(path)
 
@@ -49,7 +50,7 @@ def folder(tmp_path_factory):
 @pytest.fixture(scope="session")
 def nothing(tmp_path_factory, folder):
     path = tmp_path_factory.mktemp("nothing")
-    for name in ("documents", "labels", "benchmark"):
+    for name in ("documents", "labels", "benchmark", "conversations"):
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), path / f"{name}.parquet")
     return str(path)
 
