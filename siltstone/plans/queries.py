@@ -20,6 +20,7 @@ from siltstone.operators import findings as J
 from siltstone.operators import grounding as G
 from siltstone.operators import ingest as I
 from siltstone.operators import limits as R1
+from siltstone.operators import progress as R2
 from siltstone.plans import sql as Q
 from siltstone.plans.corpus import artifacts, spread
 from siltstone.rules import language as L
@@ -514,3 +515,41 @@ def r3_run_once(spark, sf_dir):
     """R3 in batch: the first submission of each review."""
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", first.alias("r")).filter("r = 1").drop("r")
+
+
+#: Characters in a chunk of a review.
+_CHUNK = 40
+_HEAD = """'{"summary":"' || o_orderpriority || ' \\"severity\\":\\"critical\\" [{","findings":[{"title":"' || o_orderstatus || ' \\\\","category":"performance","severity":"low"}'"""
+_LINE = """',{"id":' || l_linenumber || ',"title":"part \\"' || l_partkey || '\\" {é]","category":"' || category || '","evidence":["' || l_returnflag || ' \\\\","' || l_linestatus || '"],"severity":"' || severity || '"}'"""
+_FOOT = """'],"clarificationQuestions":["is \\"]}\\" right?"]}'"""
+_LINE_AT = "((l_linenumber::BIGINT * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::BIGINT"
+
+
+def review_chunks(spark, sf_dir) -> DataFrame:
+    """Each order's findings as one JSON object, cut into chunks: a head and a foot from the order, a finding from each line."""
+    rows, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    pick = lambda names, key: F.get(F.array(*[F.lit(n) for n in names]), key.cast("int"))
+    rows = rows.withColumn("category", pick(R.CATEGORIES, F.pmod("l_linenumber", F.lit(6)))).withColumn("severity", pick(["critical", "high", "medium", "low", "odd"], F.pmod("l_partkey", F.lit(5))))
+    lit = lambda sql: F.expr(sql.replace("\\", "\\\\"))
+    at = ((F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
+    parts = rows.select(F.col("l_orderkey").alias("key"), at.alias("place"), lit(_LINE).alias("part"))
+    for place, text in ((0, _HEAD), (10**14, _FOOT)):
+        parts = parts.unionByName(order.select(F.col("o_orderkey").alias("key"), F.lit(place).cast("long").alias("place"), lit(text).alias("part")))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("part") - 1) / _CHUNK).cast("int")), lambda i: F.substring(F.col("part"), i * _CHUNK + 1, F.lit(_CHUNK)))
+    return parts.select("key", "place", F.posexplode(cut).alias("i", "text")).select("key", (F.col("place") * 64 + F.col("i")).alias("at"), "text")
+
+
+@query(f"""WITH l AS (SELECT *, {Q.category_of('l_linenumber')} AS category, {Q.severity_of('l_partkey')} AS severity FROM lineitem),
+p AS (SELECT l_orderkey AS key, {_LINE_AT} AS place, {_LINE} AS part, category, severity FROM l UNION ALL SELECT o_orderkey, 0, {_HEAD}, 'performance', 'low' FROM orders UNION ALL SELECT o_orderkey, {10**14}, {_FOOT}, NULL, NULL FROM orders),
+d AS (SELECT *, CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END AS less FROM p),
+b AS (SELECT *, count(severity) OVER w AS n0, coalesce(sum(less) FILTER (severity IS NOT NULL) OVER w, 0) AS d0, count(*) FILTER (category IN ('architecture','maintainability','general')) OVER w AS a0, count(*) FILTER (category = 'security') OVER w AS s0, count(*) FILTER (category IN ('scalability','performance')) OVER w AS c0
+  FROM d WINDOW w AS (PARTITION BY key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, unnest(range(0, (length(part) - 1) // {_CHUNK} + 1)) AS i FROM b),
+e AS (SELECT *, least(length(part), (i + 1) * {_CHUNK}) AS stop, substring(part, 1, least(length(part), (i + 1) * {_CHUNK})) AS seen FROM c),
+o AS (SELECT *, severity IS NOT NULL AND (place > 0 OR contains(seen, '"findings":[{{')) AS open, regexp_extract(seen, '"category":"([^"]*)', 1) AS kind, regexp_extract(replace(seen, '\\"severity', ''), '"severity":"([^"]*)', 1) AS how FROM e),
+t AS (SELECT *, n0 + open::INT AS n, d0 + CASE WHEN open THEN CASE how WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END ELSE 0 END AS d FROM o)
+SELECT key AS artifact_id, (place * 64 + i)::BIGINT AS at, n AS n_findings, n0 + (open AND stop = length(part))::INT AS n_complete, CASE WHEN n = 0 THEN 100 ELSE greatest(10, 100 - d) END::INT AS score,
+  a0 + (open AND kind IN ('architecture','maintainability','general'))::INT AS arch_count, s0 + (open AND kind = 'security')::INT AS sec_count, c0 + (open AND kind IN ('scalability','performance'))::INT AS scale_count, place > 0 AND severity IS NULL AND stop = length(part) AS done FROM t""")
+def r2_progressive_findings(spark, sf_dir):
+    """R2 over every order's findings as JSON in chunks: the state after each chunk, the finding being written included."""
+    return R2.progressive_findings(review_chunks(spark, sf_dir)).withColumnRenamed("key", "artifact_id")

@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import StructField, StructType
 
 from siltstone.operators.findings import deduction
 from siltstone.operators.limits import judge, verdict_schema
+from siltstone.operators.progress import MADE, Partial
 from siltstone.rules import limits as R
 
 
@@ -38,6 +41,55 @@ def limit_stream(requests: DataFrame, window_ms: int = R.WINDOW_MS, most: int =
     return requests.withColumn("at_ms", F.col("at_ms").cast("long")).groupBy("key").applyInPandasWithState(update, schema, "start long, count long", "append", GroupStateTimeout.NoTimeout)
 
 
+DAY_MS = 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keeps_values(df: DataFrame) -> None:
+    """transformWithState needs a store that holds several named values: set for the session, unless one is chosen there."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    conf = df.sparkSession.conf
+    if conf.get(name, "").endswith("HDFSBackedStateStoreProvider") or not conf.get(name, ""):
+        conf.set(name, ROCKS)
+
+
+class _Reviews(StatefulProcessor):
+    """The parser's state of each review, a bounded text; it goes a while after the review's last chunk."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.value = handle.getValueState("review", "state string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = Partial(self.value.get()[0] if self.value.exists() else None)
+        for frame in rows:  # each arrives sorted only by chance
+            frame = frame.sort_values(["at", "text"])
+            told = [state.feed(None if t is None or t != t else t).counts() for t in frame["text"]]
+            out = pd.DataFrame(told, columns=[f.name for f in MADE])
+            out.insert(0, "at", frame["at"].to_numpy())
+            out.insert(0, "key", [key[0]] * len(out))
+            yield out
+        self.value.update((state.state(),))
+
+    def close(self) -> None:
+        pass
+
+
+def progressive_stream(chunks: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+    """R2 on a stream of (key, at, text): after every chunk what `progressive_findings` gives, each chunk read once.
+
+    A later row of a review replaces its earlier ones: findings that change are
+    taken back by it. Chunks of a review must come in their order, within a
+    micro-batch in any; a review's state expires ttl_ms after its last chunk.
+    """
+    keeps_values(chunks)
+    given = chunks.schema
+    schema = StructType([StructField("key", given["key"].dataType), StructField("at", given["at"].dataType), *MADE])
+    return chunks.select("key", "at", "text").groupBy("key").transformWithStateInPandas(_Reviews(ttl_ms), schema, "Append", "ProcessingTime")
+
+
 def live_scores(findings: DataFrame) -> DataFrame:
     """R2: score and counts of each artifact as findings arrive (update mode)."""
     kinds = lambda *names: F.count_if(F.col("category").isin(*names))
