@@ -21,6 +21,8 @@ from siltstone.operators import grounding as G
 from siltstone.operators import ingest as I
 from siltstone.operators import limits as R1
 from siltstone.operators import progress as R2
+from siltstone.operators import states as R4
+from siltstone.operators import store as S5
 from siltstone.plans import sql as Q
 from siltstone.plans.corpus import artifacts, spread
 from siltstone.rules import language as L
@@ -486,6 +488,8 @@ def m9_follow_up(spark, sf_dir):
 # --- state ----------------------------------------------------------------
 
 _WINDOW, _MOST = 5 * 86_400_000, 2
+_EVENT_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
+_EVENT_MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
 
 
 def requests(spark, sf_dir) -> DataFrame:
@@ -553,3 +557,55 @@ SELECT key AS artifact_id, (place * 64 + i)::BIGINT AS at, n AS n_findings, n0 +
 def r2_progressive_findings(spark, sf_dir):
     """R2 over every order's findings as JSON in chunks: the state after each chunk, the finding being written included."""
     return R2.progressive_findings(review_chunks(spark, sf_dir)).withColumnRenamed("key", "artifact_id")
+
+
+_PATCHES = {
+    "click": "{'stagedPayload': 'p' || event_id, 'validationError': NULL}", "view": "{'processingState': 'reading', 'x': NULL}", "error": "{'processingState': 'error', 'validationError': 'e' || event_id}",
+    "purchase": "{'inputPayload': 'p' || event_id, 'processingResult': props, 'stagedPayload': NULL, 'processingState': 'done'}",
+}
+_STORED = ["stagedPayload", "inputPayload", "processingResult", "processingState", "validationError", "x"]
+
+
+def _patch_fields(sql: str) -> list[tuple[str, str]]:
+    return [tuple(x.strip() for x in part.replace("'", "", 2).split(":", 1)) for part in sql.strip("{}").split(", ")]
+
+
+def _stored(field: str) -> str:
+    """The value that the last patch with this field gave it: 'absent' before any, 'null' for a null."""
+    arms = " ".join(f"WHEN '{kind}' THEN {{'v': {value}}}" for kind, sql in _PATCHES.items() for name, value in _patch_fields(sql) if name == field)
+    first = "'absent'" if field not in S5.INITIAL else Q.q(S5.INITIAL[field] or "null")
+    return f"coalesce(coalesce(last_value(CASE event_type {arms} END IGNORE NULLS) OVER w, {{'v': CASE WHEN {first} = 'null' THEN NULL ELSE {first} END}}).v, 'null') AS {field}"
+
+
+@query(f"SELECT user_id, event_id, {', '.join(map(_stored, _STORED))} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def s5_store(spark, sf_dir):
+    """Every user's store after each event; an event is a patch of some fields by its type, other types patch nothing."""
+    rows = table(spark, sf_dir, "events")
+    patch = F.lit(None).cast(S5.PATCH)
+    for kind, sql in _PATCHES.items():
+        pairs = ", ".join(f"'{name}', cast({value} AS string)" for name, value in _patch_fields(sql))
+        patch = F.when(F.col("event_type") == kind, F.expr(f"map({pairs})")).otherwise(patch)
+    patches = rows.select(F.col("user_id").alias("key"), F.expr(_EVENT_MS).alias("at"), F.struct(F.expr(_EVENT_US).alias("us"), F.col("event_id").alias("id")).alias("seq"), patch.alias("patch"))
+    field = lambda n: F.when(F.map_contains_key("state", n), F.coalesce(F.element_at("state", n), F.lit("null"))).otherwise("absent").alias(n)
+    return S5.store_states(patches).select(F.col("key").alias("user_id"), F.col("seq.id").alias("event_id"), *map(field, _STORED))
+
+
+#: What an event does to a review: fixed states, or on to the next stage.
+_MOVES = {"error": "fail", "purchase": "paste", "click": "read", "signup": "reset"}
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, ts, CASE event_type WHEN 'error' THEN 7 WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 WHEN 'signup' THEN 0 END AS fixed FROM events),
+g AS (SELECT *, count(fixed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM e),
+n AS (SELECT *, coalesce(max(fixed) OVER (PARTITION BY user_id, part), 0) AS base, count(*) FILTER (fixed IS NULL) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS steps FROM g),
+s AS (SELECT *, CASE WHEN base = 7 THEN 7 ELSE least(base + steps, 6) END AS now FROM n),
+b AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS was FROM s),
+c AS (SELECT *, now <> was AS changed, max(CASE WHEN now <> was THEN ms END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS entered_ms FROM b),
+d AS (SELECT *, lag(entered_ms) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM c)
+SELECT user_id, event_id, [{', '.join(map(Q.q, R4.STATES))}][now + 1] AS state, [{', '.join(map(Q.q, R4.STATES))}][was + 1] AS before, changed, entered_ms, CASE WHEN changed THEN ms - prior END AS spent_ms FROM d""")
+def r4_states(spark, sf_dir):
+    """Every user's events as those of one review: the state after each, and how long the state it left was held."""
+    event = F.lit("step")
+    for kind, move in _MOVES.items():
+        event = F.when(F.col("event_type") == kind, move).otherwise(event)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.expr(_EVENT_MS).alias("at"), F.struct(F.expr(_EVENT_US).alias("us"), F.col("event_id").alias("id")).alias("seq"), event.alias("event"))
+    return R4.processing_states(rows).select(F.col("key").alias("user_id"), F.col("seq.id").alias("event_id"), "state", "before", "changed", "entered_ms", "spent_ms")

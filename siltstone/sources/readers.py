@@ -108,3 +108,11 @@ def notify(df: DataFrame, listeners: list[Callable[[DataFrame, int], None]], mod
             listener(batch, number)
 
     return df.writeStream.outputMode(mode).foreachBatch(each)
+
+
+def write_batches(df: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
+    """A started sink of Parquet files. The folder's log names the files of each batch, so a batch that is given again after a restart leaves no repeated rows.
+
+    Streams with timers or expiring state run a batch at every interval, also without new rows.
+    """
+    return df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

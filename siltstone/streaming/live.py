@@ -1,7 +1,8 @@
-"""Structured Streaming: the request limiter, live finding scores, run-once reviews."""
+"""Structured Streaming: the request limiter, growing reviews, live finding scores, run-once reviews, stores and processing states."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from siltstone.operators.findings import deduction
 from siltstone.operators.limits import judge, verdict_schema
 from siltstone.operators.progress import MADE, Partial
+from siltstone.operators.states import MADE as STATE_COLUMNS
+from siltstone.operators.states import STATES, moved
+from siltstone.operators.store import INITIAL, PATCH, merged
 from siltstone.rules import limits as R
 
 
@@ -64,8 +68,7 @@ class _Reviews(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = Partial(self.value.get()[0] if self.value.exists() else None)
-        for frame in rows:  # each arrives sorted only by chance
-            frame = frame.sort_values(["at", "text"])
+        for frame in rows:
             told = [state.feed(None if t is None or t != t else t).counts() for t in frame["text"]]
             out = pd.DataFrame(told, columns=[f.name for f in MADE])
             out.insert(0, "at", frame["at"].to_numpy())
@@ -81,8 +84,8 @@ def progressive_stream(chunks: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
     """R2 on a stream of (key, at, text): after every chunk what `progressive_findings` gives, each chunk read once.
 
     A later row of a review replaces its earlier ones: findings that change are
-    taken back by it. Chunks of a review must come in their order, within a
-    micro-batch in any; a review's state expires ttl_ms after its last chunk.
+    taken back by it. Chunks of a review are read as they arrive, a frame at a
+    time; a review's state expires ttl_ms after its last chunk.
     """
     keeps_values(chunks)
     given = chunks.schema
@@ -105,8 +108,86 @@ def run_once(reviews: DataFrame) -> DataFrame:
     return reviews.dropDuplicates(["artifact_id"])
 
 
-#: The order of a review's states.
-STATES = ["idle", "reading", "normalizing", "understanding", "grounding", "reasoning", "done", "error"]
+class _Stores(StatefulProcessor):
+    """The state of each store as one text; it goes a while after its last patch."""
+
+    def __init__(self, initial: dict, ttl_ms: int):
+        self.initial, self.ttl_ms = initial, ttl_ms
+
+    def init(self, handle) -> None:
+        self.value = handle.getValueState("store", "state string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = json.loads(self.value.get()[0]) if self.value.exists() else dict(self.initial)
+        for frame in rows:
+            told = [sorted(merged(state, json.loads(p) if isinstance(p, str) else None).items()) for p in frame["patch"]]
+            out = pd.DataFrame({"at": frame["at"].to_numpy(), "seq": frame["seq"].to_numpy(), "state": [json.dumps(dict(s)) for s in told]})
+            out.insert(0, "key", [key[0]] * len(out))
+            yield out
+        self.value.update((json.dumps(state),))
+
+    def close(self) -> None:
+        pass
+
+
+def store_stream(patches: DataFrame, initial: dict | None = None, ttl_ms: int = DAY_MS) -> DataFrame:
+    """S5 on a stream of (key, at, seq, patch): the state after each patch, in the order of arrival."""
+    keeps_values(patches)
+    given = patches.schema
+    schema = StructType([StructField("key", given["key"].dataType), StructField("at", given["at"].dataType), StructField("seq", given["seq"].dataType), StructField("state", StringType())])
+    rows = patches.select("key", "at", "seq", F.to_json(F.col("patch").cast(PATCH), {"ignoreNullFields": "false"}).alias("patch"))
+    out = rows.groupBy("key").transformWithStateInPandas(_Stores(dict(INITIAL if initial is None else initial), ttl_ms), schema, "Append", "ProcessingTime")
+    return out.withColumn("state", F.from_json("state", PATCH))
+
+
+class _States(StatefulProcessor):
+    """State and time entered of each review, and a timer for the stage it is in."""
+
+    def __init__(self, longest_ms: int):
+        self.longest_ms = longest_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("state", "state int, entered long")
+
+    def _restart(self, now: int, running: bool) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if running:
+            self.handle.registerTimer(now + self.longest_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = list(self.value.get()) if self.value.exists() else [0, None]
+        for frame in rows:
+            told = [moved(state, e, None if t is None or t != t else int(t)) for e, t in zip(frame["event"], frame["at"], strict=True)]
+            out = pd.DataFrame(told, columns=[f.name for f in STATE_COLUMNS])
+            out.insert(0, "seq", frame["seq"].to_numpy())
+            out.insert(0, "at", frame["at"].to_numpy())
+            out.insert(0, "key", [key[0]] * len(out))
+            yield out
+        ended = STATES[state[0]] in ("idle", "done", "error")
+        if STATES[state[0]] == "idle" and state[1] is None:
+            self.value.clear()
+        else:
+            self.value.update(tuple(state))
+        self._restart(timerValues.getCurrentProcessingTimeInMs(), not ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.value.exists():
+            before = STATES[self.value.get()[0]]
+            self.value.clear()
+            yield pd.DataFrame({"key": [key[0]], "at": [None], "seq": [None], "state": ["error"], "before": [before], "changed": [True], "entered_ms": [None], "spent_ms": [None]})
+
+    def close(self) -> None:
+        pass
+
+
+def state_stream(events: DataFrame, longest_ms: int = 60_000) -> DataFrame:
+    """R4 on a stream of (key, at, seq, event): what `processing_states` gives for each event, in the order of arrival. A stage that lasts longer than longest_ms without an event becomes an error and is forgotten; that row has no at and seq."""
+    keeps_values(events)
+    given = events.schema
+    schema = StructType([StructField("key", given["key"].dataType), StructField("at", LongType()), StructField("seq", given["seq"].dataType), *STATE_COLUMNS])
+    return events.select("key", F.col("at").cast("long").alias("at"), "seq", "event").groupBy("key").transformWithStateInPandas(_States(longest_ms), schema, "Append", "ProcessingTime")
 
 
 def next_state(state):

@@ -44,3 +44,22 @@ def same_rows(spark, query, sql, folder):
     left = sorted((tuple(map(rounded, r)) for r in df.select(*names).collect()), key=key)
     right = sorted((tuple(rounded(r[i]) for i in order) for r in cursor.fetchall()), key=key)
     assert left == right
+
+
+def drained(spark, start, path, rows, seconds=60):
+    """Start a stream that writes to a path, stop it when `rows` rows are there, and give them."""
+    import time
+
+    from pyspark.errors import AnalysisException
+
+    query, until, found = start(), time.time() + seconds, []
+    try:
+        while len(found) < rows and time.time() < until and query.isActive:
+            time.sleep(0.5)
+            try:
+                found = spark.read.parquet(path).collect()
+            except AnalysisException:  # nothing is written yet
+                pass
+    finally:
+        query.stop()
+    return found

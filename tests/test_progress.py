@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from conftest import drained
 
 from siltstone.operators import progress
 from siltstone.operators.progress import ARCH, DEDUCTIONS, SCALE, SEC, Partial, progressive_findings
@@ -119,6 +120,7 @@ def test_lexer_tables_compose():
 
 def test_stream_reads_every_chunk_once(spark, tmp_path):
     """Chunks over several micro-batches give what one walk gives; state is one bounded value for each review."""
+    from siltstone.sources.readers import write_batches
     from siltstone.streaming import live
 
     pick = random.Random(4)
@@ -127,11 +129,8 @@ def test_stream_reads_every_chunk_once(spark, tmp_path):
         rows = [(k, i, t) for k, parts in talks.items() for i, t in enumerate(parts) if i * 3 // len(parts) == batch]
         spark.createDataFrame(rows, "key long, at long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema("key long, at long, text string").parquet(f"{tmp_path}/in")
-        query = live.progressive_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").start()
-        try:
-            query.processAllAvailable()
-        finally:
-            query.stop()
-    found = {(r.key, r.at): tuple(r)[2:] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        n = sum(i * 3 // len(parts) <= batch for parts in talks.values() for i in range(len(parts)))
+        rows = drained(spark, lambda s=stream: write_batches(live.progressive_stream(s), f"{tmp_path}/out", f"{tmp_path}/state"), f"{tmp_path}/out", n)
+    found = {(r.key, r.at): tuple(r)[2:] for r in rows}
     for key, parts in talks.items():
         assert [found[key, i] for i in range(len(parts))] == told(parts)
