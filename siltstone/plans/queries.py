@@ -594,7 +594,7 @@ def s5_store(spark, sf_dir):
 _MOVES = {"error": "fail", "purchase": "paste", "click": "read", "signup": "reset"}
 
 
-@query(f"""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, ts, CASE event_type WHEN 'error' THEN 7 WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 WHEN 'signup' THEN 0 END AS fixed FROM events),
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, ts, CASE event_type WHEN 'error' THEN 7 WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 WHEN 'signup' THEN 0 END AS fixed FROM events),
 g AS (SELECT *, count(fixed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM e),
 n AS (SELECT *, coalesce(max(fixed) OVER (PARTITION BY user_id, part), 0) AS base, count(*) FILTER (fixed IS NULL) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS steps FROM g),
 s AS (SELECT *, CASE WHEN base = 7 THEN 7 ELSE least(base + steps, 6) END AS now FROM n),
