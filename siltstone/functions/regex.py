@@ -251,9 +251,14 @@ def escape(text: str) -> str:
     return "".join("\\" + c if c in r".*+?^${}()|[]\\" else c for c in text)
 
 
+#: The characters of SPACE.
+SPACES = "\t\n\v\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Without white space at both ends, in one pass from each end: a pattern would start anew at every blank."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
