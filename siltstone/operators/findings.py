@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.regex import Pattern
+from siltstone.functions.regex import Pattern, let
 from siltstone.functions.text import escape_html, lookup, unescape_html
 from siltstone.rules import limits as R
 
@@ -59,13 +59,13 @@ def evidence_line(evidence: Column, lines: Column) -> Column:
         number = lambda p: F.nullif(F.regexp_extract(e, p.java, 1), F.lit(""))
         return F.coalesce(number(LINE_WORD), number(LINE_NUMBER)).try_cast("bigint")
 
-    def held(e: Column) -> Column:
-        plain = F.transform(lines, lambda x: F.lower(unescape_html(x, quotes=False)))
+    def held(e: Column, plain: Column) -> Column:
         hit = F.array_position(F.transform(plain, lambda x: x.contains(F.lower(e))), F.lit(True))
         return F.when((F.length(e) > 5) & (hit > 0), hit)
 
     first = lambda rows: F.get(F.filter(rows, lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(first(F.transform(evidence, named)), first(F.transform(evidence, held)))
+    normal = F.transform(lines, lambda x: F.lower(unescape_html(x, quotes=False)))
+    return F.coalesce(first(F.transform(evidence, named)), let(normal, lambda plain: first(F.transform(evidence, lambda e: held(e, plain)))))
 
 
 def code_snippet(line: Column, evidence: Column, lines: Column) -> Column:

@@ -188,3 +188,34 @@ def ground(df: DataFrame, content: str = "content") -> DataFrame:
 def registry_apis(spark: SparkSession) -> DataFrame:
     """All API patterns as rows."""
     return spark.createDataFrame([(i, *row) for i, row in enumerate(G.APIS, 1)], "ord int, framework string, api string, introduced string, deprecated string, description string")
+
+
+#: Rules that a registry may hold: they become one expression.
+MAX_RULES = 1000
+
+
+def registry_rules(rules: DataFrame) -> list[tuple]:
+    """A registry of (ord, framework, api, introduced, deprecated, description) rows, read, checked and in order: its extension is by rows.
+
+    Raises ValueError for more than MAX_RULES rows, a null or empty framework or api, a repeated ord, or a repeated api of one framework.
+    """
+    rows = sorted(tuple(r) for r in rules.select("ord", "framework", "api", "introduced", "deprecated", "description").limit(MAX_RULES + 1).collect())
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    if any(not r[1] or not r[2] or r[0] is None for r in rows) or len({r[0] for r in rows}) < len(rows) or len({r[1:3] for r in rows}) < len(rows):
+        raise ValueError("rules need an ord of their own, a framework, and an api that is new to it")
+    return rows
+
+
+def registry_usage(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
+    """G11 and J3 as data: every rule of the registry with the number of artifacts whose content uses it, zeros included.
+
+    The patterns are made from the rows when the query is built and each is
+    evaluated once a text; what moves is a count for each rule and task.
+    """
+    rows = registry_rules(rules)
+    table = artifacts.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "number int, ord int, framework string, api string, introduced string, deprecated string, description string")
+    if not rows:
+        return table.drop("number").withColumn("n_artifacts", F.lit(0).cast("long"))
+    used = artifacts.select(F.explode(hits(F.col("content"), [api_pattern(r[2]) for r in rows])).alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+    return table.join(used, "number", "left").select(*table.columns[1:], F.coalesce("n", F.lit(0)).cast("long").alias("n_artifacts"))

@@ -71,8 +71,8 @@ def finding_valid(category: Column, severity: Column, confidence: Column) -> Col
 
 
 def route(staged: Column, text: Column, supported: Column, unsupported: Column) -> Column:
-    """V9: where a sent text goes."""
-    long = F.length(text) >= R.CODE_CHARS
+    """V9: where a sent text goes; long is counted in UTF-16 units."""
+    long = utf16_length(text) >= R.CODE_CHARS
     return F.when(staged, "review_staged").when(long & unsupported, "reject").when(long & supported, "review_paste").otherwise("chat")
 
 

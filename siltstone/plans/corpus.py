@@ -48,9 +48,9 @@ SNIPPETS = [
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows that come in fewer files than there are cores, dealt over all cores before heavy work in the row; others stay where they are."""
+    """Rows that are read in fewer parts than there are cores, dealt over all cores before heavy work in the row; others stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:

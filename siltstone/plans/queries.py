@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.functions import text as X
 from siltstone.operators import classify as C
@@ -125,11 +124,13 @@ def v7_finding_schema(spark, sf_dir):
     return findings(spark, sf_dir).select("artifact_id", "idx", I.finding_valid(F.col("category"), F.col("severity"), F.col("idx") * F.lit(0.2)).alias("valid"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'review_staged' WHEN length(coalesce(text, '')) >= 50 AND doc_id % 3 = 1 THEN 'reject'
-WHEN length(coalesce(text, '')) >= 50 AND doc_id % 3 = 0 THEN 'review_paste' ELSE 'chat' END AS target FROM documents""")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 < 2 THEN repeat('😀', 15 + (doc_id % 20)::INT) ELSE coalesce(text, '') END AS t FROM documents), n AS (SELECT doc_id, length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) >= 50 AS long FROM d)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'review_staged' WHEN long AND doc_id % 3 = 1 THEN 'reject' WHEN long AND doc_id % 3 = 0 THEN 'review_paste' ELSE 'chat' END AS target FROM n""")
 def v9_routing(spark, sf_dir):
+    """V9 over the documents as sent texts; two of seven are 15 to 34 emoji, each two units long."""
     third = F.col("doc_id") % 3
-    return table(spark, sf_dir, "documents").select("doc_id", I.route(F.col("doc_id") % 5 == 0, F.col("text"), third == 0, third == 1).alias("target"))
+    emoji = F.repeat(F.lit("😀"), (F.col("doc_id") % 20 + 15).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", I.route(F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 7 < 2, emoji).otherwise(F.coalesce("text", F.lit(""))), third == 0, third == 1).alias("target"))
 
 
 @query(f"""WITH {Q.values('f', 'k, name, mime, problem', [(0, 'a.ts', '', None), (1, 'b.PNG', 'image/png', 'media'), (2, 'vue', '', None), (3, 'README', 'text/plain', None), (4, 'x.py', '', '.py'), (5, 'y.js', 'video/mp4', 'media'), (6, 'noext', None, 'noext'), (7, 'a.b.JSX', 'application/octet-stream', None)])},
@@ -365,6 +366,12 @@ def g11_registry(spark, sf_dir):
     return G.registry_apis(spark)
 
 
+@query(f"WITH {_G}, n AS (SELECT api.a, count(*) AS n FROM part JOIN snip ON p_partkey % {len(Q.SNIPPETS)} = snip.snippet_id JOIN api ON regexp_matches(snip.content, api.pattern) GROUP BY api.a) SELECT (api.a + 1)::INT AS ord, framework, api, introduced, deprecated, description, coalesce(n, 0)::BIGINT AS n_artifacts FROM api LEFT JOIN n USING (a)")
+def g11_usage(spark, sf_dir):
+    """G11 as data: the registry's rows, each with the number of artifacts that use its API."""
+    return G.registry_usage(artifacts(spark, sf_dir), G.registry_apis(spark))
+
+
 # --- findings -------------------------------------------------------------
 
 _SCORED = f"""WITH f AS ({_FINDING}), a AS (SELECT artifact_id, count(*) AS n, sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END) AS d,
@@ -517,8 +524,7 @@ def x1_paste_name(spark, sf_dir):
 @query("SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id")
 def r3_run_once(spark, sf_dir):
     """R3 in batch: the first submission of each review."""
-    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", first.alias("r")).filter("r = 1").drop("r")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("turn"))
 
 
 #: Characters in a chunk of a review.

@@ -252,3 +252,33 @@ def test_states(spark):
 
 def test_patterns_mean_the_same_in_both_dialects():
     assert Pattern(r"\bfoo\b").java == r"(?<!\w)foo(?!\w)" and Pattern(r"\bfoo\b").re2 == r"\bfoo\b"
+
+
+def test_routing_counts_utf16_units(spark):
+    """30 emoji are 60 units."""
+    texts = ["\U0001f600" * 30, "\U0001f600" * 24 + "x", "\U0001f600" * 25, "x" * 50, "x" * 49, None]
+    rows = one(spark, [(t,) for t in texts], "t string", ingest.route(F.lit(False), F.col("t"), F.lit(True), F.lit(False)).alias("x"))
+    assert [r.x for r in rows] == ["review_paste", "chat", "review_paste", "review_paste", "chat", "chat"]
+
+
+def test_places_and_pins(spark):
+    from siltstone.operators import findings
+
+    lines = [r"const a = &quot;x&quot;;", "if (a &lt; b) return", "Return HTML5 page", "last"]
+    cases = [(["see line 3"], 3), (["html5 page"], 5), (["12"], 12), (["zzzzzz", "a < b) ret"], 2), (["return"], 2), (['a = "x"'], None), (["last"], None), (["LAST l", "x"], None), ([], None)]
+    rows = one(spark, [(e, lines) for e, _ in cases], "e array<string>, lines array<string>", findings.evidence_line(F.col("e"), F.col("lines")).alias("x"))
+    assert [r.x for r in rows] == [x for _, x in cases]
+    df = spark.createDataFrame([(1, 2, 0, "low"), (1, 2, 3, "high"), (1, 0, 4, "low"), (1, None, 5, "low"), (1, 7, 1, "medium")], "artifact_id int, line long, idx int, severity string")
+    (r,) = findings.pins(df).collect()
+    assert {k: tuple(v) for k, v in r.pins.items()} == {2: ("high", "f-3"), 7: ("medium", "f-1")}
+
+
+def test_registry_from_rows(spark):
+    kind = "ord int, framework string, api string, introduced string, deprecated string, description string"
+    rules = spark.createDataFrame([(2, "A", "go()", "1", None, "d"), (1, "B", '"use x"', "1", "2", "d"), (3, "A", "never()", "1", None, "d")], kind)
+    texts = spark.createDataFrame([("go (1)",), ("'use x'; go()",), (None,), ("",)], "content string")
+    assert [(r.ord, r.api, r.n_artifacts) for r in sorted(grounding.registry_usage(texts, rules).collect())] == [(1, '"use x"', 1), (2, "go()", 2), (3, "never()", 0)]
+    for bad in ([(1, None, "a", "", "", "")], [(1, "A", "a", "", "", ""), (1, "A", "b", "", "", "")], [(1, "A", "a", "", "", ""), (2, "A", "a", "", "", "")]):
+        with pytest.raises(ValueError):
+            grounding.registry_usage(texts, spark.createDataFrame(bad, kind))
+    assert grounding.registry_usage(texts, spark.createDataFrame([], kind)).collect() == []
