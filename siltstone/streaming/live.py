@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -22,29 +21,6 @@ from siltstone.operators.store import INITIAL, PATCH, merged
 from siltstone.rules import limits as R
 
 
-def limit_stream(requests: DataFrame, window_ms: int = R.WINDOW_MS, most: int = R.MAX_REQUESTS) -> DataFrame:
-    """R1 on a stream of (key, at_ms, request_id): state is the window's start and count, one pair for each key.
-
-    Within a batch requests are judged in the order of (at_ms, request_id); one
-    without a time has no verdict.
-    """
-    schema = verdict_schema(requests)
-    names = schema.names
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["at_ms", "request_id"])
-        none, rows = rows[rows["at_ms"].isna()], rows[rows["at_ms"].notna()]
-        allowed, remaining, retry, start, count = judge(rows["at_ms"].to_numpy(np.int64), start, count, window_ms, most)
-        if start is not None:
-            state.update((start, count))
-        yield rows.assign(allowed=allowed, remaining=remaining, retry_after_ms=retry)[names]
-        if len(none):
-            yield none.assign(allowed=None, remaining=None, retry_after_ms=None)[names]
-
-    return requests.withColumn("at_ms", F.col("at_ms").cast("long")).groupBy("key").applyInPandasWithState(update, schema, "start long, count long", "append", GroupStateTimeout.NoTimeout)
-
-
 DAY_MS = 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -57,6 +33,46 @@ def keeps_values(df: DataFrame) -> None:
         conf.set(name, ROCKS)
 
 
+class _Limits(StatefulProcessor):
+    """A key's window: its start and count. It goes when the window is over and no late request can be of it."""
+
+    def __init__(self, names: list[str], window_ms: int, most: int, late_ms: int):
+        self.names, self.window_ms, self.most, self.late_ms = names, window_ms, most, late_ms
+
+    def init(self, handle) -> None:
+        self.value = handle.getValueState("window", "start long, count long", self.window_ms + self.late_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        start, count = self.value.get() if self.value.exists() else (None, 0)
+        for frame in rows:
+            frame = frame.sort_values(["at_ms", "request_id"])
+            none, frame = frame[frame["at_ms"].isna()], frame[frame["at_ms"].notna()]
+            allowed, remaining, retry, start, count = judge(frame["at_ms"].to_numpy(np.int64), start, count, self.window_ms, self.most)
+            yield frame.assign(allowed=allowed, remaining=remaining, retry_after_ms=retry)[self.names]
+            if len(none):
+                yield none.assign(allowed=None, remaining=None, retry_after_ms=None)[self.names]
+        if start is not None:
+            self.value.update((start, count))
+
+    def close(self) -> None:
+        pass
+
+
+def limit_stream(requests: DataFrame, window_ms: int = R.WINDOW_MS, most: int = R.MAX_REQUESTS, late_ms: int = 600_000) -> DataFrame:
+    """R1 on a stream of (key, at_ms, request_id): state is the window's start and count, one pair for each key, and expires.
+
+    Requests are judged as they arrive, a frame at a time, each frame in the
+    order of (at_ms, request_id); one without a time has no verdict. A request
+    older than the window that is open counts in it. State is kept for a window
+    and late_ms after a key's last request: a request that comes more than
+    late_ms after its time may open a window anew.
+    """
+    keeps_values(requests)
+    schema = verdict_schema(requests)
+    rows = requests.select("key", F.col("at_ms").cast("long").alias("at_ms"), "request_id")
+    return rows.groupBy("key").transformWithStateInPandas(_Limits(schema.names, window_ms, most, late_ms), schema, "Append", "ProcessingTime")
+
+
 class _Reviews(StatefulProcessor):
     """The parser's state of each review, a bounded text; it goes a while after the review's last chunk."""
 
@@ -103,9 +119,11 @@ def live_scores(findings: DataFrame) -> DataFrame:
     return out
 
 
-def run_once(reviews: DataFrame) -> DataFrame:
-    """A review that was seen is not run again."""
-    return reviews.dropDuplicates(["artifact_id"])
+def run_once(reviews: DataFrame, at: str | None = None, within: str = "1 day") -> DataFrame:
+    """A review that was seen is not run again. With a time column `at` on a stream, reviews seen longer than `within` ago are forgotten, and later ones of that age are dropped; without, every review is remembered."""
+    if at is None:
+        return reviews.dropDuplicates(["artifact_id"])
+    return reviews.withWatermark(at, within).dropDuplicatesWithinWatermark(["artifact_id"])
 
 
 class _Stores(StatefulProcessor):

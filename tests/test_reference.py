@@ -4,6 +4,7 @@ import json
 import re
 
 import pytest
+from conftest import drained
 from pyspark.sql import functions as F
 
 from siltstone.functions.regex import Pattern, needles
@@ -225,7 +226,42 @@ def test_limiter_on_a_stream_equals_the_batch(spark, tmp_path):
     for i, part in enumerate((rows[:3], rows[3:6], rows[6:])):
         spark.createDataFrame([r[:3] for r in part], REQUEST).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    assert sorted(map(tuple, run_stream(spark, live.limit_stream(stream, 100, 2), tmp_path, "limited", "append")), key=lambda r: r[2]) == rows
+    found = drained(spark, lambda: readers.write_batches(live.limit_stream(stream, 100, 2), f"{tmp_path}/out", f"{tmp_path}/state"), f"{tmp_path}/out", len(rows))
+    assert sorted(map(tuple, found), key=lambda r: r[2]) == rows
+
+
+def kept_rows(spark, df, tmp_path, until, seconds=60):
+    """Numbers of state rows that a stream's progress tells, until one satisfies."""
+    import time
+
+    query, seen, end = readers.write_batches(df, f"{tmp_path}/out", f"{tmp_path}/state"), [], time.time() + seconds
+    try:
+        while time.time() < end and not until(seen):
+            time.sleep(0.5)
+            seen = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    finally:
+        query.stop()
+    return seen
+
+
+def test_limiter_forgets_windows_that_are_over(spark, tmp_path):
+    spark.createDataFrame([(f"k{i}", i, i) for i in range(20)], REQUEST).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(REQUEST).parquet(str(tmp_path / "in"))
+    seen = kept_rows(spark, live.limit_stream(stream, 1000, 2, late_ms=3000), tmp_path, lambda n: n and max(n) >= 20 and n[-1] == 0)
+    assert max(seen) >= 20 and seen[-1] == 0
+
+
+def test_run_once_forgets_reviews_of_long_ago(spark, tmp_path):
+    import datetime
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    schema = "artifact_id int, at timestamp"
+    for i, rows in enumerate(([(k, day(1)) for k in range(20)] + [(3, day(1))], [(99, day(20))], [(98, day(21))])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen = kept_rows(spark, live.run_once(stream, "at"), tmp_path, lambda n: n and max(n) >= 20 and n[-1] <= 2)
+    assert max(seen) >= 20 and seen[-1] <= 2
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 22
 
 
 def test_live_scores_and_run_once(spark, tmp_path):
