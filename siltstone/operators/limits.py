@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import json
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
+from siltstone.operators.ranges import RANGE_ROWS, Fold, Ranges
 from siltstone.rules import limits as R
 
 
@@ -72,14 +76,118 @@ def _fold(window: int, most: int):
     return run
 
 
-def rate_limit(requests: DataFrame, window_ms: int = R.WINDOW_MS, most: int = R.MAX_REQUESTS) -> DataFrame:
+class _Chains:
+    """Where the windows of a range lead, for every request that may open the range's first one.
+
+    A window that is open when the range starts ends within a window's length of
+    the range's first request, so only requests up to there, and the first one
+    after, can follow it. Each of these starts a chain of windows; chains that
+    meet go on as one. Held are those candidates and one open window for each
+    chain, whatever the range's length.
+    """
+
+    def __init__(self, window: int, most: int):
+        self.window, self.most = window, most
+        self.rows, self.now, self.edge, self.closed = 0, None, None, False
+        self.times, self.before, self.parent, self.open = [], [], [], deque()
+
+    def step(self, at: int | None) -> None:
+        if at is None:
+            return
+        if at != self.now:
+            self.now = at
+            self.edge = at + self.window if self.edge is None else self.edge
+            group = None
+            while self.open and self.open[0][0] + self.window <= at:
+                ended = self.open.popleft()[2]
+                if group is None:
+                    group = ended
+                else:
+                    self.parent[ended] = group
+            if not self.closed:
+                self.closed = at >= self.edge
+                self.times.append(at)
+                self.before.append(self.rows)
+                self.parent.append(len(self.parent) if group is None else group)
+                group = self.parent[-1]
+            if group is not None:
+                self.open.append((at, self.rows, group))
+        self.rows += 1
+
+    def _root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def table(self, most_candidates: int) -> bytes:
+        if len(self.times) > most_candidates:
+            return b""
+        left = {g: (start, min(self.rows - before, self.most)) for start, before, g in self.open}
+        return json.dumps([self.rows, self.times, self.before, [left[self._root(i)] for i in range(len(self.times))]]).encode()
+
+
+def _left(table: bytes, state: list | None, window: int, most: int) -> list:
+    """The window that is open when a range ends, from the one that was when it began."""
+    rows, times, before, left = json.loads(table)
+    if state is None:
+        return left[0]
+    i = bisect.bisect_left(times, state[0] + window)
+    return [state[0], min(state[1] + rows, most)] if i == len(times) else left[i]
+
+
+def _judged(state: list, at: int | None, window: int, most: int) -> tuple:
+    if at is None:
+        return None, None, None
+    if state[0] is None or at - state[0] >= window:
+        state[:] = at, 0
+    if state[1] < most:
+        state[1] += 1
+        return True, most - state[1], 0
+    return False, 0, window - (at - state[0])
+
+
+def _in_ranges(ranges: Ranges, window: int, most: int, most_candidates: int) -> DataFrame:
+    order, reads = ["at", "request_id"], ["at"]
+    opened = lambda seed: json.loads(seed) if seed else [None, 0]
+    follow = Fold(order, reads, ["at", "request_id"], opened, lambda s, at: _judged(s, at, window, most), lambda s: json.dumps(s).encode())
+    tables = ranges.summaries(Fold(order, reads, [], lambda seed: _Chains(window, most), _Chains.step, lambda c: c.table(most_candidates)))
+    entry, walked, todo = {}, {}, ranges.places()
+    while todo:
+        known = []
+        for key, r in todo:
+            if r == 0:
+                entry[key, r] = None
+            elif (key, r - 1) in walked:
+                entry[key, r] = walked[key, r - 1]
+            elif (key, r - 1) in entry and tables.get((key, r - 1), b"[0]") != b"":
+                table = tables.get((key, r - 1))
+                entry[key, r] = entry[key, r - 1] if table is None or table.startswith(b"[0,") else _left(table, entry[key, r - 1], window, most)
+            if (key, r) in entry and tables.get((key, r)) == b"":
+                known.append((key, r))
+        todo = [p for p in todo if p not in entry]
+        if known:  # ranges with too many candidates for a table: walked from the window that is now known
+            seeds = {p: json.dumps(entry[p] or [None, 0]).encode() for p in known}
+            walked |= {p: json.loads(s) for p, s in ranges.summaries(follow, seeds, set(known)).items()}
+    made = [StructField("allowed", BooleanType()), StructField("remaining", IntegerType()), StructField("retry_after_ms", LongType())]
+    return ranges.walk(follow, made, {p: json.dumps(s).encode() for p, s in entry.items() if s is not None}).withColumnRenamed("at", "at_ms")
+
+
+def rate_limit(requests: DataFrame, window_ms: int = R.WINDOW_MS, most: int = R.MAX_REQUESTS, range_rows: int = RANGE_ROWS, most_candidates: int = 20_000) -> DataFrame:
     """R1 in batch over (key, at_ms, request_id); ties in time by request_id.
 
     Keys may be of any type that can be ordered. Null keys are one key of their
     own; a request without a time has no verdict (nulls) and is not counted.
-    A key's requests depend on each other in order: they stream through one
-    sorted partition with constant state, so a hot key costs time, not memory.
+    A key's requests depend on each other in order: they stream through a sorted
+    partition with constant state. A key with more than its share of all
+    requests is cut into ranges of time, at least a window long. Every range is
+    first summed up by itself: which window is open at its end, for each request
+    that may open its first one. Following these tables gives the window that is
+    open where each range begins, and all ranges are judged at once. A range
+    with more than most_candidates such requests is walked from its entry.
     """
+    ranges = Ranges(requests.select("key", F.col("at_ms").cast("long").alias("at"), "request_id"), range_rows, least_width=window_ms)
+    if ranges.hot:
+        return _in_ranges(ranges, window_ms, most, most_candidates)
     ordered = requests.select("key", F.col("at_ms").cast("long").alias("at_ms"), "request_id").repartition("key").sortWithinPartitions("key", F.col("at_ms").asc_nulls_first(), "request_id")
     return ordered.mapInArrow(_fold(window_ms, most), verdict_schema(requests))
 
