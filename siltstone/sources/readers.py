@@ -17,6 +17,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.xxhash64("path").alias("artifact_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
+def read_uploads(spark: SparkSession, path: str, most_bytes: int = R.MAX_UPLOAD_BYTES) -> DataFrame:
+    """S1 with V1: (path, filename, size, content) for each file. The size is checked before a file is opened: larger ones have a null content and are never read. Bytes that are no UTF-8 become the replacement character; empty files give no row, as Spark deals none to a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = lambda df, content: df.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), content.alias("content"))
+    small, large = F.col("length") <= most_bytes, F.col("length") > most_bytes
+    return named(files.filter(small), F.make_valid_utf8(F.col("content").cast("string"))).unionAll(named(files.filter(large), F.lit(None).cast("string")))
+
+
 def _kind(path: str) -> str:
     return f"schema_of_variant(try_variant_get(v, '$.{path}', 'variant'))"
 

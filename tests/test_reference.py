@@ -318,3 +318,14 @@ def test_registry_from_rows(spark):
         with pytest.raises(ValueError):
             grounding.registry_usage(texts, spark.createDataFrame(bad, kind))
     assert grounding.registry_usage(texts, spark.createDataFrame([], kind)).collect() == []
+
+
+def test_uploads_over_the_limit_are_never_read(spark, tmp_path):
+    for name, raw in (("a.ts", b"caf\xc3\xa9"), ("b.ts", b"x" * 11), ("c.ts", b"bad \xff!"), ("d.ts", b"")):
+        (tmp_path / name).write_bytes(raw)
+    df = readers.read_uploads(spark, str(tmp_path), 10)
+    assert sorted((r.filename, r["size"], r.content) for r in df.collect()) == [("a.ts", 5, "caf\u00e9"), ("b.ts", 11, None), ("c.ts", 6, "bad \ufffd!")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,10)" in plan and "GreaterThan(length,10)" in plan
+    scans = [line for line in plan.splitlines() if "binaryFile" in line]
+    assert len(scans) == 2 and sum("content" in line.split("Batched")[0] for line in scans) == 1
