@@ -52,6 +52,11 @@ def source_lines(content: Column) -> Column:
     return F.transform(F.split(content, "\r?\n", -1), escape_html)
 
 
+def plain_text(content: Column) -> Column:
+    """What evidence is looked for in, lines and all: lower case, quotes as they are escaped on the page."""
+    return F.lower(unescape_html(escape_html(content), quotes=False))
+
+
 def evidence_line(evidence: Column, lines: Column) -> Column:
     """A line named in the evidence, else the first line that holds one of its texts; null if neither."""
 

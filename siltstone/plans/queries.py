@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import classify as C
 from siltstone.operators import confidence as K
+from siltstone.operators import containment as J1
 from siltstone.operators import conversation as M
 from siltstone.operators import extract as E
 from siltstone.operators import findings as J
@@ -427,6 +428,19 @@ def a6_pins(spark, sf_dir):
     return J.pins(placed(spark, sf_dir)).select("artifact_id", F.explode("pins").alias("line", "pin")).select("artifact_id", "line", "pin.severity", "pin.id")
 
 
+@query(rf"""WITH e AS (SELECT item_id, unnest(a) AS evidence, generate_subscripts(a, 1) - 1 AS part FROM (SELECT item_id, regexp_split_to_array(text, '[.\n]') AS a FROM benchmark)),
+t AS (SELECT 'd' AS kind, doc_id AS artifact_id, text FROM documents UNION ALL SELECT 'p', page_id, html FROM pages),
+l AS (SELECT kind, artifact_id, unnest(a) AS raw, generate_subscripts(a, 1) AS num FROM (SELECT kind, artifact_id, regexp_split_to_array(text, '\r?\n') AS a FROM t)),
+n AS (SELECT kind, artifact_id, num, lower({Q.unescaped(Q.escaped('raw'), False)}) AS plain FROM l)
+SELECT item_id, part, kind, artifact_id, min(num) AS line FROM e JOIN n ON contains(plain, lower(evidence)) WHERE length(evidence) > 5 GROUP BY ALL""")
+def j1_evidence_containment(spark, sf_dir):
+    """J1 over whole texts: every sentence of `benchmark` as evidence, and the first line of each document and page that holds it."""
+    parts = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "[.\n]", -1)).alias("part", "evidence"))
+    texts = lambda name, key, text, kind: table(spark, sf_dir, name).select(F.struct(F.lit(kind).alias("kind"), F.col(key).alias("artifact_id")).alias("key"), J.plain_text(F.col(text)).alias("text"))
+    held = J1.evidence_lines(parts, texts("documents", "doc_id", "text", "d").unionByName(texts("pages", "page_id", "html", "p")), "key")
+    return held.select("item_id", "part", "key.kind", "key.artifact_id", "line")
+
+
 # --- conversations and prompts --------------------------------------------
 
 
