@@ -559,8 +559,8 @@ def review_chunks(spark, sf_dir) -> DataFrame:
     parts = rows.select(F.col("l_orderkey").alias("key"), at.alias("place"), lit(_LINE).alias("part"))
     for place, text in ((0, _HEAD), (10**14, _FOOT)):
         parts = parts.unionByName(order.select(F.col("o_orderkey").alias("key"), F.lit(place).cast("long").alias("place"), lit(text).alias("part")))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("part") - 1) / _CHUNK).cast("int")), lambda i: F.substring(F.col("part"), i * _CHUNK + 1, F.lit(_CHUNK)))
-    return parts.select("key", "place", F.posexplode(cut).alias("i", "text")).select("key", (F.col("place") * 64 + F.col("i")).alias("at"), "text")
+    pieces = parts.select("key", "place", "part", F.explode(F.sequence(F.lit(0), F.floor((F.length("part") - 1) / _CHUNK).cast("int"))).alias("i"))
+    return pieces.select("key", (F.col("place") * 64 + F.col("i")).alias("at"), F.substring(F.col("part"), F.col("i") * _CHUNK + 1, F.lit(_CHUNK)).alias("text"))
 
 
 @query(f"""WITH l AS (SELECT *, {Q.category_of('l_linenumber')} AS category, {Q.severity_of('l_partkey')} AS severity FROM lineitem),
